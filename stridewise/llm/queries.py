@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import decontam, simhash
-from stridewise.llm.common import table
+from stridewise.llm import decontam, simhash, toxicity
+from stridewise.llm.common import id_remainder, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (id_remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op8_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
