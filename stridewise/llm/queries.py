@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import decontam, simhash, toxicity
+from stridewise.llm import decontam, packing, simhash, toxicity
 from stridewise.llm.common import id_remainder, table
 
 
@@ -15,6 +15,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +35,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op4_packing, op8_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
