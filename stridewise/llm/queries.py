@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import decontam, packing, simhash, toxicity
+from stridewise.llm import decontam, packing, pii, simhash, toxicity
 from stridewise.llm.common import id_remainder, table
 
 
@@ -25,6 +25,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.detect(docs, pii.learn(docs), redacted=False).drop("text")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_packing, op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op4_packing, op5_pii, op8_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
