@@ -34,7 +34,7 @@ PART = 4096
 _SEED = 42
 _IS_WORD = tb.byte_class((0x20, 0x20), (0x09, 0x0D))
 _LANES = np.uint64(0x0101010101010101)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def _fingerprints(column: pa.Array, shingle: int, lanes: int = 1) -> np.ndarray:
@@ -70,7 +70,7 @@ def _fingerprints(column: pa.Array, shingle: int, lanes: int = 1) -> np.ndarray:
         digest = xxhash.xxh64_digest
         hashes = np.frombuffer(b"".join([digest(text[a:b], _SEED) for a, b in zip(begin[at].tolist(), end[last].tolist(), strict=True)]), ">u8").astype(np.uint64)
         for lane in range(lanes):
-            scrambled = tb.mix(hashes + np.uint64(lane) * _STEP) if lane else hashes
+            scrambled = tb.mix(hashes + np.uint64(lane * _STEP % (1 << 64))) if lane else hashes
             out[first : first + len(offsets) - 1, lane] = _majority(scrambled, rows[at], len(offsets) - 1)
     return out
 
