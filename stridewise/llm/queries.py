@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import decontam, packing, pii, simhash, toxicity
+from stridewise.llm import chat, decontam, langid, packing, pii, quality, simhash, toxicity
 from stridewise.llm.common import id_remainder, table
 
 
@@ -21,6 +21,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = chat.PROBE
+    rows = [(-1, 0, "user", probe), (-1, 1, "assistant", probe)]
+    turns = turns.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_conversations(turns))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -30,6 +38,19 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, pii.learn(docs), redacted=False).drop("text")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = langid.learn(docs)
+    found = langid.predict(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", (id_remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judge(quality.measure(docs), quality.plan(docs))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,8 +61,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_packing, op5_pii, op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": decontam.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op7_quality": quality.ORACLE, "op10_decontamination": decontam.ORACLE}
