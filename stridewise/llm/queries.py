@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import chat, decontam, langid, packing, pii, quality, simhash, toxicity
+from stridewise.llm import chat, decontam, langid, packing, pii, quality, simhash, toxicity, warc
 from stridewise.llm.common import id_remainder, table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (id_remainder(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -61,8 +65,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op7_quality": quality.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op10_decontamination": decontam.ORACLE}
