@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import chat, decontam, langid, packing, pii, quality, simhash, toxicity, warc
+from stridewise.llm import chat, decontam, langid, packing, passages, pii, quality, simhash, toxicity, warc
 from stridewise.llm.common import id_remainder, table
 
 
@@ -59,13 +59,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op9_passages, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
