@@ -1,11 +1,298 @@
-"""Queries over the driver's tables and their DuckDB counterparts."""
+"""Queries over the driver's tables, one for each operator, and their DuckDB counterparts."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stridewise.enums import DensityMethod, RsetMethod, SpeedCalculation, SpeedMethod
+from stridewise.geometry import exprs
+from stridewise.model import Cutoff, WalkableArea
+from stridewise.operators import acceleration, density, flow, movement, profiles, spatial, speed, validity, voronoi
+from stridewise.plans import oracle
+from stridewise.plans import view as v
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, without negative zeros."""
+    return df.select(*[(F.round(F.col(f"`{n}`"), 6) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
+
+
+def _query(function: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(function(spark, sf_dir))
+
+    _QUERIES[function.__name__] = run
+    return function
+
+
+@_query
+def traj_view(spark, sf_dir):
+    return v.trajectory(spark, sf_dir).data
+
+
+@_query
+def frame_slice(spark, sf_dir):
+    return v.trajectory(spark, sf_dir)[10:60].data
+
+
+@_query
+def summary(spark, sf_dir):
+    return v.trajectory(spark, sf_dir).summary()
+
+
+@_query
+def invalid_trajectory(spark, sf_dir):
+    area = WalkableArea([(-9, 0.5), (11, 0.5), (11, 4.5), (-9, 4.5)], [[(2, 2), (3, 2), (3, 3), (2, 3)]])
+    return validity.invalid_trajectory(v.trajectory(spark, sf_dir), area)
+
+
+@_query
+def classic_density(spark, sf_dir):
+    return density.classic_density(v.trajectory(spark, sf_dir), v.AREA)
+
+
+def _speeds(spark, sf_dir, **options):
+    return speed.individual_speed(v.trajectory(spark, sf_dir), v.FRAME_STEP, **options)
+
+
+@_query
+def individual_speed(spark, sf_dir):
+    return _speeds(spark, sf_dir, compute_velocity=True)
+
+
+@_query
+def individual_speed_single_sided(spark, sf_dir):
+    return _speeds(spark, sf_dir, speed_calculation=SpeedCalculation.BORDER_SINGLE_SIDED)
+
+
+@_query
+def individual_speed_adaptive(spark, sf_dir):
+    return _speeds(spark, sf_dir, speed_calculation=SpeedCalculation.BORDER_ADAPTIVE)
+
+
+@_query
+def individual_speed_direction(spark, sf_dir):
+    return _speeds(spark, sf_dir, movement_direction=(0.6, 0.8))
+
+
+@_query
+def mean_speed(spark, sf_dir):
+    return speed.mean_speed_per_frame(v.trajectory(spark, sf_dir), _speeds(spark, sf_dir), v.AREA)
+
+
+def _accelerations(spark, sf_dir):
+    return acceleration.individual_acceleration(v.trajectory(spark, sf_dir), v.FRAME_STEP, compute_acceleration_components=True)
+
+
+@_query
+def individual_acceleration(spark, sf_dir):
+    return _accelerations(spark, sf_dir)
+
+
+@_query
+def mean_acceleration(spark, sf_dir):
+    return acceleration.mean_acceleration_per_frame(v.trajectory(spark, sf_dir), _accelerations(spark, sf_dir), v.AREA)
+
+
+@_query
+def stay_intervals(spark, sf_dir):
+    return movement.stay_intervals(v.trajectory(spark, sf_dir), v.AREA)
+
+
+@_query
+def crossing_frames(spark, sf_dir):
+    return flow.crossing_frames(v.trajectory(spark, sf_dir), v.LINE)
+
+
+@_query
+def n_t(spark, sf_dir):
+    return flow.n_t(v.trajectory(spark, sf_dir), v.LINE)[0]
+
+
+@_query
+def flow_(spark, sf_dir):
+    curve, crossings = flow.n_t(v.trajectory(spark, sf_dir), v.LINE)
+    return flow.flow(curve, crossings, _speeds(spark, sf_dir), 20, v.FRAME_RATE)
+
+
+_QUERIES["flow"] = _QUERIES.pop("flow_")
+
+
+def _through(spark, sf_dir):
+    return flow.frame_range_in_area(v.trajectory(spark, sf_dir), v.LINE, 1.0)[0]
+
+
+@_query
+def frame_range_in_area(spark, sf_dir):
+    return _through(spark, sf_dir)
+
+
+@_query
+def passing_speed(spark, sf_dir):
+    return speed.passing_speed(_through(spark, sf_dir), v.FRAME_RATE, 1.0)
+
+
+@_query
+def passing_density(spark, sf_dir):
+    return density.passing_density(density.classic_density(v.trajectory(spark, sf_dir), v.AREA), _through(spark, sf_dir))
+
+
+@_query
+def time_distance_line(spark, sf_dir):
+    return flow.time_distance_line(v.trajectory(spark, sf_dir), v.LINE)
+
+
+@_query
+def voronoi_cells(spark, sf_dir):
+    return v.cells(spark, sf_dir).select("id", "frame", exprs.area(F.col("polygon")).alias("area"), "density")
+
+
+@_query
+def voronoi_cells_cutoff(spark, sf_dir):
+    cells = voronoi.individual_voronoi_polygons(v.trajectory(spark, sf_dir), v.WALKABLE, Cutoff(radius=0.8))
+    return cells.select("id", "frame", exprs.area(F.col("polygon")).alias("area"), "density")
+
+
+@_query
+def intersecting_polygons(spark, sf_dir):
+    return density.intersecting_polygons(v.cells(spark, sf_dir), v.AREA).select("id", "frame", exprs.area(F.col("intersection")).alias("area"))
+
+
+@_query
+def voronoi_density(spark, sf_dir):
+    return density.voronoi_density(v.cells(spark, sf_dir), v.AREA)[0]
+
+
+@_query
+def voronoi_speed(spark, sf_dir):
+    parts = density.intersecting_polygons(v.cells(spark, sf_dir), v.AREA)
+    return speed.voronoi_speed(v.trajectory(spark, sf_dir), _speeds(spark, sf_dir), parts, v.AREA)
+
+
+@_query
+def voronoi_acceleration(spark, sf_dir):
+    parts = density.intersecting_polygons(v.cells(spark, sf_dir), v.AREA)
+    return acceleration.voronoi_acceleration(v.trajectory(spark, sf_dir), _accelerations(spark, sf_dir), parts, v.AREA)
+
+
+def _species(spark, sf_dir):
+    return speed.species(v.trajectory(spark, sf_dir), v.cells(spark, sf_dir), v.LINE, v.FRAME_STEP)
+
+
+@_query
+def species(spark, sf_dir):
+    return _species(spark, sf_dir)
+
+
+def _velocities(spark, sf_dir):
+    return _speeds(spark, sf_dir, compute_velocity=True, speed_calculation=SpeedCalculation.BORDER_SINGLE_SIDED)
+
+
+@_query
+def line_speed(spark, sf_dir):
+    return speed.line_speed(v.cells(spark, sf_dir), v.LINE, _velocities(spark, sf_dir), _species(spark, sf_dir))
+
+
+@_query
+def line_density(spark, sf_dir):
+    return density.line_density(v.cells(spark, sf_dir), v.LINE, _species(spark, sf_dir))
+
+
+@_query
+def line_flow(spark, sf_dir):
+    return flow.line_flow(v.cells(spark, sf_dir), v.LINE, _velocities(spark, sf_dir), _species(spark, sf_dir))
+
+
+@_query
+def neighbors(spark, sf_dir):
+    return voronoi.neighbors(v.cells(spark, sf_dir), as_list=False)
+
+
+@_query
+def neighbor_distance(spark, sf_dir):
+    return voronoi.neighbor_distance(v.trajectory(spark, sf_dir), voronoi.neighbors(v.cells(spark, sf_dir), as_list=False))
+
+
+@_query
+def pair_histogram(spark, sf_dir):
+    return spatial.pair_histogram(v.trajectory(spark, sf_dir), 0.5).select("bin", "n")
+
+
+@_query
+def pair_distribution_function(spark, sf_dir):
+    return spatial.pair_distribution_function(v.trajectory(spark, sf_dir), 0.5)
+
+
+def _grid():
+    return {"axis_aligned_measurement_area": v.GRID_AREA, "grid_size": 1.0}
+
+
+@_query
+def grid_cells(spark, sf_dir):
+    return profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0).cells(spark.range(1)).select("row", "col")
+
+
+def _with_speed(spark, sf_dir):
+    return v.trajectory(spark, sf_dir).data.join(_speeds(spark, sf_dir), ["id", "frame"])
+
+
+def _with_cells(spark, sf_dir):
+    return v.cells(spark, sf_dir).join(_speeds(spark, sf_dir), ["id", "frame"])
+
+
+@_query
+def density_profile_classic(spark, sf_dir):
+    return profiles.density_profile(v.trajectory(spark, sf_dir).data, DensityMethod.CLASSIC, **_grid())
+
+
+@_query
+def density_profile_gaussian(spark, sf_dir):
+    return profiles.density_profile(v.trajectory(spark, sf_dir).data, DensityMethod.GAUSSIAN, gaussian_width=1.0, **_grid())
+
+
+@_query
+def density_profile_voronoi(spark, sf_dir):
+    return profiles.density_profile(_with_cells(spark, sf_dir), DensityMethod.VORONOI, **_grid())
+
+
+@_query
+def speed_profile_voronoi(spark, sf_dir):
+    return profiles.speed_profile(_with_cells(spark, sf_dir), SpeedMethod.VORONOI, **_grid())
+
+
+@_query
+def speed_profile_arithmetic(spark, sf_dir):
+    return profiles.speed_profile(_with_cells(spark, sf_dir), SpeedMethod.ARITHMETIC, **_grid())
+
+
+@_query
+def speed_profile_mean(spark, sf_dir):
+    return profiles.speed_profile(_with_speed(spark, sf_dir), SpeedMethod.MEAN, fill_value=-1.0, **_grid())
+
+
+@_query
+def speed_profile_gaussian(spark, sf_dir):
+    found = profiles.speed_profile(_with_speed(spark, sf_dir), SpeedMethod.GAUSSIAN, **_grid())
+    return found.withColumn("value", F.when(F.isnan("value"), F.lit(-1.0)).otherwise(F.col("value")))
+
+
+def _rset(method):
+    return lambda spark, sf_dir: _rounded(profiles.rset_map(v.trajectory(spark, sf_dir), method=method, **_grid()))
+
+
+for _name, _method in (("max", RsetMethod.MAX), ("min", RsetMethod.MIN), ("mean", RsetMethod.MEAN)):
+    _QUERIES[f"rset_map_{_name}"] = _rset(_method)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(oracle.ORACLES)
