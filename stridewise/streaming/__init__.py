@@ -1 +1,5 @@
+"""Per-frame measures of live trajectories."""
 
+from stridewise.streaming.live import live_classic_density, live_density_profile
+
+__all__ = ["live_classic_density", "live_density_profile"]
