@@ -15,8 +15,12 @@ from stridewise.model import MeasurementArea
 from stridewise.operators.profiles import Grid
 
 
+#: Event time of frame 0, in microseconds; later than the watermark that a stream starts with.
+ORIGIN = 946_684_800_000_000
+
+
 def _timed(positions: DataFrame, frame_rate: float, lateness: str) -> DataFrame:
-    at = F.timestamp_micros((F.col("frame") * F.lit(1_000_000.0 / frame_rate)).cast("long"))
+    at = F.timestamp_micros(F.lit(ORIGIN) + (F.col("frame") * F.lit(1_000_000.0 / frame_rate)).cast("long"))
     return positions.withColumn("frame_time", at).withWatermark("frame_time", lateness)
 
 

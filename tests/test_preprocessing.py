@@ -103,8 +103,13 @@ def test_sql_functions_and_streams(spark, tmp_path):
     row = spark.sql("SELECT in_room(1D, 1D) AS a, in_room(2D, 1D) AS b, distance_to_door(3D, 1D) AS d").first()
     assert (row.a, row.b, row.d) == (True, False, 3.0)
     assert spark.sql("SELECT * FROM grid_cells(0D, 0D, 2D, 1.5D, 1D)").count() == 4
-    spark.createDataFrame([(1, 0, 1.0, 1.0), (2, 0, 1.5, 1.0), (1, 100, 1.0, 1.0)], "id long, frame long, x double, y double").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, frame long, x double, y double").parquet(str(tmp_path / "in"))
-    query = live_classic_density(stream, area, 1.0).writeStream.outputMode("append").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(60)
+    kind = "id long, frame long, x double, y double"
+    put = lambda rows: spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([(1, 0, 1.0, 1.0), (2, 0, 1.5, 1.0), (1, 100, 1.0, 1.0)])
+    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    query = live_classic_density(stream, area, 1.0).writeStream.outputMode("append").format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    put([(1, 101, 1.0, 1.0)])  # the next batch sees the watermark that frame 100 set
+    query.processAllAvailable()
+    query.stop()
     assert [(r.frame, r.density) for r in spark.table("live").collect()] == [(0, 0.5)]
