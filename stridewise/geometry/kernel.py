@@ -164,27 +164,37 @@ def _around(parts: list[tuple[int, np.ndarray]], home: int, borders) -> list[np.
     return [have[k] for k in sorted(reached)]
 
 
-def _edges(pieces: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([np.concatenate([p, np.roll(p, -1, axis=0)], axis=1) for p in pieces])
+def _edges(cells: list[list[np.ndarray]]) -> np.ndarray:
+    """Edges (x0, y0, x1, y1) of each cell, as many for each: short lists repeat their first edge."""
+    own = [np.concatenate([np.concatenate([p, np.roll(p, -1, axis=0)], axis=1) for p in c]) for c in cells]
+    out = np.empty((len(own), max(map(len, own)), 4))
+    for i, e in enumerate(own):
+        out[i, : len(e)] = e
+        out[i, len(e) :] = e[0]
+    return out
 
 
-def _to_segments(p: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Least squared distance of each point to any of the segments (x0, y0, x1, y1)."""
-    dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-    length = np.maximum(dx * dx + dy * dy, 1e-300)
-    t = np.clip(((p[:, None, 0] - e[None, :, 0]) * dx + (p[:, None, 1] - e[None, :, 1]) * dy) / length, 0, 1)
-    return ((p[:, None, 0] - e[None, :, 0] - t * dx) ** 2 + (p[:, None, 1] - e[None, :, 1] - t * dy) ** 2).min()
+def _nearest(e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Least squared distance from the starts of edges e to edges f, for each pair of cells."""
+    x, y = e[:, :, None, 0] - f[:, None, :, 0], e[:, :, None, 1] - f[:, None, :, 1]
+    dx, dy = (f[:, :, 2] - f[:, :, 0])[:, None, :], (f[:, :, 3] - f[:, :, 1])[:, None, :]
+    t = np.clip((x * dx + y * dy) / np.maximum(dx * dx + dy * dy, 1e-300), 0, 1)
+    return ((x - t * dx) ** 2 + (y - t * dy) ** 2).min(axis=(1, 2))
 
 
 def touching(cells: list[list[np.ndarray]], distance: float) -> list[tuple[int, int]]:
     """Pairs of a frame's cells that come as near as ``distance``; cells do not overlap."""
-    boxes = np.array([[*np.concatenate(c).min(axis=0), *np.concatenate(c).max(axis=0)] if c else [np.nan] * 4 for c in cells]).reshape(-1, 4)
-    edges = [_edges(c) if c else None for c in cells]
+    at = [i for i, c in enumerate(cells) if c]
+    if len(at) < 2:
+        return []
+    edges = _edges([cells[i] for i in at])
+    low, high = edges[:, :, :2].min(axis=1), edges[:, :, :2].max(axis=1)
     out = []
-    for i in range(len(cells)):
-        near = (boxes[i, 0] <= boxes[i + 1 :, 2] + distance) & (boxes[i + 1 :, 0] <= boxes[i, 2] + distance) & (boxes[i, 1] <= boxes[i + 1 :, 3] + distance) & (boxes[i + 1 :, 1] <= boxes[i, 3] + distance)
-        for j in (i + 1 + np.flatnonzero(near)).tolist():
-            # of two sets of segments that do not cross, the nearest points include an end of one
-            if min(_to_segments(edges[i][:, :2], edges[j]), _to_segments(edges[j][:, :2], edges[i])) <= distance * distance:
-                out.append((i, j))
+    for i in range(len(at) - 1):
+        j = i + 1 + np.flatnonzero((low[i] <= high[i + 1 :] + distance).all(axis=1) & (low[i + 1 :] <= high[i] + distance).all(axis=1))
+        if len(j):
+            # of two outlines that do not cross, the nearest points include a corner of one
+            own = np.broadcast_to(edges[i], (len(j), *edges[i].shape))
+            near = np.minimum(_nearest(own, edges[j]), _nearest(edges[j], own)) <= distance * distance
+            out += [(at[i], at[k]) for k in j[near].tolist()]
     return out
