@@ -27,9 +27,9 @@ def vocabulary() -> str:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = chat.PROBE
-    rows = [(-1, 0, "user", probe), (-1, 1, "assistant", probe)]
-    turns = turns.unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(chat.PROBE).alias("text"))
+    turns = turns.unionByName(probe)
     return chat.digests(chat.format_conversations(turns))
 
 
