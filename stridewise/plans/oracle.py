@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from stridewise.plans.view import SQL
+from stridewise.model import Cutoff
+from stridewise.plans.view import CUTOFF, SQL
 
 R = lambda v: f"(round({v}, 6) + 0.0)"
 INSIDE = "x > -1.5 AND x < 1.5 AND y > 0 AND y < 5"
@@ -89,6 +90,22 @@ _OVER = CELLS + EXCLUDE + f""", ov AS (SELECT frame, id, area, speed, row, col,
 fr AS (SELECT DISTINCT frame FROM v), g AS (SELECT frame, r.r::INTEGER AS row, c.c::INTEGER AS col FROM fr, range(5) r(r), range(8) c(c))"""
 _RSET = lambda f: SQL + GRID + f" SELECT q.row, q.col, {R('k.v')} AS value FROM (SELECT DISTINCT row, col FROM g) q LEFT JOIN (SELECT row, col, {f}(frame / 10.0) AS v FROM b GROUP BY row, col) k USING (row, col)"
 
+# cells inside a polygon of twelve corners around each pedestrian
+_CORNERS = "[" + ", ".join(_C(repr(x), repr(y), 0) for x, y in Cutoff(radius=CUTOFF).corners) + "]"
+_BOX_PLANES = "[" + ", ".join(f"[{_C(a, b, c)}]" for a, b, c in ((1, 0, 20), (-1, 0, 15), (0, 1, 5), (0, -1, 0))) + "]"
+CUT_CELLS = CELLS + f""", around AS (SELECT near.frame, near.id, list_reduce(coalesce(hs, []) || {_BOX_PLANES}, {_CLIP}, list_transform({_CORNERS}, lambda u: {{'x': u.x + t.x, 'y': u.y + t.y, 'w': 0.0::DOUBLE}})) AS p FROM near JOIN t USING (frame, id))"""
+
+# squared distance of corner v to the edge of q from k on
+_SX, _SY = "(q[k % len(q) + 1].x - q[k].x)", "(q[k % len(q) + 1].y - q[k].y)"
+_T = f"greatest(0, least(1, ((v.x - q[k].x) * {_SX} + (v.y - q[k].y) * {_SY}) / ({_SX} * {_SX} + {_SY} * {_SY})))"
+_D2 = f"power(v.x - q[k].x - {_T} * {_SX}, 2) + power(v.y - q[k].y - {_T} * {_SY}, 2)"
+_REACH = lambda p, q: f"list_min(flatten(list_transform({p}, lambda v: list_transform(range(1, len({q}) + 1), lambda k: {_D2.replace('q[', q + '[').replace('len(q)', f'len({q})')}))))"
+_SPAN = ", ".join(f"list_{f}(list_transform(p, lambda u: u.{c})) AS {f}_{c}" for f in ("min", "max") for c in "xy")
+TOUCH = CELLS + f""", bx AS MATERIALIZED (SELECT frame, id, p, {_SPAN} FROM cell),
+pr AS (SELECT a.frame, a.id, b.id AS other, a.p AS pa, b.p AS pb FROM bx a JOIN bx b ON a.frame = b.frame AND a.id < b.id AND a.min_x <= b.max_x + 1e-9 AND b.min_x <= a.max_x + 1e-9 AND a.min_y <= b.max_y + 1e-9 AND b.min_y <= a.max_y + 1e-9),
+to1 AS (SELECT frame, id, other FROM pr WHERE least({_REACH('pa', 'pb')}, {_REACH('pb', 'pa')}) <= 1e-18),
+nb AS (SELECT id, frame, other AS neighbor_id FROM to1 UNION ALL SELECT other, frame, id FROM to1)"""
+
 ORACLES = {
     "traj_view": SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t",
     "frame_slice": SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t WHERE frame >= 10 AND frame < least(60, (SELECT max(frame) FROM t))",
@@ -115,6 +132,10 @@ SELECT {R('(n - n0) / (passed - ws) * 10.0')} AS flow, {R('(SELECT avg(speed) FR
     "passing_density": SQL + THROUGH + f", dn AS (SELECT spine.frame, coalesce(n, 0) / 15.0 AS density FROM spine LEFT JOIN (SELECT frame, count(*) AS n FROM t WHERE {INSIDE} GROUP BY frame) USING (frame)) SELECT id, {R('avg(density)')} AS density FROM thr JOIN dn ON frame >= entering_frame AND frame < leaving_frame GROUP BY id, entering_frame",
     "time_distance_line": SQL + CROSS + f" SELECT t.id, t.frame, {R('(c.frame - t.frame) / 10.0')} AS time, {R('sqrt(x * x + power(y - greatest(0, least(5, y)), 2))')} AS distance FROM t JOIN c ON c.id = t.id WHERE c.frame >= t.frame",
     "voronoi_cells": SQL + CELLS + f" SELECT id, frame, {R('area')} AS area, {R('1 / area')} AS density FROM cell",
+    "voronoi_cells_cutoff": SQL + CUT_CELLS + f" SELECT id, frame, {R(polygon_area('p'))} AS area, {R('1 / (' + polygon_area('p') + ')')} AS density FROM around",
+    "neighbors": SQL + TOUCH + " SELECT id, frame, neighbor_id FROM nb",
+    "neighbor_distance": SQL + TOUCH + f" SELECT nb.id, nb.frame, neighbor_id, {R('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance FROM nb JOIN t a ON a.id = nb.id AND a.frame = nb.frame JOIN t b ON b.id = neighbor_id AND b.frame = nb.frame",
+    "grid_intersection_area": SQL + _OVER.replace("JOIN v USING (id, frame), range(5)", "LEFT JOIN v USING (id, frame), range(5)") + f" SELECT id, frame, row, col, (round(part + 3e-9, 6) + 0.0) AS area FROM ov WHERE part > 1e-9",
     "intersecting_polygons": SQL + CELLS + f" SELECT id, frame, {R('part')} AS area FROM cut",
     "voronoi_density": SQL + CELLS + _filled("sum(part / area) / 15.0", "cut", "density"),
     "voronoi_speed": SQL + CELLS + EXCLUDE + _filled("sum(part * speed) / 15.0", "(SELECT cut.frame, part, speed FROM cut JOIN v USING (id, frame))", "speed"),

@@ -13,6 +13,7 @@ from stridewise.model import Cutoff, WalkableArea
 from stridewise.operators import acceleration, density, flow, movement, profiles, spatial, speed, validity, voronoi
 from stridewise.plans import oracle
 from stridewise.plans import view as v
+from stridewise.preprocessing import outliers, projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -155,7 +156,7 @@ def voronoi_cells(spark, sf_dir):
 
 @_query
 def voronoi_cells_cutoff(spark, sf_dir):
-    cells = voronoi.individual_voronoi_polygons(v.trajectory(spark, sf_dir), v.WALKABLE, Cutoff(radius=0.8))
+    cells = voronoi.individual_voronoi_polygons(v.trajectory(spark, sf_dir), v.WALKABLE, Cutoff(radius=v.CUTOFF))
     return cells.select("id", "frame", exprs.area(F.col("polygon")).alias("area"), "density")
 
 
@@ -238,6 +239,27 @@ def grid_cells(spark, sf_dir):
     return profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0).cells(spark.range(1)).select("row", "col")
 
 
+def grid_intersection_area(spark, sf_dir):
+    grid = profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0)
+    found = profiles.grid_cell_polygon_intersection_area(v.cells(spark, sf_dir), grid).where("area > 1e-9")
+    # areas of cells along the axes often lie halfway between two rounded values: move them off
+    return _rounded(found.withColumn("area", F.col("area") + 3e-9))
+
+
+_QUERIES["grid_intersection_area"] = grid_intersection_area
+
+
+@_query
+def outlier_repair(spark, sf_dir):
+    return outliers.detect_anomalies(v.trajectory(spark, sf_dir))[0].data
+
+
+@_query
+def wall_projection(spark, sf_dir):
+    area = WalkableArea([(-9, 0.5), (11, 0.5), (11, 4.5), (-9, 4.5)], [[(2, 2), (3, 2), (3, 3), (2, 3)]])
+    return projection.correct_invalid_trajectories(v.trajectory(spark, sf_dir), area)[0].data
+
+
 def _with_speed(spark, sf_dir):
     return v.trajectory(spark, sf_dir).data.join(_speeds(spark, sf_dir), ["id", "frame"])
 

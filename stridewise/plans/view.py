@@ -9,6 +9,7 @@ from stridewise.model import AxisAlignedMeasurementArea, MeasurementArea, Measur
 
 FRAME_RATE = 10.0
 FRAME_STEP = 5
+CUTOFF = 0.8
 WALKABLE = WalkableArea([(-15, 0), (20, 0), (20, 5), (-15, 5)])
 AREA = MeasurementArea([(-1.5, 0), (1.5, 0), (1.5, 5), (-1.5, 5)])
 GRID_AREA = AxisAlignedMeasurementArea(-4, 0, 4, 5)
