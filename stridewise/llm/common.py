@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -55,5 +57,22 @@ def delete_tree(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def package_path(name: str) -> str:
-    return os.path.join(os.path.dirname(__file__), name)
+_WORKER_MEMORY: dict[str, dict] = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """A worker process's memory for one owner; what another owner kept is let go.
+
+    Workers outlive tasks. Operators that follow each other thus never hold
+    their remembered words at the same time.
+    """
+    if owner not in _WORKER_MEMORY:
+        if _WORKER_MEMORY:
+            _WORKER_MEMORY.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not this C library
+                pass
+        _WORKER_MEMORY[owner] = {}
+    return _WORKER_MEMORY[owner]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridewise.llm import textbytes as tb
-from stridewise.llm.common import id_remainder
+from stridewise.llm.common import id_remainder, worker_memory
 
 #: Labelled rows of each kind that the classifier is fitted on at most, and distinct words of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 900, 1800, 4000
@@ -43,7 +43,7 @@ LONGEST = 24
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Words that a worker remembers the margins of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Margin of a text without words.
 NOTHING = -3.0
 
@@ -361,15 +361,9 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["toxic", "words"])
 
 
-_MEMORY: dict[str, dict[bytes, float]] = {}
-
-
 def _text_margins(column: pa.Array, model: Model) -> np.ndarray:
     """The largest margin of any word of each text."""
-    if model.name not in _MEMORY:
-        _MEMORY.clear()
-        _MEMORY[model.name] = {}
-    memory = _MEMORY[model.name]
+    memory = worker_memory(f"toxicity-{model.name}")
     out = np.full(len(column), NOTHING)
     for first, raw, offsets in tb.text_slices(column):
         data = tb.LOWER[raw]
