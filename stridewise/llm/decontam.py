@@ -26,7 +26,7 @@ SPAN = 10
 #: Words of a hashed gram; SPAN - GRAM + 1 grams lie in a window.
 GRAM = 5
 #: Bytes of benchmark text that one index shard holds; more text makes more shards.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 
 #: Bytes that separate words, as closed ranges.
 _IS_WORD = tb.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
@@ -63,7 +63,7 @@ class Shard:
             length = min(SPAN, len(words))
             for i in range(len(words) - length + 1):
                 windows.setdefault(b" ".join(words[i : i + length]), set()).add(item)
-        self.windows = {text: sorted(found) for text, found in windows.items()}
+        self.windows = {text: tuple(sorted(found)) for text, found in windows.items()}
         by_length: dict[int, list[bytes]] = {}
         for text in windows:
             by_length.setdefault(text.count(b" ") + 1, []).append(text)
@@ -102,9 +102,9 @@ def _contained(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _candidates(words: np.ndarray, rows: np.ndarray, shard: Shard) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(words: np.ndarray, rows: np.ndarray, shard_prints: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(length, starts) of windows whose fingerprint a benchmark window has, too."""
-    for length, prints in shard.prints.items():
+    for length, prints in shard_prints.items():
         inside = tb.same_row(rows, length)
         if length == SPAN:
             grams = tb.gram_hashes(words, GRAM)
@@ -126,7 +126,8 @@ def _candidates(words: np.ndarray, rows: np.ndarray, shard: Shard) -> Iterator[t
         yield length, np.flatnonzero(hit)
 
 
-def _scan(column: pa.Array, shards: list) -> pd.DataFrame:
+def _scan(column: pa.Array, prints: list[dict[int, np.ndarray]], windows) -> pd.DataFrame:
+    """Result columns of a text column; windows(k): the windows of shard k, asked for where its fingerprints hit."""
     n = len(column)
     n_words = np.zeros(n, np.int64)
     n_hit = np.zeros(n, np.int64)
@@ -139,12 +140,11 @@ def _scan(column: pa.Array, shards: list) -> pd.DataFrame:
             continue
         words = tb.word_hashes(data, starts, ends)
         edges = np.zeros(len(starts) + 1, np.int64)
-        for load in shards:
-            shard = load()
-            for length, at in _candidates(words, rows, shard):
+        for k, own in enumerate(prints):
+            for length, at in _candidates(words, rows, own):
                 for i in at.tolist():
                     text = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + length], ends[i : i + length], strict=True))
-                    found = shard.windows.get(text)
+                    found = windows(k).get(text)
                     if found:
                         edges[i] += 1
                         edges[i + length] -= 1
@@ -165,22 +165,40 @@ def _scan(column: pa.Array, shards: list) -> pd.DataFrame:
     )
 
 
-def build_shards(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> list:
-    """Broadcast index shards of at most SHARD_BYTES of text each (or one item).
+class Index:
+    """Broadcast shards of at most SHARD_BYTES of text each (or one item).
 
-    Every executor's worker keeps one shard at a time, so the memory does not
-    grow with the benchmark; the number of passes over a batch does.
+    All fingerprints are at hand, eight bytes for each window; of the windows'
+    texts a worker holds one shard's at a time, so that it does not grow with
+    the benchmark.
     """
+
+    def __init__(self, prints, windows: list):
+        self.prints, self._windows, self._held = prints, windows, None
+
+    def __reduce__(self):
+        return Index, (self.prints, self._windows)
+
+    def windows(self, k: int) -> dict:
+        if self._held != k:
+            if self._held is not None:
+                self._windows[self._held].__dict__.pop("_value", None)  # read from its file again when needed
+            self._held = k
+        return self._windows[k].value
+
+
+def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Index:
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
-    shards = []
+    prints, windows = [], []
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k) if count > 1 else rows
         shard = Shard([(r.item, r.text.encode()) for r in part.toLocalIterator()])
-        shards.append(spark.sparkContext.broadcast(shard))
-    return shards
+        prints.append(shard.prints)
+        windows.append(spark.sparkContext.broadcast(shard.windows))
+    return Index(spark.sparkContext.broadcast(prints), windows)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -194,24 +212,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     leaves every document clean. Columns of ``docs`` that share a result's
     name are replaced by it.
     """
-    shards = build_shards(benchmark, item, item_text)
+    index = build_index(benchmark, item, item_text)
     kept = [c for c in docs.columns if c not in RESULT.names]
     base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([docs.schema[c] for c in kept] + RESULT.fields)
-    return base.mapInArrow(_runner(shards, kept, schema), schema)
-
+    return base.mapInArrow(_runner(index, kept, schema), schema)
 
-def _runner(shards: list, kept: list[str], schema: T.StructType):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target = to_arrow_schema(schema)
 
+def _runner(index: Index, kept: list[str], schema: T.StructType):
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
         for batch in batches:
-            result = _scan(batch.column(len(kept)), [lambda b=b: b.value for b in shards])
-            if len(shards) > 1:
-                for b in shards:
-                    b._value = None if hasattr(b, "_value") else None
+            result = _scan(batch.column(len(kept)), index.prints.value, index.windows)
             arrays = [batch.column(i).cast(target.field(i).type) for i in range(len(kept))]
             arrays += [pa.array(result[c], target.field(len(kept) + j).type) for j, c in enumerate(RESULT.names)]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)

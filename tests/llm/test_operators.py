@@ -81,7 +81,9 @@ class TestDecontamination:
         bench = spark.createDataFrame(items, "item_id long, text string")
         for shard in (8 << 20, 100):  # one shard, and several
             monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
-            found = decontam.decontaminate(docs(spark, texts), bench).collect()
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # several batches for each task
+            found = decontam.decontaminate(docs(spark, texts).coalesce(1), bench).collect()
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
             for r in found:
                 assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == self.brute(r.text, items)
 
