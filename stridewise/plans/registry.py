@@ -182,13 +182,15 @@ def voronoi_acceleration(spark, sf_dir):
     return acceleration.voronoi_acceleration(v.trajectory(spark, sf_dir), _accelerations(spark, sf_dir), parts, v.AREA)
 
 
-def _species(spark, sf_dir):
-    return speed.species(v.trajectory(spark, sf_dir), v.cells(spark, sf_dir), v.LINE, v.FRAME_STEP)
+def _cells_and_species(spark, sf_dir):
+    # both the species and the measure at the line read the cells: computed once, spilled to disk if need be
+    cells = v.cells(spark, sf_dir).persist()
+    return cells, speed.species(v.trajectory(spark, sf_dir), cells, v.LINE, v.FRAME_STEP)
 
 
 @_query
 def species(spark, sf_dir):
-    return _species(spark, sf_dir)
+    return speed.species(v.trajectory(spark, sf_dir), v.cells(spark, sf_dir), v.LINE, v.FRAME_STEP)
 
 
 def _velocities(spark, sf_dir):
@@ -197,17 +199,20 @@ def _velocities(spark, sf_dir):
 
 @_query
 def line_speed(spark, sf_dir):
-    return speed.line_speed(v.cells(spark, sf_dir), v.LINE, _velocities(spark, sf_dir), _species(spark, sf_dir))
+    cells, kinds = _cells_and_species(spark, sf_dir)
+    return speed.line_speed(cells, v.LINE, _velocities(spark, sf_dir), kinds)
 
 
 @_query
 def line_density(spark, sf_dir):
-    return density.line_density(v.cells(spark, sf_dir), v.LINE, _species(spark, sf_dir))
+    cells, kinds = _cells_and_species(spark, sf_dir)
+    return density.line_density(cells, v.LINE, kinds)
 
 
 @_query
 def line_flow(spark, sf_dir):
-    return flow.line_flow(v.cells(spark, sf_dir), v.LINE, _velocities(spark, sf_dir), _species(spark, sf_dir))
+    cells, kinds = _cells_and_species(spark, sf_dir)
+    return flow.line_flow(cells, v.LINE, _velocities(spark, sf_dir), kinds)
 
 
 @_query
