@@ -14,9 +14,15 @@ from pyspark.sql import functions as F
 from stridewise.shipping import ship
 
 
+#: Bytes of an Arrow batch on its way between the JVM and Python. A batch of Spark's usual number of rows would hold
+#: a whole partition of long texts, several times over.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; also ships the package to the executors."""
+    """One of the driver's tables; also ships the package to the executors and bounds the session's Arrow batches."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -43,7 +43,7 @@ LONGEST = 24
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Words that a worker remembers the margins of.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Margin of a text without words.
 NOTHING = -3.0
 
