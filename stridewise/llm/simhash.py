@@ -167,7 +167,8 @@ def _link_buckets(radius: int, lanes: int):
     """mapInArrow over rows (bucket, pair, side, node, lanes), sorted by bucket and pair: src, dst of links."""
 
     def links(rows: np.ndarray, bounds: np.ndarray):
-        node, side, prints = rows[:, 3], rows[:, 2], rows[:, 4:]
+        node, side = rows[:, 3], rows[:, 2]
+        prints = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)  # bits are counted in unsigned numbers alone
         sizes = np.diff(np.append(bounds, len(rows)))
         two = bounds[sizes == 2]
         near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius
