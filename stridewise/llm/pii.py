@@ -28,6 +28,8 @@ WINDOW, STEP = 64, 32
 CELLS = 16
 #: Documents the network is trained on at most, and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 8
+#: Documents, times SAMPLE_DOCS, among which those with a digit or @ are looked for.
+SPREAD = 40
 #: Windows that are decoded at a time.
 BATCH = 1024
 
@@ -320,11 +322,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int
     """A tagger trained on labelled spans.
 
     The labels are the base spans of at most SAMPLE_DOCS documents with a
-    digit or ``@`` (those with the smallest hashes of their ids), of each at
-    most SAMPLE_WINDOWS windows, and those of made-up windows.
+    digit or ``@`` (those with the smallest hashes of their ids, among about
+    SPREAD x SAMPLE_DOCS documents), of each at most SAMPLE_WINDOWS windows,
+    and those of made-up windows.
     """
-    base = docs.select(F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sample = base.where(F.col("text").rlike("[0-9@]")).mapInArrow(_sample_windows, "hash long, codes binary, labels binary")
+    base = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("hash"), F.col(f"`{text}`").cast("string").alias("text"))
+    # hashes are spread evenly: a bound leaves SPREAD times the sample, few of them for each task
+    share = min(1.0, SPREAD * SAMPLE_DOCS / max(1, docs.count()))
+    few = base.where(F.col("hash").cast("double") <= -(2.0**63) + share * 2.0**64) if share < 1 else base
+    sample = few.where(F.col("text").rlike("[0-9@]")).mapInArrow(_sample_windows, "hash long, codes binary, labels binary")
     rows = sample.orderBy("hash", "codes").limit(SAMPLE_DOCS).collect()
     codes = [np.frombuffer(r.codes, np.int8).reshape(-1, WINDOW) for r in rows]
     labels = [np.frombuffer(r.labels, np.int8).reshape(-1, WINDOW) for r in rows]
@@ -337,15 +343,12 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int
 
 
 def _sample_windows(batches):
-    import xxhash
-
     for batch in batches:
         out: list[tuple] = []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             starts = _window_starts(text)[:SAMPLE_WINDOWS]
             if starts:
-                codes, labels = _cut(_codes(text), starts), _cut(_labels(text, base_spans(text)), starts)
-                out.append((xxhash.xxh64_intdigest(name or "") >> 1, codes.tobytes(), labels.tobytes()))
+                out.append((key, _cut(_codes(text), starts).tobytes(), _cut(_labels(text, base_spans(text)), starts).tobytes()))
         out = sorted(out)[:SAMPLE_DOCS]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["hash", "codes", "labels"])
 
