@@ -5,6 +5,9 @@ split into ``BLOCKS`` blocks. Two fingerprints that differ in at most
 ``RADIUS`` bits agree in at least BLOCKS - RADIUS blocks, so they meet in a
 bucket keyed by those blocks. Buckets are verified by Hamming distance and
 leave only a spanning forest of links, never all pairs.
+
+Near copies, which 64 bits cannot tell from other texts, are found on the sets
+of shingles themselves.
 """
 
 from __future__ import annotations
@@ -249,42 +252,240 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Lanes of the wide fingerprint, and those of them that links are verified on.
-WIDE_LANES, VERIFIED_LANES = 15, 3
-#: Bits of a wide fingerprint's block. At a shingle resemblance of 0.8 two sets of equal size differ in
-#: acos(0.889) / pi = 15.2 % of the bits and so share one of the 53 blocks in 94 of 100 cases, at 0.9 in 99.9.
-WIDE_BLOCK = 18
-#: Bits of the VERIFIED_LANES that linked documents may differ in (15.2 % of 192).
-WIDE_RADIUS = 29
-#: Words of a shingle of the wide fingerprint.
-WIDE_SHINGLE = 5
+#: Words of a near copy's shingle, and the least resemblance (shared of all distinct shingles, in fifths) of near copies.
+COPY_SHINGLE, COPY_FIFTHS = 5, 4
+#: One of so many texts is counted to learn which shingles are common, and bits of a shingle that the table of them tells apart.
+SAMPLED, TABLE_BITS = 8, 20
+#: Pairs that are handed on at once.
+PAIRS = 1 << 16
+#: Bits of a set's mark: its shingles' parities, so two marks differ in no more bits than the sets in shingles.
+MARK_BITS = 1024
 
 
-def wide_blocks() -> list[Column]:
-    """The blocks of a wide fingerprint; a lane holds three whole ones, the next starts in the lane after it."""
-    keys = []
-    for start in range(0, 64 * WIDE_LANES - WIDE_BLOCK + 1, WIDE_BLOCK):
-        lane, bit = divmod(start, 64)
-        key = F.shiftrightunsigned(F.col(f"fp{lane}"), bit)
-        if bit + WIDE_BLOCK > 64:
-            key = key.bitwiseOR(F.shiftleft(F.col(f"fp{lane + 1}"), 64 - bit))
-        keys.append(key.bitwiseAND(F.lit((1 << WIDE_BLOCK) - 1)))
-    return keys
+def _shingle_sets(column: pa.Array):
+    """(first row, bounds of the rows' sets, distinct shingles of each row, ascending) of each slice."""
+    for first, raw, offsets in tb.text_slices(column):
+        data = tb.LOWER[raw]
+        starts, ends, rows = tb.word_bounds(data, offsets, _IS_WORD)
+        n = len(offsets) - 1
+        words = tb.word_hashes(data, starts, ends)
+        n_words = np.bincount(rows, minlength=n)
+        head = np.cumsum(n_words) - n_words
+        grams = tb.gram_hashes(words, COPY_SHINGLE)
+        inside = tb.same_row(rows, COPY_SHINGLE)
+        found, owner = [grams[inside]], [rows[: len(grams)][inside]]
+        for size in range(1, COPY_SHINGLE):  # a shorter text has one shingle of all its words
+            short = np.flatnonzero(n_words == size)
+            if len(short):
+                found.append(tb.gram_hashes(words, size)[head[short]])
+                owner.append(short)
+        grams, owner = np.concatenate(found), np.concatenate(owner)
+        order = np.lexsort((grams, owner))
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (np.diff(owner) != 0) | (grams[1:] != grams[:-1])
+        yield first, np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))]), grams[new]
+
+
+def _set_keys(bounds: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each row's set."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(grams), dtype=np.uint64)])
+    return tb.mix(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def with_set_keys(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Append ``node``, the key of a text's set of shingles; null texts count as empty ones."""
+    kept = [c for c in docs.columns if c != "node"]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("node", T.LongType())])
+    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, np.int64)
+            for first, bounds, grams in _shingle_sets(batch.column(len(kept))):
+                keys[first : first + len(bounds) - 1] = _set_keys(bounds, grams)
+            arrays = [batch.column(i).cast(target.field(i).type) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(keys)], schema=target)
+
+    return base.mapInArrow(run, schema)
+
+
+def _sampled_shingles(batches):
+    """(text) -> the shingles of one of SAMPLED texts."""
+    for batch in batches:
+        for _, bounds, grams in _shingle_sets(batch.column(0)):
+            chosen = np.repeat(_set_keys(bounds, grams).view(np.uint64) % np.uint64(SAMPLED) == 0, np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64))], names=["hash"])
+
+
+def _prefixes(cells: np.ndarray, levels: np.ndarray):
+    """mapInArrow (text) -> hash, node of each set's prefix: two sets that resemble each other enough share one of it.
+
+    A prefix is the part of a set, in an order that all sets have in common,
+    without which too little is left to be shared. The order begins with the
+    shingles that are not known as common; what is known decides the cost alone.
+    """
+
+    def run(batches):
+        common = np.zeros(1 << TABLE_BITS, np.uint8)
+        common[cells] = levels
+        for batch in batches:
+            for _, bounds, grams in _shingle_sets(batch.column(0)):
+                sizes = np.diff(bounds)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                grams = grams[np.lexsort((grams, common[grams >> np.uint64(64 - TABLE_BITS)], owner))]
+                taken = sizes + (-COPY_FIFTHS * sizes // 5) + 1
+                chosen = np.arange(len(grams)) - bounds[owner] < taken[owner]
+                keys = _set_keys(bounds, grams)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64)), pa.array(keys[owner[chosen]])], names=["hash", "node"])
+
+    return run
+
+
+def _marks(batches):
+    """(text) -> node, n, mark of each set."""
+    for batch in batches:
+        for _, bounds, grams in _shingle_sets(batch.column(0)):
+            sizes = np.diff(bounds)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = (tb.mix(grams) % np.uint64(MARK_BITS)).astype(np.int64) + MARK_BITS * owner
+            odd = (np.bincount(place, minlength=MARK_BITS * len(sizes)) & 1).astype(np.uint8).reshape(-1, MARK_BITS)
+            marks = [m.tobytes() for m in np.packbits(odd, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(bounds, grams)), pa.array(sizes), pa.array(marks, pa.binary())], names=["node", "n", "mark"])
+
+
+def _unpacked(marks: pa.Array) -> np.ndarray:
+    """A row of 64-bit lanes for each mark."""
+    return np.frombuffer(b"".join(marks.to_pylist()), np.int64).reshape(-1, MARK_BITS // 64)
+
+
+def _may_resemble(n: np.ndarray, mark: np.ndarray, other_n: np.ndarray, other_mark: np.ndarray) -> np.ndarray:
+    """Whether sizes and marks leave it open that sets resemble each other enough; never False for those that do."""
+    good = COPY_FIFTHS * np.maximum(n, other_n) <= 5 * np.minimum(n, other_n)
+    differ = np.bitwise_count((mark ^ other_mark).view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return good & ((5 + COPY_FIFTHS) * differ <= (5 - COPY_FIFTHS) * (n + other_n))
+
+
+def _open_links(batches):
+    """(a, b, n, mark, other_n, other_mark) -> a, b of those that may resemble each other."""
+    for batch in batches:
+        n, other = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+        keep = pa.array(_may_resemble(n, _unpacked(batch.column(3)), other, _unpacked(batch.column(5))))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+
+def _sets(batches):
+    """(node, text) -> node, the text's set of shingles as bytes."""
+    for batch in batches:
+        for first, bounds, grams in _shingle_sets(batch.column(1)):
+            raw = grams.tobytes()
+            cut = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cut)), pa.array(cut, pa.binary())], names=["node", "shingles"])
+
+
+def _resembling(batches):
+    """(a, b, x, y) -> src, dst of the pairs whose sets resemble each other enough."""
+    for batch in batches:
+        good = np.zeros(batch.num_rows, bool)
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+            if COPY_FIFTHS * max(len(x), len(y)) <= 5 * min(len(x), len(y)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = 5 * both >= COPY_FIFTHS * (len(x) + len(y) - both)
+        keep = pa.array(good)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
+
+
+def _open_pairs(batches):
+    """(hash, node, component, n, mark), sorted by hash -> a, b: open pairs of a bucket's nodes that are not in one component."""
+
+    def of(rows: np.ndarray, bounds: np.ndarray):
+        left, right, held = [], [], 0
+        for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)], strict=True):
+            node, component = rows[lo:hi, 1], rows[lo:hi, 2]
+            if (component == component[0]).all():
+                continue
+            n, mark = rows[lo:hi, 3], rows[lo:hi, 4:]
+            for i in range(hi - lo - 1):
+                at = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+                other = node[at[_may_resemble(n[i], mark[i], n[at], mark[at])]]
+                left.append(np.minimum(node[i], other))
+                right.append(np.maximum(node[i], other))
+                held += len(other)
+                if held >= PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                    left, right, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    kept = np.zeros((0, 4 + MARK_BITS // 64), np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        narrow = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+        rows = np.concatenate([kept, np.concatenate([narrow, _unpacked(batch.column(4))], axis=1)])
+        if len(rows):
+            bounds = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
+            if len(bounds) > 1:
+                yield from of(rows[: bounds[-1]], bounds[:-1])
+            kept = rows[bounds[-1] :].copy()
+    if len(kept):
+        yield from of(kept, np.zeros(1, np.int64))
+
+
+def near_copy_components(texts: DataFrame) -> DataFrame:
+    """(node, component) of the texts (one column) that resemble another one; others are not in it.
+
+    Buckets are keyed by the shingles of prefixes, so each pair of sets that
+    resemble each other enough meets in one. Every link is checked on the whole
+    sets. First each bucket's nodes are compared with the smallest of them,
+    then those that are not yet in one component with each other.
+    """
+    counted = texts.mapInArrow(_sampled_shingles, "hash long").groupBy("hash").count().where("count >= 4")
+    level = F.least(F.lit(255), F.floor(F.log2("count"))).cast("int").alias("level")
+    table = counted.select(F.shiftrightunsigned("hash", 64 - TABLE_BITS).alias("cell"), level).groupBy("cell").agg(F.max("level")).toPandas().to_numpy(np.int64)
+    prefixes = materialize(texts.mapInArrow(_prefixes(table[:, 0].astype(np.int32), table[:, 1].astype(np.uint8)), "hash long, node long"), "copies-prefixes")
+    ends = prefixes.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("hash", "low")
+    shared = materialize(prefixes.join(ends, "hash").distinct(), "copies-shared")
+    nodes = shared.select("node").distinct()
+    marks = materialize(texts.mapInArrow(_marks, "node long, n long, mark binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "copies-marks")
+    keyed = with_set_keys(texts.toDF("text"))
+
+    def checked(pairs: DataFrame, tag: str) -> DataFrame:
+        pairs = materialize(pairs.distinct(), f"{tag}-pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # texts go through the exchange, which are smaller than their sets, and of these only what a pair needs
+        sets = keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
+        sets = materialize(sets, f"{tag}-sets")
+        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return materialize(both.mapInArrow(_resembling, "src long, dst long"), tag)
+
+    stars = shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "other_n", "other_mark"), "b")
+    stars = stars.select("a", "b", "n", "mark", "other_n", "other_mark").mapInArrow(_open_links, "a long, b long")
+    first = checked(stars, "copies-first")
+    found = components(first, "copies-joined")
+    placed = shared.select("hash", "node").join(marks.join(found, "node", "left"), "node")
+    placed = placed.select("hash", "node", F.coalesce("component", "node").alias("component"), "n", "mark")
+    pairs = placed.repartition("hash").sortWithinPartitions("hash").mapInArrow(_open_pairs, "a long, b long")
+    return components(first.unionByName(checked(pairs, "copies-second")), "copies-components")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id): classes of documents whose 5-word shingles resemble each other by 0.8 or more.
 
-    As near_duplicates, by a fingerprint of WIDE_LANES x 64 bits, as 64 bits
-    cannot tell such pairs from others: blocks of WIDE_BLOCK bits bring close
-    pairs together, VERIFIED_LANES verify them. Texts without words are copies
-    of each other. Nulls, ties and repeated rows: as in near_duplicates.
+    component_id is the smallest id in the row's class, where classes are the
+    components of the graph that links texts whose sets of shingles share 0.8
+    of all that either has. Texts without words are copies of each other.
+    Nulls, ties and repeated rows: as in near_duplicates.
     """
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    lanes = [f"fp{i}" for i in range(WIDE_LANES)]
-    prints = with_fingerprints(base, "text", WIDE_SHINGLE, WIDE_LANES).select("doc_id", F.xxhash64(*lanes).alias("node"), *lanes)
-    prints = materialize(prints, "simhash-wide")
-    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in lanes])
-    distinct = materialize(distinct, "simhash-wide-distinct")
-    named = classes(distinct, wide_blocks(), WIDE_RADIUS, lanes[:VERIFIED_LANES])
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    keyed = materialize(with_set_keys(base).select("doc_id", "node"), "copies-nodes")
+    found = near_copy_components(base.select("text"))
+    placed = keyed.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "component").select("doc_id", "component_id")

@@ -164,6 +164,25 @@ class TestSimHash:
         assert all(found[70 + i] == found[i] for i in range(5))
         assert all(found[i] == i for i in range(40))
 
+    def resemblance(self, a, b):
+        a, b = ({tuple(lower(t).split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    def test_near_copies_close_to_the_bound(self, spark):
+        rng = random.Random(9)
+        vocabulary = [w + str(i) for i in range(300) for w in WORDS]
+        texts, want = [], []
+        while len(want) < 60:
+            w = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+            e = list(w)
+            for at in rng.sample(range(len(w)), len(w) // 45):
+                e[at] = "changed"
+            if 0.8 <= self.resemblance(" ".join(w), " ".join(e)) <= 0.85:
+                want.append((len(texts), len(texts) + 1))
+                texts += [" ".join(w), " ".join(e)]
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
+        assert all(found[a] == found[b] == a for a, b in want)
+
     def test_components(self, spark):
         rng = random.Random(1)
         edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
