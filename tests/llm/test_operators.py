@@ -183,6 +183,27 @@ class TestSimHash:
         found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts)).collect()}
         assert all(found[a] == found[b] == a for a, b in want)
 
+    def test_below_the_bound_stay_apart(self, spark):
+        rng = random.Random(10)
+        vocabulary = [w + str(i) for i in range(300) for w in WORDS]
+        texts = []
+        while len(texts) < 80:
+            w = [rng.choice(vocabulary) for _ in range(250)]
+            e = list(w)
+            for at in rng.sample(range(250), 7):
+                e[at] = "changed"
+            if 0.75 <= self.resemblance(" ".join(w), " ".join(e)) < 0.8:
+                texts += [" ".join(w), " ".join(e)]
+        line = " ".join(rng.sample(vocabulary, 12))
+        other = [" ".join(rng.sample(vocabulary, 30)) for _ in range(3)]
+        often = " ".join([line] * 40)
+        texts += [f"{other[0]} {often}", f"{other[1]} {often}"]  # alike in one much repeated line alone
+        ids = [*range(82), 90, 91]
+        whole = " ".join(rng.sample(vocabulary, 200))
+        texts += [f"{whole} {line} {line}", f"{whole} {often}"]  # a copy, but for how often its line is repeated
+        found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts, ids)).collect()}
+        assert all(found[i] == i for i in range(82)) and found[91] == 90
+
     def test_components(self, spark):
         rng = random.Random(1)
         edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
