@@ -204,6 +204,17 @@ class TestSimHash:
         found = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts, ids)).collect()}
         assert all(found[i] == i for i in range(82)) and found[91] == 90
 
+    def test_one_row_of_each_class(self, spark, tmp_path):
+        import corpus_pipeline
+
+        rng = random.Random(11)
+        vocabulary = [w + str(i) for i in range(300) for w in WORDS]
+        a, b, c, d = (" ".join(rng.sample(vocabulary, 200)) for _ in range(4))
+        docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+        rows = [(5, a), (7, a + " more"), (7, b), (7, b), (8, b + " more"), (None, c), (None, c + " more"), (None, d), (3, d + " more")]
+        kept = corpus_pipeline.without_near_copies(spark, docs(spark, [t for _, t in rows], [i for i, _ in rows]), str(tmp_path)).collect()
+        assert sorted((r.doc_id or 0, r.text[:20]) for r in kept) == sorted([(5, a[:20]), (7, b[:20]), (0, c[:20]), (3, d[:20])])
+
     def test_components(self, spark):
         rng = random.Random(1)
         edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)]
