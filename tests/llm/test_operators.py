@@ -500,6 +500,19 @@ class TestPassages:
                 assert agreed >= r.agreed - 3 and min(len(a), len(b)) >= 50
         assert passages.shared_passages(frame.limit(0)).count() == 0
 
+    def test_passage_beside_other_words(self, spark):
+        rng = random.Random(12)
+        vocabulary = [w + str(i) for i in range(400) for w in WORDS]
+        fresh = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+        shared, tail = fresh(52), fresh(6)
+        texts = [shared + fresh(20) + tail, shared + fresh(20) + tail]
+        block, ragged = fresh(60), fresh(200)
+        for _ in range(2):  # an exact block in copies that otherwise agree in half of their words
+            texts.append([w if i % 10 < 5 else fresh(1)[0] for i, w in enumerate(ragged[:100])] + block + [w if i % 10 < 5 else fresh(1)[0] for i, w in enumerate(ragged[100:])])
+        found = {(r.doc_id, r.other_id): r for r in passages.shared_passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+        ends = {(min(k), max(k)): (r.start_word, r.end_word) for k, r in found.items()}
+        assert set(ends) == {(0, 1), (2, 3)} and ends[0, 1] == (0, 52) and ends[2, 3][0] <= 100 and ends[2, 3][1] >= 160
+
     def test_chains(self):
         rng = random.Random(2)
         for _ in range(200):
