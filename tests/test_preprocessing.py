@@ -31,18 +31,72 @@ def test_a_jump_is_interpolated(spark):
     assert fixed.number_pedestrians == 2 and fixed.data.count() == 200
 
 
-def test_inner_gaps_and_their_order():
-    xy = np.array([[0.0, 0], [1, 0], [9, 9], [9, 9], [9, 9], [5, 0], [6, 0]])
-    back = outliers.repair(xy, [[2, 3, 4]], 1.0, np.array([-1.0, 0]))
-    assert back[2:5, 0].tolist() == [5, 3, 1]
-    forth = outliers.repair(xy, [[2, 3, 4]], 1.0, np.array([-1.0, 0]), reversed_gaps=False)
-    assert forth[2:5, 0].tolist() == [1, 3, 5]
-
-
-def test_ends_are_extrapolated():
-    xy = np.array([[9.0, 9], [9, 9], [2, 0], [3, 0], [4, 0]])
-    fixed = outliers.repair(xy, [[0, 1]], 1.0, np.array([-1.0, 0]))
-    assert fixed[:2].tolist() == [[0, 0], [0, 0]]
+def mended(spark, xs, spans, back_to_front=True):
+    """x of a track after its spans are replaced; the step is 1."""
+    track = [(f, float(x), 0.0) for f, x in enumerate(xs)]
+    kind = "id long, track array<struct<frame:long,x:double,y:double>>, mended array<struct<lo:int,hi:int>>, n int, high int"
+    one = spark.createDataFrame([(1, track, spans, len(xs), len(xs))], kind)
+    return [p.x for p in outliers.mend(one, 1.0, back_to_front).first().track]
+
+
+def test_inner_gaps_and_their_order(spark):
+    xs = [0, 1, 9, 9, 9, 5, 6]
+    assert mended(spark, xs, [(2, 5)])[2:5] == [5, 3, 1]
+    assert mended(spark, xs, [(2, 5)], back_to_front=False)[2:5] == [1, 3, 5]
+
+
+def test_ends_are_extrapolated(spark):
+    # the mean direction of these steps points to smaller x
+    assert mended(spark, [9, 9, 2, 3, 4, 5], [(0, 2)])[:2] == [0, 0]
+    assert mended(spark, [0, 1, 2, 3, 90, 91, 92], [(4, 7)])[4:] == [3, 6, 6]
+
+
+def brute(xs, typical, tolerance=3.0, max_length=8, critical=10):
+    """Spans of wrong positions of one track, place by place, as documented."""
+    jumps = [i for i in range(1, len(xs)) if abs(xs[i] - xs[i - 1]) > tolerance * typical]
+    spans = []
+    for j in jumps:
+        if spans and spans[-1][1] >= j:
+            continue
+        if j == 1 and (len(jumps) % 2 == 1) != (jumps[-1] == len(xs) - 1):
+            spans.append((0, 1))
+            continue
+        end = j + 1
+        while end < len(xs) and abs(xs[end] - xs[j - 1]) > typical * 1.5 * (end - j + 1):
+            end += 1
+        if end - j > max_length and j > critical:
+            return [*spans, (j, end)], True
+        if end - j > max_length and j < critical:
+            spans = [(1 if spans and spans[0] == (0, 1) else 0, j)]
+        else:
+            spans.append((j, end))
+    return spans, False
+
+
+def test_spans_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, tracks = [], {}
+    for i in range(120):
+        xs = np.cumsum(rng.uniform(0.05, 0.1, int(rng.integers(1, 60))))
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(xs)))
+            xs[at : at + int(rng.choice([1, 2, 5, 9, 30]))] += rng.choice([-4.0, 3.0])
+        tracks[i] = xs.tolist()
+        rows.append((i, [(f, float(x), 0.0) for f, x in enumerate(xs)]))
+    frame = spark.createDataFrame(rows, "id long, track array<struct<frame:long,x:double,y:double>>")
+    found = outliers.with_spans(outliers.with_jumps(frame, 0.3), 0.1, 8, 10).collect()
+    for r in found:
+        assert ([(s.lo, s.hi) for s in r.spans], r.broken) == brute(tracks[r.id], 0.1), r.id
+    assert any(r.broken for r in found) and any(len(r.spans) > 1 for r in found) and any(r.spans and r.spans[0].lo == 0 for r in found)
+
+
+def test_displacements_only_crop(spark):
+    late = traj(spark, straight(1, 400) + straight(2, 100, {f: 50.0 for f in range(88, 100)}))
+    cropped, changes = outliers.detect_anomalies(late, quantile=0.9, displacements_only=True, critical_length_traj=20)
+    assert cropped.data.where("id = 2").count() == 88 and [r.original_id for r in changes.collect()] == [2]
+    single = traj(spark, straight(1, 400) + straight(2, 100, {50: 5.0}))
+    same, changes = outliers.detect_anomalies(single, quantile=0.9, displacements_only=True)
+    assert changes.count() == 0 and same.data.where("id = 2 and frame = 50").first().x == pytest.approx(10.0)
 
 
 def test_beyond_repair(spark):
