@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from stridewise.errors import GeometryError
+
 #: Cells that are cut together, and rows of a distance matrix at a time.
 BATCH = 2048
+#: Neighbours of each point that are put in order at once; most cells are done before they are used up.
+NEAREST = 24
 
 
 def clip_many(px: np.ndarray, py: np.ndarray, count: np.ndarray, a, b, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +69,7 @@ def voronoi(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]
 
 def _voronoi_rows(x, y, lo, hi, box, corners):
     own_x, own_y = x[lo:hi], y[lo:hi]
-    m = hi - lo
+    n, m = len(x), hi - lo
     left, low, right, high = box
     px = np.tile([left, right, right, left], (m, 1)).astype(float)
     py = np.tile([low, low, high, high], (m, 1)).astype(float)
@@ -78,16 +82,21 @@ def _voronoi_rows(x, y, lo, hi, box, corners):
     square = dx * dx + dy * dy
     square[np.arange(m), np.arange(lo, hi)] = np.inf
     square[square == 0] = np.inf  # points at one place share their cell's bounds
-    order = np.argsort(square, axis=1, kind="stable")
+    # the nearest ones in order, and all of them for the few cells that need more
+    few = min(NEAREST, n)
+    part = np.argpartition(square, few - 1, axis=1)[:, :few] if few < n else np.broadcast_to(np.arange(n), (m, n))
+    order = np.take_along_axis(part, np.argsort(np.take_along_axis(square, part, 1), axis=1, kind="stable"), 1)
     active = np.arange(m)
-    for k in range(len(x) - 1):
+    place = np.arange(m)  # rows of ``order`` that belong to the active cells
+    for k in range(n - 1):
+        if k == order.shape[1]:
+            order, place = np.argsort(square[active], axis=1, kind="stable"), np.arange(len(active))
         reach = np.where(np.arange(px.shape[1]) < count[active, None], (px[active] - own_x[active, None]) ** 2 + (py[active] - own_y[active, None]) ** 2, 0).max(axis=1)
-        nearest = order[active, k]
-        far = square[active, nearest]
-        active = active[far <= 4 * reach]
+        nearest = order[place, k]
+        on = square[active, nearest] <= 4 * reach
+        active, place, other = active[on], place[on], nearest[on]
         if not len(active):
             break
-        other = order[active, k]
         a, b = x[other] - own_x[active], y[other] - own_y[active]
         c = (x[other] ** 2 - own_x[active] ** 2 + y[other] ** 2 - own_y[active] ** 2) / 2
         qx, qy, q = clip_many(px[active], py[active], count[active], a, b, c)
@@ -123,7 +132,11 @@ def adjacency(pieces) -> list[tuple[int, int, float, float, float]]:
 
 
 def cells_in_area(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, count: np.ndarray, pieces, borders) -> list[list[np.ndarray]]:
-    """For each cell, its convex pieces inside the area; of parts that do not touch, the one around the point."""
+    """For each cell, its convex pieces inside the area; of parts that do not touch, the one around the point.
+
+    A point outside the area has none of the parts for its own, which is an
+    error if there are several.
+    """
     n = len(x)
     found: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
     for k, piece in enumerate(pieces):
@@ -145,9 +158,6 @@ def cells_in_area(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
 def _around(parts: list[tuple[int, np.ndarray]], home: int, borders) -> list[np.ndarray]:
     """The parts that hang together with the one in piece ``home``."""
     have = {k: p for k, p in parts}
-    if home not in have:
-        return [p for _, p in parts]
-    reached, queue = {home}, [home]
     links: dict[int, set[int]] = {}
     for i, j, x, low, high in borders:
         if i in have and j in have:
@@ -156,11 +166,16 @@ def _around(parts: list[tuple[int, np.ndarray]], home: int, borders) -> list[np.
             if len(mine) > 1 and len(theirs) > 1 and min(mine.max(), theirs.max(), high) - max(mine.min(), theirs.min(), low) > 1e-10:
                 links.setdefault(i, set()).add(j)
                 links.setdefault(j, set()).add(i)
+    outside = home not in have
+    reached = {next(iter(have)) if outside else home}
+    queue = list(reached)
     while queue:
         for j in links.get(queue.pop(), ()):
             if j not in reached:
                 reached.add(j)
                 queue.append(j)
+    if outside and len(reached) < len(have):
+        raise GeometryError("a cell has several parts in the walkable area and its pedestrian is in none of them")
     return [have[k] for k in sorted(reached)]
 
 

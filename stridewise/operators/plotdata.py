@@ -40,3 +40,8 @@ def mean_profile(profile: DataFrame) -> DataFrame:
 def time_distance_starts(time_distance: DataFrame) -> DataFrame:
     """The row of each pedestrian's first frame."""
     return time_distance.groupBy("id").agg(F.min_by(F.struct(*[c for c in time_distance.columns if c != "id"]), "frame").alias("first")).select("id", "first.*")
+
+
+def time_distance_with_speed(time_distance: DataFrame, individual_speed: DataFrame) -> DataFrame:
+    """Times and distances to a line with the speed of each row; rows without a speed are left out."""
+    return time_distance.join(individual_speed.select("id", "frame", "speed"), ["id", "frame"])

@@ -199,6 +199,23 @@ def profiles(
     return density_profile(data, density_method, grid_size, **area, **width), speed_profile(data, speed_method, grid_size, **area, **width)
 
 
+def voronoi_profiles(
+    data: DataFrame,
+    grid_size: float,
+    walkable_area: WalkableArea | None = None,
+    axis_aligned_measurement_area: AxisAlignedMeasurementArea | None = None,
+) -> DataFrame:
+    """(frame, row, col, density, speed): both Voronoi profiles of cells with speeds, which are cut once."""
+    grid = grid_cells(walkable_area, axis_aligned_measurement_area, grid_size)
+    cut = grid_cell_polygon_intersection_area(data, grid)
+    whole = data.select("id", "frame", "speed", exprs.area(F.col("polygon")).alias("whole"))
+    size = F.lit(grid.size * grid.size)
+    sums = cut.join(whole, ["id", "frame"]).groupBy("frame", "row", "col")
+    both = sums.agg((F.sum(F.col("area") / F.col("whole")) / size).alias("density"), (F.sum(F.col("area") * F.col("speed")) / size).alias("speed"))
+    spine = grid.cells(data.select("frame").distinct())
+    return spine.join(both, ["frame", "row", "col"], "left").fillna(0.0, ["density", "speed"]).select("frame", "row", "col", "density", "speed")
+
+
 def rset_map(traj_data: TrajectoryData, grid_size: float, walkable_area: WalkableArea | None = None, axis_aligned_measurement_area: AxisAlignedMeasurementArea | None = None, method: RsetMethod = RsetMethod.MAX) -> DataFrame:
     """(row, col, value): latest, earliest or mean time in each cell, null where nobody was."""
     check_trajectory(traj_data)

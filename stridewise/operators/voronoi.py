@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from stridewise.errors import ArgumentValueError
 from stridewise.geometry import exprs, kernel, shapes
 from stridewise.model import Cutoff, TrajectoryData, WalkableArea, check_trajectory
-from stridewise.shipping import ship
+from stridewise.shipping import partitions, ship
 
 #: Cells nearer than this are neighbours.
 CONTACT = 1e-9
@@ -70,7 +70,6 @@ def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: Walkab
         warnings.warn("use_blind_points has no effect: cells of any number of pedestrians are computed", DeprecationWarning, stacklevel=2)
     ship(traj_data.data.sparkSession)
     left, low, right, high = walkable_area.bounds
-    pad = 1.0 + max(right - left, high - low)
     pieces = [p if shapes.signed_area(p) > 0 else p[::-1] for p in walkable_area.pieces]
     borders = kernel.adjacency(pieces) if len(pieces) > 1 else []
     corners = list(cut_off.corners) if cut_off else None
@@ -83,7 +82,8 @@ def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: Walkab
             parts = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 x, y = xs[a:b], ys[a:b]
-                box = (min(left, x.min()) - pad, min(low, y.min()) - pad, max(right, x.max()) + pad, max(high, y.max()) + pad)
+                # what lies outside the area's box is cut off anyway; it grows for pedestrians out there alone
+                box = (min(left, x.min()), min(low, y.min()), max(right, x.max()), max(high, y.max()))
                 parts.append(kernel.voronoi(x, y, box, corners))
             width = max(p[0].shape[1] for p in parts)
             px, py = (np.concatenate([kernel._padded(p[i], width) for p in parts]) for i in (0, 1))
@@ -91,7 +91,7 @@ def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: Walkab
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(frames), _nested(cells)], names=["id", "frame", "polygon"])
 
     rows = traj_data.data.select("id", "frame", "x", "y").where("x is not null and y is not null")
-    rows = rows.repartition("frame").sortWithinPartitions("frame", "id")
+    rows = rows.repartition(partitions(rows), "frame").sortWithinPartitions("frame", "id")
     found = rows.mapInArrow(run, f"id long, frame long, polygon {exprs.PIECES}")
     size = exprs.area(F.col("polygon"))
     return found.withColumn("density", F.when(size > 0, 1.0 / size).otherwise(F.lit(float("inf"))))
@@ -116,7 +116,8 @@ def neighbors(individual_voronoi_data: DataFrame, as_list: bool = True) -> DataF
                     at += [frames[a], frames[a]]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(at, pa.int64()), pa.array(other, pa.int64())], names=["id", "frame", "neighbor_id"])
 
-    rows = individual_voronoi_data.select("id", "frame", "polygon").repartition("frame").sortWithinPartitions("frame", "id")
+    rows = individual_voronoi_data.select("id", "frame", "polygon")
+    rows = rows.repartition(partitions(rows), "frame").sortWithinPartitions("frame", "id")
     pairs = rows.mapInArrow(run, "id long, frame long, neighbor_id long")
     if not as_list:
         return pairs.orderBy("frame", "id", "neighbor_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stridewise.model import Cutoff
-from stridewise.plans.view import CUTOFF, SQL
+from stridewise.plans.view import CUTOFF, GRID_SHIFT, OBSTACLE, SQL
 
 R = lambda v: f"(round({v}, 6) + 0.0)"
 INSIDE = "x > -1.5 AND x < 1.5 AND y > 0 AND y < 5"
@@ -72,8 +72,9 @@ def _line(value: str, up: str, down: str, total: str, flip: bool) -> str:
     return SQL + LINE + f' SELECT frame, {R("u")} AS "{up}", {R("d")} AS "{down}", {R("coalesce(u, 0) + coalesce(d, 0)")} AS {total} FROM (SELECT frame, sum({value}) FILTER (species = 1) AS u, {minus}sum({value}) FILTER (species = -1) AS d FROM ls GROUP BY frame)'
 
 
-# the grid over x -4..4, y 0..5, cells of 1 m
-GRID = ", fr AS (SELECT DISTINCT frame FROM t), g AS (SELECT frame, r.r::INTEGER AS row, c.c::INTEGER AS col FROM fr, range(5) r(r), range(8) c(c)), b AS (SELECT *, greatest(4 - floor(y), 0)::INTEGER AS row, least(floor(x + 4), 7)::INTEGER AS col FROM t WHERE x >= -4 AND x <= 4 AND y >= 0 AND y <= 5)"
+# the grid over x -4..4 less S, y 0..5 and S more, cells of 1 m
+S = repr(GRID_SHIFT) + "::DOUBLE"
+GRID = f", fr AS (SELECT DISTINCT frame FROM t), g AS (SELECT frame, r.r::INTEGER AS row, c.c::INTEGER AS col FROM fr, range(5) r(r), range(8) c(c)), b AS (SELECT *, greatest(4 - floor(y - {S}), 0)::INTEGER AS row, least(floor(x + 4 + {S}), 7)::INTEGER AS col FROM t WHERE x >= -4 - {S} AND x <= 4 - {S} AND y >= {S} AND y <= 5 + {S})"
 
 
 def _grid(value: str, source: str, fill: str) -> str:
@@ -84,9 +85,9 @@ _SIGMA = "(1.0 / 2.35482)"
 _BELL = lambda d: f"(1 / (2.50662 * {_SIGMA}) * exp(-({d}) * ({d}) / (2 * {_SIGMA} * {_SIGMA})))"
 _GS = "(0.5 / (2 * sqrt(2 * ln(2))))"
 _OVER = CELLS + EXCLUDE + f""", ov AS (SELECT frame, id, area, speed, row, col, {polygon_area('q')} AS part FROM (
-  SELECT c.frame, c.id, c.area, v.speed, r.r::INTEGER AS row, k.k::INTEGER AS col, list_reduce([[{{'x': 1.0::DOUBLE, 'y': 0.0::DOUBLE, 'w': (k.k - 3)::DOUBLE}}], [{{'x': -1.0::DOUBLE, 'y': 0.0::DOUBLE, 'w': (4 - k.k)::DOUBLE}}], [{{'x': 0.0::DOUBLE, 'y': 1.0::DOUBLE, 'w': (5 - r.r)::DOUBLE}}], [{{'x': 0.0::DOUBLE, 'y': -1.0::DOUBLE, 'w': (r.r - 4)::DOUBLE}}]], {_CLIP}, c.p) AS q
+  SELECT c.frame, c.id, c.area, v.speed, r.r::INTEGER AS row, k.k::INTEGER AS col, list_reduce([[{{'x': 1.0::DOUBLE, 'y': 0.0::DOUBLE, 'w': (k.k - 3 - {S})::DOUBLE}}], [{{'x': -1.0::DOUBLE, 'y': 0.0::DOUBLE, 'w': (4 + {S} - k.k)::DOUBLE}}], [{{'x': 0.0::DOUBLE, 'y': 1.0::DOUBLE, 'w': (5 + {S} - r.r)::DOUBLE}}], [{{'x': 0.0::DOUBLE, 'y': -1.0::DOUBLE, 'w': (r.r - 4 - {S})::DOUBLE}}]], {_CLIP}, c.p) AS q
   FROM cell c JOIN v USING (id, frame), range(5) r(r), range(8) k(k)
-  WHERE list_max(list_transform(c.p, lambda u: u.x)) > k.k - 4 AND list_min(list_transform(c.p, lambda u: u.x)) < k.k - 3 AND list_max(list_transform(c.p, lambda u: u.y)) > 4 - r.r AND list_min(list_transform(c.p, lambda u: u.y)) < 5 - r.r) WHERE len(q) > 2),
+  WHERE list_max(list_transform(c.p, lambda u: u.x)) > k.k - 4 - {S} AND list_min(list_transform(c.p, lambda u: u.x)) < k.k - 3 - {S} AND list_max(list_transform(c.p, lambda u: u.y)) > 4 + {S} - r.r AND list_min(list_transform(c.p, lambda u: u.y)) < 5 + {S} - r.r) WHERE len(q) > 2),
 fr AS (SELECT DISTINCT frame FROM v), g AS (SELECT frame, r.r::INTEGER AS row, c.c::INTEGER AS col FROM fr, range(5) r(r), range(8) c(c))"""
 _RSET = lambda f: SQL + GRID + f" SELECT q.row, q.col, {R('k.v')} AS value FROM (SELECT DISTINCT row, col FROM g) q LEFT JOIN (SELECT row, col, {f}(frame / 10.0) AS v FROM b GROUP BY row, col) k USING (row, col)"
 
@@ -106,6 +107,17 @@ pr AS (SELECT a.frame, a.id, b.id AS other, a.p AS pa, b.p AS pb FROM bx a JOIN
 to1 AS (SELECT frame, id, other FROM pr WHERE least({_REACH('pa', 'pb')}, {_REACH('pb', 'pa')}) <= 1e-18),
 nb AS (SELECT id, frame, other AS neighbor_id FROM to1 UNION ALL SELECT other, frame, id FROM to1)"""
 
+# cells less what a small obstacle takes of them
+_HOLE = "[" + ", ".join(f"[{_C(a, b, c)}]" for a, b, c in ((1, 0, OBSTACLE[2]), (-1, 0, -OBSTACLE[0]), (0, 1, OBSTACLE[3]), (0, -1, -OBSTACLE[1]))) + "]"
+HOLED = CELLS + f", holed AS (SELECT frame, id, area - {polygon_area('q')} AS area FROM (SELECT *, list_reduce({_HOLE}, {_CLIP}, p) AS q FROM cell))"
+# twice through the wall's band, from [-1, 0.05] onto [0.01, 0.05]
+_PUSH = lambda d: f"(({d}) + 1) * (0.04::DOUBLE / 1.05::DOUBLE) + 0.01"
+# one position of every tenth pedestrian takes the place of the next one, as a gap of one is filled from its later end
+REPAIRED = ", o AS (SELECT id, frame, CASE WHEN id % 10 = 3 AND frame = min(frame) OVER (PARTITION BY id) + 20 THEN lead(x) OVER (PARTITION BY id ORDER BY frame) ELSE x END AS x, CASE WHEN id % 10 = 3 AND frame = min(frame) OVER (PARTITION BY id) + 20 THEN lead(y) OVER (PARTITION BY id ORDER BY frame) ELSE y END AS y, dense_rank() OVER (ORDER BY id) AS new_id FROM t)"
+_DISTANCE = "sqrt(x * x + power(y - greatest(0, least(5, y)), 2))"
+_VIEW = SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t"
+TIMES = CROSS + f", td AS (SELECT t.id, t.frame, (c.frame - t.frame) / 10.0 AS time, {_DISTANCE} AS distance FROM t JOIN c ON c.id = t.id WHERE c.frame >= t.frame)"
+
 ORACLES = {
     "traj_view": SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t",
     "frame_slice": SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t WHERE frame >= 10 AND frame < least(60, (SELECT max(frame) FROM t))",
@@ -135,7 +147,7 @@ SELECT {R('(n - n0) / (passed - ws) * 10.0')} AS flow, {R('(SELECT avg(speed) FR
     "voronoi_cells_cutoff": SQL + CUT_CELLS + f" SELECT id, frame, {R(polygon_area('p'))} AS area, {R('1 / (' + polygon_area('p') + ')')} AS density FROM around",
     "neighbors": SQL + TOUCH + " SELECT id, frame, neighbor_id FROM nb",
     "neighbor_distance": SQL + TOUCH + f" SELECT nb.id, nb.frame, neighbor_id, {R('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))')} AS distance FROM nb JOIN t a ON a.id = nb.id AND a.frame = nb.frame JOIN t b ON b.id = neighbor_id AND b.frame = nb.frame",
-    "grid_intersection_area": SQL + _OVER.replace("JOIN v USING (id, frame), range(5)", "LEFT JOIN v USING (id, frame), range(5)") + f" SELECT id, frame, row, col, (round(part + 3e-9, 6) + 0.0) AS area FROM ov WHERE part > 1e-9",
+    "grid_intersection_area": SQL + _OVER.replace("JOIN v USING (id, frame), range(5)", "LEFT JOIN v USING (id, frame), range(5)") + f" SELECT id, frame, row, col, {R('part')} AS area FROM ov WHERE part > 0",
     "intersecting_polygons": SQL + CELLS + f" SELECT id, frame, {R('part')} AS area FROM cut",
     "voronoi_density": SQL + CELLS + _filled("sum(part / area) / 15.0", "cut", "density"),
     "voronoi_speed": SQL + CELLS + EXCLUDE + _filled("sum(part * speed) / 15.0", "(SELECT cut.frame, part, speed FROM cut JOIN v USING (id, frame))", "speed"),
@@ -147,12 +159,38 @@ SELECT {R('(n - n0) / (passed - ws) * 10.0')} AS flow, {R('(SELECT avg(speed) FR
     "pair_histogram": SQL + " SELECT CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS bin, count(*) AS n FROM t a JOIN t b ON a.frame = b.frame AND a.id < b.id GROUP BY 1",
     "grid_cells": " SELECT r.r::INTEGER AS row, c.c::INTEGER AS col FROM range(5) r(r), range(8) c(c)",
     "density_profile_classic": SQL + GRID + _grid("count(*) / 1.0", "b", "0.0"),
-    "density_profile_gaussian": SQL + GRID + f" SELECT frame, row, col, {R('sum(' + _BELL('x - (-4 + col + 0.5)') + ' * ' + _BELL('y - (5 - row - 0.5)') + ')')} AS value FROM g JOIN t USING (frame) GROUP BY frame, row, col",
+    "density_profile_gaussian": SQL + GRID + f" SELECT frame, row, col, {R('sum(' + _BELL(f'x - (-4 - {S} + col + 0.5)') + ' * ' + _BELL(f'y - (5 + {S} - row - 0.5)') + ')')} AS value FROM g JOIN t USING (frame) GROUP BY frame, row, col",
     "density_profile_voronoi": SQL + _OVER + _grid("sum(part / area)", "ov", "0.0"),
     "speed_profile_voronoi": SQL + _OVER + _grid("sum(part * speed)", "ov", "0.0"),
     "speed_profile_arithmetic": SQL + _OVER + _grid("avg(speed)", "(SELECT * FROM ov WHERE part > 1e-16)", "0.0"),
-    "speed_profile_mean": SQL + EXCLUDE + ", tv AS (SELECT t.*, v.speed FROM t JOIN v USING (id, frame))" + GRID.replace("FROM t WHERE x >= -4", "FROM tv WHERE x >= -4").replace("SELECT DISTINCT frame FROM t)", "SELECT DISTINCT frame FROM tv)") + _grid("avg(speed)", "b", "-1.0"),
-    "speed_profile_gaussian": SQL + EXCLUDE + ", tv AS (SELECT t.*, v.speed FROM t JOIN v USING (id, frame))" + GRID.replace("FROM t WHERE x >= -4", "FROM tv WHERE x >= -4").replace("SELECT DISTINCT frame FROM t)", "SELECT DISTINCT frame FROM tv)") + f" SELECT frame, row, col, CASE WHEN sum(w) > 0 THEN {R('sum(w * speed) / sum(w)')} ELSE -1.0 END AS value FROM (SELECT g.*, tv.speed, exp(-(power(x - (-4 + col + 0.5), 2) + power(y - (5 - row - 0.5), 2)) / (2 * {_GS} * {_GS})) AS w FROM g JOIN tv USING (frame)) GROUP BY frame, row, col",
+    "speed_profile_mean": SQL + EXCLUDE + ", tv AS (SELECT t.*, v.speed FROM t JOIN v USING (id, frame))" + GRID.replace("FROM t WHERE x >=", "FROM tv WHERE x >=").replace("SELECT DISTINCT frame FROM t)", "SELECT DISTINCT frame FROM tv)") + _grid("avg(speed)", "b", "-1.0"),
+    "speed_profile_gaussian": SQL + EXCLUDE + ", tv AS (SELECT t.*, v.speed FROM t JOIN v USING (id, frame))" + GRID.replace("FROM t WHERE x >=", "FROM tv WHERE x >=").replace("SELECT DISTINCT frame FROM t)", "SELECT DISTINCT frame FROM tv)") + f" SELECT frame, row, col, CASE WHEN sum(w) > 0 THEN {R('sum(w * speed) / sum(w)')} ELSE -1.0 END AS value FROM (SELECT g.*, tv.speed, exp(-(power(x - (-4 - {S} + col + 0.5), 2) + power(y - (5 + {S} - row - 0.5), 2)) / (2 * {_GS} * {_GS})) AS w FROM g JOIN tv USING (frame)) GROUP BY frame, row, col",
+    "individual_speed_long_direction": SQL + EXCLUDE + f" SELECT id, frame, {R('(v_x * 3 + v_y * 4) * 125')} AS speed FROM v",
+    "flow_without_crossing": "SELECT 0.0::DOUBLE AS flow, 0.0::DOUBLE AS mean_speed, 0::BIGINT AS window_start, 0::BIGINT AS window_end WHERE false",
+    "voronoi_cells_obstacle": SQL + HOLED + f" SELECT id, frame, {R('area')} AS area FROM holed",
+    "voronoi_profiles": SQL + _OVER + f" SELECT g.frame, g.row, g.col, coalesce({R('d')}, 0.0) AS density, coalesce({R('s')}, 0.0) AS speed FROM g LEFT JOIN (SELECT frame, row, col, sum(part / area) AS d, sum(part * speed) AS s FROM ov GROUP BY ALL) k USING (frame, row, col)",
+    "compute_profiles": SQL + _OVER + ", k AS (SELECT frame, row, col, sum(part / area) AS d, sum(part * speed) AS s FROM ov GROUP BY ALL)" + f" SELECT 'density' AS profile, g.frame, g.row, g.col, coalesce({R('d')}, 0.0) AS value FROM g LEFT JOIN k USING (frame, row, col) UNION ALL SELECT 'speed', g.frame, g.row, g.col, coalesce({R('s')}, 0.0) FROM g LEFT JOIN k USING (frame, row, col)",
+    "line_validation": SQL + LINE + """, w(what, missing) AS (
+  SELECT 'species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp)) UNION ALL SELECT 'half the species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp WHERE id % 2 = 0))
+  UNION ALL SELECT 'speeds', (SELECT count(*) FROM onl LEFT JOIN v USING (id, frame) WHERE v_x IS NULL) UNION ALL SELECT 'half the speeds', (SELECT count(*) FROM onl LEFT JOIN (FROM v WHERE id % 2 = 0) h USING (id, frame) WHERE h.v_x IS NULL))
+SELECT what, CASE WHEN what LIKE '%species' THEN CASE WHEN missing = 0 THEN 'true' ELSE 'false' END WHEN missing = 0 THEN 'DATA_CORRECT' ELSE 'ENTRY_MISSING' END AS verdict FROM w UNION ALL SELECT 'speeds without components', 'COLUMN_MISSING'""",
+    "outlier_repair_planted": SQL + REPAIRED + f" SELECT new_id AS id, frame, {R('x')} AS x, {R('y')} AS y FROM o",
+    "outlier_changes": SQL + REPAIRED + " SELECT DISTINCT id AS original_id, new_id FROM o WHERE id % 10 = 3",
+    "wall_projection_one_wall": SQL + f" SELECT id, frame, {R('x')} AS x, CASE WHEN y - 0.5 <= 0.05 THEN {R('0.5 + ' + _PUSH(_PUSH('y - 0.5')))} ELSE {R('y')} END AS y FROM t",
+    "track_ends": SQL + f" SELECT id, {R('arg_min(x, frame)')} AS first_x, {R('arg_min(y, frame)')} AS first_y, {R('arg_max(x, frame)')} AS last_x, {R('arg_max(y, frame)')} AS last_y FROM t GROUP BY id",
+    "speed_distribution": SQL + EXCLUDE + f" SELECT {R('min(speed)')} AS min, {R('avg(speed)')} AS mean, {R('median(speed)')} AS median, {R('max(speed)')} AS max FROM v",
+    "density_over_time": SQL + _filled("count(*) / 15.0", f"t WHERE {INSIDE}", "density").replace("SELECT spine.frame,", f"SELECT spine.frame, {R('spine.frame / 10.0')} AS time,"),
+    "neighborhood_roles": SQL + TOUCH + f" SELECT id, {R('x')} AS x, {R('y')} AS y, CASE WHEN id = 30 THEN 'base' WHEN id IN (SELECT neighbor_id FROM nb WHERE frame = 40 AND id = 30) THEN 'neighbor' ELSE 'other' END AS role FROM t WHERE frame = 40",
+    "mean_density_profile": SQL + GRID + f" SELECT row, col, {R('avg(v)')} AS value FROM (SELECT g.frame, g.row, g.col, count(b.frame) AS v FROM g LEFT JOIN b USING (frame, row, col) GROUP BY ALL) GROUP BY row, col",
+    "time_distance_speed": SQL + TIMES + EXCLUDE.replace(", d AS", ", dd AS").replace("FROM d WHERE", "FROM dd WHERE") + f" SELECT id, frame, {R('time')} AS time, {R('distance')} AS distance, {R('speed')} AS speed FROM td JOIN v USING (id, frame)",
+    "time_distance_starts": SQL + TIMES + f" SELECT id, min(frame) AS frame, {R('arg_min(time, frame)')} AS time, {R('arg_min(distance, frame)')} AS distance FROM td GROUP BY id",
+    "sql_functions": SQL + f" SELECT id, frame, {INSIDE} AS inside, {R(_DISTANCE)} AS distance FROM t",
+    "source_text": _VIEW,
+    "source_viswalk": _VIEW,
+    "source_pathfinder_csv": _VIEW,
+    "source_crowdit": _VIEW,
+    "source_pathfinder_json": _VIEW,
+    "source_vadere": SQL + f", n AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM t WINDOW w AS (PARTITION BY id ORDER BY frame)) SELECT id, 2 * frame AS frame, {R('x')} AS x, {R('y')} AS y FROM n UNION ALL SELECT id, 2 * frame + 1, {R('(x + x1) / 2')}, {R('(y + y1) / 2')} FROM n WHERE x1 IS NOT NULL",
     "rset_map_max": _RSET("max"),
     "rset_map_min": _RSET("min"),
     "rset_map_mean": _RSET("avg"),

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stridewise.enums import DensityMethod, RsetMethod, SpeedCalculation, SpeedMethod
+from stridewise.functions import register_functions
 from stridewise.geometry import exprs
 from stridewise.model import Cutoff, WalkableArea
-from stridewise.operators import acceleration, density, flow, movement, profiles, spatial, speed, validity, voronoi
-from stridewise.plans import oracle
+from stridewise.operators import acceleration, density, flow, line, movement, plotdata, profiles, spatial, speed, validity, voronoi
+from stridewise.plans import fixtures, oracle
 from stridewise.plans import view as v
 from stridewise.preprocessing import outliers, projection
+from stridewise.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -183,8 +185,8 @@ def voronoi_acceleration(spark, sf_dir):
 
 
 def _cells_and_species(spark, sf_dir):
-    # both the species and the measure at the line read the cells: computed once, spilled to disk if need be
-    cells = v.cells(spark, sf_dir).persist()
+    # both the species and the measure at the line read the cells; nothing is kept from one query to the next
+    cells = v.cells(spark, sf_dir)
     return cells, speed.species(v.trajectory(spark, sf_dir), cells, v.LINE, v.FRAME_STEP)
 
 
@@ -244,14 +246,9 @@ def grid_cells(spark, sf_dir):
     return profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0).cells(spark.range(1)).select("row", "col")
 
 
+@_query
 def grid_intersection_area(spark, sf_dir):
-    grid = profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0)
-    found = profiles.grid_cell_polygon_intersection_area(v.cells(spark, sf_dir), grid).where("area > 1e-9")
-    # areas of cells along the axes often lie halfway between two rounded values: move them off
-    return _rounded(found.withColumn("area", F.col("area") + 3e-9))
-
-
-_QUERIES["grid_intersection_area"] = grid_intersection_area
+    return profiles.grid_cell_polygon_intersection_area(v.cells(spark, sf_dir), profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0))
 
 
 @_query
@@ -317,6 +314,147 @@ for _name, _method in (("max", RsetMethod.MAX), ("min", RsetMethod.MIN), ("mean"
     _QUERIES[f"rset_map_{_name}"] = _rset(_method)
 
 
+@_query
+def individual_speed_long_direction(spark, sf_dir):
+    """A direction that is not a unit vector: its length counts four times."""
+    return _speeds(spark, sf_dir, movement_direction=(3.0, 4.0))
+
+
+@_query
+def flow_without_crossing(spark, sf_dir):
+    trajectory = v.trajectory(spark, sf_dir)
+    curve, crossings = flow.n_t(trajectory, v.FAR_LINE)
+    return flow.flow(curve, crossings, _speeds(spark, sf_dir), 20, v.FRAME_RATE)
+
+
+@_query
+def voronoi_cells_obstacle(spark, sf_dir):
+    """Cells in an area with a hole, which is cut into trapezoids."""
+    cells = voronoi.individual_voronoi_polygons(v.trajectory(spark, sf_dir), v.WITH_OBSTACLE)
+    return cells.select("id", "frame", exprs.area(F.col("polygon")).alias("area"))
+
+
+@_query
+def voronoi_profiles(spark, sf_dir):
+    return profiles.voronoi_profiles(_with_cells(spark, sf_dir), **_grid())
+
+
+@_query
+def compute_profiles(spark, sf_dir):
+    density_, speed_ = profiles.profiles(_with_cells(spark, sf_dir), 1.0, SpeedMethod.VORONOI, axis_aligned_measurement_area=v.GRID_AREA)
+    named = lambda df, name: df.select(F.lit(name).alias("profile"), "frame", "row", "col", "value")
+    return named(density_, "density").unionByName(named(speed_, "speed"))
+
+
+@_query
+def line_validation(spark, sf_dir):
+    """What the checks of species and speeds say, for complete and for missing rows."""
+    cells, kinds = _cells_and_species(spark, sf_dir)
+    speeds = _velocities(spark, sf_dir)
+    found = [
+        ("species", str(line.is_species_valid(kinds, cells, v.LINE)).lower()),
+        ("half the species", str(line.is_species_valid(kinds.where("id % 2 = 0"), cells, v.LINE)).lower()),
+        ("speeds", line.is_individual_speed_valid(speeds, cells, v.LINE).name),
+        ("half the speeds", line.is_individual_speed_valid(speeds.where("id % 2 = 0"), cells, v.LINE).name),
+        ("speeds without components", line.is_individual_speed_valid(speeds.drop("v_x"), cells, v.LINE).name),
+    ]
+    return spark.createDataFrame(found, "what string, verdict string")
+
+
+@_query
+def outlier_repair_planted(spark, sf_dir):
+    """Single jumps planted in some trajectories are replaced, ids become 1 to n."""
+    return outliers.detect_anomalies(v.jumping(spark, sf_dir))[0].data
+
+
+@_query
+def outlier_changes(spark, sf_dir):
+    return outliers.detect_anomalies(v.jumping(spark, sf_dir))[1]
+
+
+@_query
+def wall_projection_one_wall(spark, sf_dir):
+    return projection.correct_invalid_trajectories(v.trajectory(spark, sf_dir), v.ABOVE_WALL)[0].data
+
+
+@_query
+def track_ends(spark, sf_dir):
+    return plotdata.ends(v.trajectory(spark, sf_dir))
+
+
+@_query
+def speed_distribution(spark, sf_dir):
+    return plotdata.distribution(_speeds(spark, sf_dir), "speed")
+
+
+@_query
+def density_over_time(spark, sf_dir):
+    return plotdata.with_time(density.classic_density(v.trajectory(spark, sf_dir), v.AREA), v.FRAME_RATE)
+
+
+@_query
+def neighborhood_roles(spark, sf_dir):
+    near = voronoi.neighbors(v.cells(spark, sf_dir), as_list=False)
+    return plotdata.neighborhood_at(near, v.trajectory(spark, sf_dir), 40, 30)
+
+
+@_query
+def mean_density_profile(spark, sf_dir):
+    return plotdata.mean_profile(profiles.density_profile(v.trajectory(spark, sf_dir).data, DensityMethod.CLASSIC, **_grid()))
+
+
+@_query
+def time_distance_speed(spark, sf_dir):
+    return plotdata.time_distance_with_speed(flow.time_distance_line(v.trajectory(spark, sf_dir), v.LINE), _speeds(spark, sf_dir))
+
+
+@_query
+def time_distance_starts(spark, sf_dir):
+    return plotdata.time_distance_starts(flow.time_distance_line(v.trajectory(spark, sf_dir), v.LINE))
+
+
+@_query
+def sql_functions(spark, sf_dir):
+    register_functions(spark, {"measured": v.AREA}, {"door": v.LINE})
+    v.trajectory(spark, sf_dir).data.createOrReplaceTempView("stridewise_positions")
+    return spark.sql("SELECT id, frame, in_measured(x, y) AS inside, distance_to_door(x, y) AS distance FROM stridewise_positions")
+
+
+@_query
+def source_text(spark, sf_dir):
+    """Positions written by the text writer and read back."""
+    path = fixtures.folder(spark, "text")
+    files.write_trajectory_txt(v.trajectory(spark, sf_dir), path)
+    return files.load_trajectory(path, spark=spark).data
+
+
+@_query
+def source_viswalk(spark, sf_dir):
+    return files.load_trajectory_from_viswalk(fixtures.viswalk(v.trajectory(spark, sf_dir)), spark=spark).data
+
+
+@_query
+def source_pathfinder_csv(spark, sf_dir):
+    return files.load_trajectory_from_pathfinder_csv(fixtures.csv(v.trajectory(spark, sf_dir), ("id", "t", "x", "y")), spark=spark).data
+
+
+@_query
+def source_crowdit(spark, sf_dir):
+    return files.load_trajectory_from_crowdit(fixtures.csv(v.trajectory(spark, sf_dir), ("pedID", "time", "posX", "posY")), spark=spark).data
+
+
+@_query
+def source_pathfinder_json(spark, sf_dir):
+    few = v.trajectory(spark, sf_dir)
+    return files.load_trajectory_from_pathfinder_json(fixtures.nested_json(few), spark=spark).data
+
+
+@_query
+def source_vadere(spark, sf_dir):
+    """Events at the frames' times, resampled to twice the rate."""
+    return files.load_trajectory_from_vadere(fixtures.events(v.trajectory(spark, sf_dir)), 2 * v.FRAME_RATE, spark=spark).data
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

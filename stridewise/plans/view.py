@@ -12,8 +12,25 @@ FRAME_STEP = 5
 CUTOFF = 0.8
 WALKABLE = WalkableArea([(-15, 0), (20, 0), (20, 5), (-15, 5)])
 AREA = MeasurementArea([(-1.5, 0), (1.5, 0), (1.5, 5), (-1.5, 5)])
-GRID_AREA = AxisAlignedMeasurementArea(-4, 0, 4, 5)
+#: The grid lies off the lanes' pitch: no edge of a cell runs along its lines, where float noise would decide. Exact in binary.
+GRID_SHIFT = 449 / 32768
+GRID_AREA = AxisAlignedMeasurementArea(-4 - GRID_SHIFT, GRID_SHIFT, 4 - GRID_SHIFT, 5 + GRID_SHIFT)
 LINE = MeasurementLine([(0, 0), (0, 5)])
+#: Nobody comes here.
+FAR_LINE = MeasurementLine([(19, 0), (19, 5)])
+#: The box with a small square taken out, where cells are so wide that it cuts none in two.
+OBSTACLE = (15.0, 2.4, 15.2, 2.6)
+WITH_OBSTACLE = WalkableArea([(-15, 0), (20, 0), (20, 5), (-15, 5)], [[(15.0, 2.4), (15.2, 2.4), (15.2, 2.6), (15.0, 2.6)]])
+#: Its lower wall is the only one that anybody comes near to.
+ABOVE_WALL = WalkableArea([(-20, 0.5), (25, 0.5), (25, 9), (-20, 9)])
+
+
+def jumping(spark: SparkSession, sf_dir: str) -> TrajectoryData:
+    """The trajectory with one position of every tenth pedestrian 50 m off."""
+    found = trajectory(spark, sf_dir)
+    start = F.min("frame").over(Window.partitionBy("id"))
+    off = F.when((F.col("id") % 10 == 3) & (F.col("frame") == start + 20), 50.0).otherwise(0.0)
+    return TrajectoryData(found.data.withColumn("x", F.col("x") + off), FRAME_RATE)
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> TrajectoryData:

@@ -11,7 +11,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -32,3 +32,13 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle whose rows go to Python.
+
+    Unless told a number, Spark merges partitions by their bytes, however long
+    their rows take; so the session's number holds, or one for each core.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

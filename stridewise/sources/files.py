@@ -1,14 +1,15 @@
 """Trajectories and areas from files of experiments and simulations.
 
-Rows are read by Spark; only headers and small geometry files are opened on
-the driver.
+Text, CSV, JSON and XML files are found and read through Spark's file systems,
+so they can lie in any store that Spark reads; a folder that Spark has written
+counts as a file. SQLite and HDF5 files are opened by their own libraries, on
+paths that all machines see.
 """
 
 from __future__ import annotations
 
 import json
 import logging
-import math
 import os
 import sqlite3
 import xml.etree.ElementTree as ElementTree
@@ -25,14 +26,29 @@ from stridewise.geometry.shapes import Polygon
 from stridewise.model import TrajectoryData, WalkableArea
 
 _log = logging.getLogger(__name__)
+#: Lines that a header is looked for in.
+HEADER_LINES = 200
+_MARK = "\ufeff"
 
 
 def _session(spark: SparkSession | None) -> SparkSession:
     return spark or SparkSession.builder.getOrCreate()
 
 
+def locate(path: str | os.PathLike, spark: SparkSession) -> str:
+    """The path of an existing file, as Spark takes it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(os.fspath(path))
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        raise LoadError(f"{path} does not exist")
+    if store.getFileStatus(at).isDirectory() and not store.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+        raise LoadError(f"{path} is not a file")
+    return os.fspath(path)
+
+
 def check_file(path: str | os.PathLike) -> Path:
-    """The path of an existing file."""
+    """The path of an existing file that this machine opens itself."""
     path = Path(path)
     if not path.exists():
         raise LoadError(f"{path} does not exist")
@@ -41,10 +57,19 @@ def check_file(path: str | os.PathLike) -> Path:
     return path
 
 
-def _lines(spark: SparkSession, path: Path) -> DataFrame:
+def _head(spark: SparkSession, path: str) -> list[str]:
+    """The first lines, without a byte order mark."""
+    return [r.value.removeprefix(_MARK) for r in spark.read.text(path).take(HEADER_LINES)]
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole."""
+    return spark.read.text(path, wholetext=True).first().value.removeprefix(_MARK)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines without a byte order mark."""
-    text = spark.read.text(path.resolve().as_uri())
-    return text.select(F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
+    return spark.read.text(path).select(F.ltrim("value", F.lit(_MARK)).alias("value")).where(F.trim("value") != "")
 
 
 def _whole(columns: DataFrame, names: list[str], what: str) -> DataFrame:
@@ -78,25 +103,24 @@ def _timed(times: DataFrame) -> TrajectoryData:
 # ---------------------------------------------------------------- text archives
 
 
-def text_header(path: Path, default_frame_rate: float | None, default_unit: TrajectoryUnit | None) -> tuple[float, TrajectoryUnit]:
+def text_header(lines: list[str], path: str, default_frame_rate: float | None, default_unit: TrajectoryUnit | None) -> tuple[float, TrajectoryUnit]:
     """Frame rate and unit from the leading comment lines, held against the defaults."""
     rate = unit = None
-    with open(path, encoding="utf-8-sig") as file:
-        for line in file:
-            if not line.startswith("#"):
-                break
-            low = line.lower()
-            if "framerate" in line and rate is None:
-                for word in line.split():
-                    try:
-                        rate = float(word)
-                        break
-                    except ValueError:
-                        continue
-            if "x/cm" in low or "in cm" in low:
-                unit = TrajectoryUnit.CENTIMETER
-            if "x/m" in low or "in m" in low:
-                unit = TrajectoryUnit.METER
+    for line in lines:
+        if not line.startswith("#"):
+            break
+        low = line.lower()
+        if "framerate" in line and rate is None:
+            for word in line.split():
+                try:
+                    rate = float(word)
+                    break
+                except ValueError:
+                    continue
+        if "x/cm" in low or "in cm" in low:
+            unit = TrajectoryUnit.CENTIMETER
+        if "x/m" in low or "in m" in low:
+            unit = TrajectoryUnit.METER
     found = []
     for name, own, default in (("frame rate", rate, default_frame_rate), ("unit", unit, default_unit)):
         if own is None and default is None:
@@ -111,10 +135,11 @@ def text_header(path: Path, default_frame_rate: float | None, default_unit: Traj
 
 def load_trajectory_from_txt(trajectory_file, default_frame_rate: float | None = None, default_unit: TrajectoryUnit | None = None, spark: SparkSession | None = None) -> TrajectoryData:
     """White-space separated id, frame, x, y (further columns are ignored); ``#`` starts a comment; centimetres become metres."""
-    path = check_file(trajectory_file)
-    rate, unit = text_header(path, default_frame_rate, default_unit)
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    rate, unit = text_header(_head(spark, path), path, default_frame_rate, default_unit)
     text = F.trim(F.regexp_replace("value", "#.*", ""))
-    parts = _lines(_session(spark), path).select(F.split(text, r"\s+").alias("p")).where("p[0] != ''")
+    parts = _lines(spark, path).select(F.split(text, r"\s+").alias("p")).where("p[0] != ''")
     cell = lambda i, kind: F.expr(f"try_cast(get(p, {i}) AS {kind})")
     scale = F.lit(float(unit.value))
     rows = parts.select(cell(0, "bigint").alias("id"), cell(1, "bigint").alias("frame"), (cell(2, "double") / scale).alias("x"), (cell(3, "double") / scale).alias("y"))
@@ -131,7 +156,7 @@ def write_trajectory_txt(traj_data: TrajectoryData, path: str) -> None:
     """Tab-separated text with a frame rate header, one file per partition."""
     header = f"#framerate: {traj_data.frame_rate}\n#ID\tFR\tX/m\tY/m"
     rows = traj_data.data.select(F.concat_ws("\t", "id", "frame", "x", "y").alias("value"))
-    rows.coalesce(1).mapInArrow(_with_header(header), "value string").write.text(path)
+    rows.mapInArrow(_with_header(header), "value string").write.text(path)
 
 
 def _with_header(header: str):
@@ -139,7 +164,8 @@ def _with_header(header: str):
 
     def run(batches):
         yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
-        yield from batches
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
     return run
 
@@ -172,9 +198,13 @@ class Hdf5Reader(DataSourceReader):
         return [_Range(lo, min(n, lo + self.ROWS)) for lo in range(0, n, self.ROWS)] or [_Range(0, 0)]
 
     def read(self, partition):
+        import pyarrow as pa
+
         with _h5py().File(self.path) as file:
-            for row in file["trajectory"][partition.low : partition.high]:
-                yield tuple(v.item() for v in row)
+            rows = file["trajectory"][partition.low : partition.high]
+        kinds = {"i": "int64", "u": "int64", "f": "float64"}
+        columns = {n: pa.array(rows[n].astype(kinds.get(rows.dtype[n].kind, str))) for n in rows.dtype.names}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 class Hdf5Source(DataSource):
@@ -218,26 +248,32 @@ def load_walkable_area_from_hdf5(trajectory_file) -> WalkableArea:
 
 
 class SqliteReader(DataSourceReader):
-    PARTS = 16
+    """Ranges of row numbers, by which the file is ordered."""
+
+    ROWS = 1_000_000
 
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            low, high = db.execute("SELECT min(frame), max(frame) FROM trajectory_data").fetchone()
+            low, high = db.execute("SELECT min(rowid), max(rowid) FROM trajectory_data").fetchone()
         if low is None:
             return [_Range(0, 0)]
-        step = max(1, math.ceil((high + 1 - low) / self.PARTS))
-        return [_Range(f, min(high + 1, f + step)) for f in range(low, high + 1, step)]
+        return [_Range(at, min(high + 1, at + self.ROWS)) for at in range(low, high + 1, self.ROWS)]
 
     def read(self, partition):
+        import pyarrow as pa
+
+        kinds = {"id": pa.int64(), "frame": pa.int64(), "x": pa.float64(), "y": pa.float64()}
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            yield from db.execute("SELECT id, frame, pos_x, pos_y FROM trajectory_data WHERE frame >= ? AND frame < ?", (partition.low, partition.high))
+            rows = db.execute("SELECT id, frame, pos_x, pos_y FROM trajectory_data WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+            while some := rows.fetchmany(50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 class SqliteSource(DataSource):
-    """Positions of a simulator's SQLite file that all machines see, a range of frames per task."""
+    """Positions of a simulator's SQLite file that all machines see, a range of rows per task."""
 
     @classmethod
     def name(cls):
@@ -289,26 +325,27 @@ def load_walkable_area_from_sqlite(trajectory_file) -> WalkableArea:
 
 def load_trajectory_from_viswalk(trajectory_file, spark: SparkSession | None = None) -> TrajectoryData:
     """``;``-separated, a first line to skip, ``*`` starts a comment; NO, SIMSEC, COORDCENTX, COORDCENTY."""
-    path = check_file(trajectory_file)
-    with open(path, encoding="utf-8-sig") as file:
-        next(file, None)
-        header = next((s for line in file if (s := line.split("*")[0].strip())), "")
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    head = _head(spark, path)
+    first = head[0].split("*")[0].strip() if head else ""
+    header = next((t for line in head[1:] if (t := line.split("*")[0].strip())), "")
     names = [n.replace("$PEDESTRIAN:", "").strip() for n in header.split(";")]
     wanted = {"NO": ("id", "bigint"), "SIMSEC": ("time", "double"), "COORDCENTX": ("x", "double"), "COORDCENTY": ("y", "double")}
     missing = [n for n in wanted if n not in names]
     if missing:
         raise LoadError(f"{path} lacks the columns {', '.join(missing)}; it should be separated by ';'")
-    first = "" if not path.stat().st_size else open(path, encoding="utf-8-sig").readline().rstrip("\r\n")
-    lines = _lines(_session(spark), path).select(F.trim(F.regexp_replace("value", r"\*.*", "")).alias("value"))
-    cells = lines.where((F.col("value") != "") & (F.col("value") != F.lit(header)) & (F.col("value") != F.lit(first.split("*")[0].strip()))).select(F.split("value", ";").alias("p"))
+    lines = _lines(spark, path).select(F.trim(F.regexp_replace("value", r"\*.*", "")).alias("value"))
+    cells = lines.where((F.col("value") != "") & (F.col("value") != F.lit(header)) & (F.col("value") != F.lit(first))).select(F.split("value", ";").alias("p"))
     rows = cells.select(*[F.expr(f"try_cast(trim(get(p, {names.index(n)})) AS {kind})").alias(to) for n, (to, kind) in wanted.items()])
     return _timed(_whole(rows, ["id", "time", "x", "y"], str(path)))
 
 
 def load_trajectory_from_pathfinder_csv(trajectory_file, spark: SparkSession | None = None) -> TrajectoryData:
     """id, t, x, y; rows whose t is not plain digits with at most one dot (as the row of units) are left out."""
-    path = check_file(trajectory_file)
-    data = _session(spark).read.csv(path.resolve().as_uri(), header=True)
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    data = spark.read.csv(path, header=True)
     data = data.toDF(*[c.strip().lstrip("﻿") for c in data.columns])
     missing = [c for c in ("id", "t", "x", "y") if c not in data.columns]
     if missing:
@@ -320,9 +357,10 @@ def load_trajectory_from_pathfinder_csv(trajectory_file, spark: SparkSession | N
 
 
 def load_trajectory_from_pathfinder_json(trajectory_file, spark: SparkSession | None = None) -> TrajectoryData:
-    """{agent: {time: {position: {x, y}}}}; branches of another shape are left out."""
-    path = check_file(trajectory_file)
-    text = _session(spark).read.text(path.resolve().as_uri(), wholetext=True)
+    """{agent: {time: {position: {x, y}}}}; branches of another shape are left out. A file is one document, which one task reads."""
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    text = spark.read.text(path, wholetext=True)
     agents = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("agent", "times"))
     times = agents.select("agent", F.explode(F.from_json("times", "map<string,string>")).alias("time", "state"))
     point = F.from_json("state", "position struct<x:double,y:double>")
@@ -333,8 +371,9 @@ def load_trajectory_from_pathfinder_json(trajectory_file, spark: SparkSession |
 
 def load_trajectory_from_crowdit(trajectory_file, spark: SparkSession | None = None) -> TrajectoryData:
     """pedID, time, posX, posY; rows with an empty cell in any column are left out."""
-    path = check_file(trajectory_file)
-    data = _session(spark).read.csv(path.resolve().as_uri(), header=True)
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    data = spark.read.csv(path, header=True)
     data = data.toDF(*[c.strip().lstrip("﻿") for c in data.columns])
     wanted = (("pedID", "id", "bigint"), ("time", "time", "double"), ("posX", "x", "double"), ("posY", "y", "double"))
     missing = [n for n, _, _ in wanted if n not in data.columns]
@@ -344,11 +383,12 @@ def load_trajectory_from_crowdit(trajectory_file, spark: SparkSession | None = N
     return _timed(_whole(rows, ["id", "time", "x", "y"], str(path)))
 
 
-def load_walkable_area_from_crowdit(geometry_file, buffer: float = 1e-3) -> WalkableArea:
+def load_walkable_area_from_crowdit(geometry_file, buffer: float = 1e-3, spark: SparkSession | None = None) -> WalkableArea:
     """One wall is the area; of several, the padded box around all without them."""
-    path = check_file(geometry_file)
+    spark = _session(spark)
+    path = locate(geometry_file, spark)
     try:
-        root = ElementTree.parse(path).getroot()
+        root = ElementTree.fromstring(_text(spark, path))
     except ElementTree.ParseError as error:
         raise LoadError(f"{path} does not parse: {error}") from error
     try:
@@ -370,9 +410,9 @@ def load_walkable_area_from_crowdit(geometry_file, buffer: float = 1e-3) -> Walk
 
 def load_trajectory_from_vadere(trajectory_file, frame_rate: float, ignore_too_short_trajectories: bool = False, spark: SparkSession | None = None) -> TrajectoryData:
     """Space-separated events (pedestrianId, simTime, startX, startY, found by unique parts of column names), resampled to a constant rate."""
-    path = check_file(trajectory_file)
-    with open(path, encoding="utf-8-sig") as file:
-        header = next((s for line in file if (s := line.split("#")[0].strip())), "")
+    spark = _session(spark)
+    path = locate(trajectory_file, spark)
+    header = next((t for line in _head(spark, path) if (t := line.split("#")[0].strip())), "")
     names = header.split(" ")
     places = {}
     for part, to in (("pedestrianId", "id"), ("simTime", "time"), ("startX", "x"), ("startY", "y")):
@@ -380,7 +420,7 @@ def load_trajectory_from_vadere(trajectory_file, frame_rate: float, ignore_too_s
         if len(found) != 1:
             raise LoadError(f"{path}: the identifier '{part}' is in {len(found)} columns, not in one")
         places[to] = found[0]
-    lines = _lines(_session(spark), path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("value")).where((F.col("value") != "") & (F.col("value") != F.lit(header)))
+    lines = _lines(spark, path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("value")).where((F.col("value") != "") & (F.col("value") != F.lit(header)))
     cells = lines.select(F.split("value", " ").alias("p"))
     rows = cells.select(*[F.expr(f"try_cast(get(p, {i}) AS {'bigint' if to == 'id' else 'double'})").alias(to) for to, i in places.items()])
     rows = _whole(rows, ["id", "time", "x", "y"], str(path))
@@ -405,11 +445,11 @@ def resampled(events: DataFrame, frame_rate: float, ignore_too_short: bool = Fal
     if warn and (step := fastest_step(events, frame_rate)) > 0.1:
         _log.warning("pedestrians move up to %.2f m between frames; a higher frame rate may be needed", step)
     spans = events.groupBy("id").agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
-    short = [r.id for r in spans.where("t0 = t1").orderBy("id").limit(20).collect()]
-    if short and not ignore_too_short:
-        raise LoadError(f"trajectories of the pedestrians {short} are too short for {frame_rate} frames per second")
-    if short:
-        _log.warning("trajectories of the pedestrians %s are too short and left out", short)
+    short = spans.where("t0 = t1").agg(F.count("*").alias("n"), F.min("id").alias("first")).first()
+    if short.n and not ignore_too_short:
+        raise LoadError(f"trajectories of {short.n} pedestrians, the first {short.first}, are too short for {frame_rate} frames per second")
+    if short.n:
+        _log.warning("trajectories of %d pedestrians, the first %s, are too short and left out", short.n, short.first)
     inside = spans.where("t0 < t1").select("id", F.ceil(F.round(F.col("t0") * rate, 14)).alias("f0"), F.floor(F.round(F.col("t1") * rate, 14)).alias("f1")).where("f0 <= f1")
     grid = inside.select("id", F.explode(F.sequence("f0", "f1")).alias("frame")).withColumn("time", F.col("frame") / rate)
     both = events.select("id", "time", "x", "y", F.lit(None).cast("long").alias("frame")).unionByName(grid.select("id", "time", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "frame"))
@@ -429,12 +469,13 @@ def resampled(events: DataFrame, frame_rate: float, ignore_too_short: bool = Fal
     return joined.select("id", "frame", between("x").alias("x"), between("y").alias("y"))
 
 
-def load_walkable_area_from_vadere(scenario_file, margin: float = 0, decimals: int = 6) -> WalkableArea:
+def load_walkable_area_from_vadere(scenario_file, margin: float = 0, decimals: int = 6, spark: SparkSession | None = None) -> WalkableArea:
     """Bounds less the bounding box's width (plus a margin), without the obstacles, which must lie properly inside."""
-    path = check_file(scenario_file)
+    spark = _session(spark)
+    path = locate(scenario_file, spark)
     if margin != 0 and margin < 10**-decimals:
         raise LoadError(f"the margin {margin} must be over 10 ** -{decimals}")
-    topography = json.loads(path.read_text())["scenario"]["topography"]
+    topography = json.loads(_text(spark, path))["scenario"]["topography"]
     inset = topography["attributes"]["boundingBoxWidth"] - margin
     box = topography["attributes"]["bounds"]
 

@@ -122,7 +122,7 @@ def test_vadere(spark, tmp_path):
         files.load_trajectory_from_vadere(path, 2.0, spark=spark)
 
 
-def test_vadere_scenario(tmp_path):
+def test_vadere_scenario(spark, tmp_path):
     path = tmp_path / "s.scenario"
     shape = {"type": "RECTANGLE", "x": 2.0, "y": 2.0, "width": 1.0, "height": 1.0}
     data = {"scenario": {"topography": {"attributes": {"bounds": {"x": 0.0, "y": 0.0, "width": 6.0, "height": 6.0}, "boundingBoxWidth": 0.5}, "obstacles": [{"id": 4, "shape": shape}]}}}
