@@ -98,7 +98,7 @@ def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: Walkab
 
 
 def neighbors(individual_voronoi_data: DataFrame, as_list: bool = True) -> DataFrame:
-    """Cells that touch in a frame: (id, frame, neighbors) or, long, (id, frame, neighbor_id), sorted by frame and id."""
+    """Cells that touch in a frame: (id, frame, neighbors) or, long, (id, frame, neighbor_id)."""
     ship(individual_voronoi_data.sparkSession)
     if as_list:
         warnings.warn("lists of neighbours are deprecated; as_list=False gives rows", DeprecationWarning, stacklevel=2)
@@ -120,7 +120,7 @@ def neighbors(individual_voronoi_data: DataFrame, as_list: bool = True) -> DataF
     rows = rows.repartition(partitions(rows), "frame").sortWithinPartitions("frame", "id")
     pairs = rows.mapInArrow(run, "id long, frame long, neighbor_id long")
     if not as_list:
-        return pairs.orderBy("frame", "id", "neighbor_id")
+        return pairs
     lists = pairs.groupBy("id", "frame").agg(F.sort_array(F.collect_list("neighbor_id")).alias("neighbors"))
     none = F.array().cast("array<bigint>")
     return individual_voronoi_data.select("id", "frame").join(lists, ["id", "frame"], "left").select("id", "frame", F.coalesce("neighbors", none).alias("neighbors"))

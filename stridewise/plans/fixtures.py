@@ -54,3 +54,15 @@ def nested_json(trajectory: TrajectoryData) -> str:
     document = agents.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.col("times")))).alias("agents"))
     document.select(F.to_json("agents").alias("value")).write.text(path)
     return path
+
+
+def document(spark: SparkSession, name: str, text: str) -> str:
+    """A small file with a text."""
+    path = folder(spark, name)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+#: A floor with two walls, and a scenario with one obstacle.
+FLOOR = '<floor><layer><wall><point x="0" y="0"/><point x="4" y="0"/><point x="4" y="1"/><point x="0" y="1"/></wall><wall><point x="0" y="3"/><point x="4" y="3"/><point x="4" y="4"/><point x="0" y="4"/></wall></layer></floor>'
+SCENARIO = '{"scenario": {"topography": {"attributes": {"bounds": {"x": 0.0, "y": 0.0, "width": 6.0, "height": 6.0}, "boundingBoxWidth": 0.5}, "obstacles": [{"id": 4, "shape": {"type": "RECTANGLE", "x": 2.0, "y": 2.0, "width": 1.0, "height": 1.0}}]}}}'

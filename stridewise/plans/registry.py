@@ -428,6 +428,21 @@ def source_text(spark, sf_dir):
     return files.load_trajectory(path, spark=spark).data
 
 
+@_query
+def source_areas(spark, sf_dir):
+    """Areas of a floor (the box around its walls, half a metre wider, less the walls) and of a scenario."""
+    floor = files.load_walkable_area_from_crowdit(fixtures.document(spark, "floor", fixtures.FLOOR), buffer=0.5, spark=spark)
+    scenario = files.load_walkable_area_from_vadere(fixtures.document(spark, "scenario", fixtures.SCENARIO), spark=spark)
+    return spark.createDataFrame([("floor", floor.area), ("scenario", scenario.area)], "source string, area double")
+
+
+@_query
+def trajectory_validity(spark, sf_dir):
+    trajectory = v.trajectory(spark, sf_dir)
+    found = [(name, validity.is_trajectory_valid(trajectory, area)) for name, area in (("box", v.WALKABLE), ("above the wall", v.ABOVE_WALL))]
+    return spark.createDataFrame(found, "area string, valid boolean")
+
+
 @_query
 def source_viswalk(spark, sf_dir):
     return files.load_trajectory_from_viswalk(fixtures.viswalk(v.trajectory(spark, sf_dir)), spark=spark).data
