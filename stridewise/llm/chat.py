@@ -46,6 +46,24 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _segment(text: Column, loss: Column) -> Column:
+    return F.struct(text.alias("text"), loss.alias("loss"))
+
+
+def merged(turns: Column) -> Column:
+    """Adjacent turns of one role as blocks, struct(role, texts), of sorted turns: a block begins where the role changes."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+    def block(all_starts: Column) -> Column:
+        def of(start: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(all_starts, k + 1), F.size(turns)) - start
+            return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(F.slice(turns, start + 1, size), lambda t: t["text"]).alias("texts"))
+
+        return F.transform(all_starts, of)
+
+    return bound(starts, block)
+
+
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, and the text's segments with their loss mask.
 
@@ -59,19 +77,15 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     row = F.struct(F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     grouped = turns.groupBy(F.col(f"`{conv_id}`").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    def segments(all_turns: Column) -> Column:
-        def of(one: Column, i: Column) -> Column:
-            goes_on = F.coalesce(F.get(all_turns, i - 1)["role"] == one["role"], F.lit(False))
-            head = F.concat(F.when(i > 0, F.lit(END)).otherwise(F.lit("")), F.lit(START), _escape_role(one["role"]), F.lit("\n"))
-            return F.array(
-                F.struct(F.when(goes_on, F.lit(SEPARATOR)).otherwise(head).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(one["text"]).alias("text"), (one["role"] == LEARNT).alias("loss")),
-            )
+    made = grouped.select("conv_id", bound(F.col("turns"), merged).alias("blocks"))
 
-        last = F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss")))
-        return F.concat(F.flatten(F.transform(all_turns, of)), last)
+    def segments(block: Column) -> Column:
+        head = F.concat(F.lit(START), _escape_role(block["role"]), F.lit("\n"))
+        learnt = block["role"] == LEARNT
+        texts = F.transform(block["texts"], lambda t, i: F.array(_segment(F.when(i == 0, head).otherwise(F.lit(SEPARATOR)), F.lit(False)), _segment(escape(t), learnt)))
+        return F.concat(F.flatten(texts), F.array(_segment(F.lit(END), F.lit(False))))
 
-    made = grouped.select("conv_id", bound(F.col("turns"), segments).alias("segments"))
+    made = made.select("conv_id", F.flatten(F.transform("blocks", segments)).alias("segments"))
     return made.select("conv_id", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
