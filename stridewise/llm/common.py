@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridewise.shared import shared_dir
 from stridewise.shipping import ship
 
 
@@ -26,34 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_SHARED: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (a local session, as in tests) a folder of this
-    machine is set instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN_SHARED:
-            _OWN_SHARED[application] = tempfile.mkdtemp(prefix="stridewise-shared-")
-        found = _OWN_SHARED[application]
-    return found.rstrip("/")
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written.
 
     Cuts the lineage, so that a lost executor never repeats earlier phases,
-    and keeps nothing on executors' own disks.
+    and keeps nothing on executors' own disks. ``release`` deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    return found
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames, after the last action that reads them."""
+    for df in written:
+        delete_tree(df.sparkSession, _WRITTEN.pop(df))
+    if written:
+        let_go(written[0].sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are gone; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def id_remainder(doc_id: Column) -> Column:

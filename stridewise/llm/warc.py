@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stridewise.llm.common import materialize, shared_dir
+from stridewise.llm.common import delete_tree, materialize, release, shared_dir
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT_BYTES = 0
@@ -106,12 +106,15 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     # verdicts are small rows without payloads; equal payloads fold to one row in each task before the shuffle
     slim = rows.select("name", "page_id", "key", F.coalesce("url", F.lit("")).alias("url"), F.octet_length(payload).alias("bytes"))
     last = slim.where(F.col("bytes") >= LEAST_REVISIT_BYTES).groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("last"))
+    # written, so that Spark can split a payload of very many pages: both sides of the join come straight from a shuffle
+    last = materialize(last, "warc-last")
     verdicts = slim.join(last, "key").where("not (page_id <=> last.page_id)").select("name", "key", F.col("last.page_id").alias("of"), F.col("last.url").alias("of_url")).distinct()
     joined = rows.join(verdicts.withColumn("revisit", F.lit(True)), ["name", "key"], "left")
     order = Window.partitionBy("name", "key").orderBy(F.desc_nulls_last("url"))
     made = joined.withColumn("copy", F.row_number().over(order)).select("page_id", "url", "html", "key", "copy", "of", "of_url", F.coalesce("revisit", F.lit(False)))
     records = made.mapInArrow(_records, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
+    release(last)
 
 
 def _pieces(batches):
@@ -209,10 +212,17 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, page_id, url, html)
-    captures = materialize(assemble(materialize(read_archives(spark, path), "warc-records")), "warc-captures")
+    records = materialize(read_archives(spark, path), "warc-records")
+    captures = materialize(assemble(records), "warc-captures")
+    delete_tree(spark, path)
+    release(records)
     rows = captures.select("capture_id", F.col("metadata.page_id").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("of"))
-    pages_of = rows.where("record_type = 'response'").select(F.col("capture_id").alias("of"), F.col("page_id").alias("refers_to"))
-    return rows.join(pages_of, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses, revisits = rows.where("record_type = 'response'"), rows.where("record_type = 'revisit'")
+    # only revisits look for their response; one of very many revisits is split like any hot key
+    pages_of = materialize(responses.select(F.col("capture_id").alias("of"), F.col("page_id").alias("refers_to")), "warc-responses")
+    named = revisits.join(pages_of, "of", "left").drop("of", "capture_id")
+    whole = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return whole.unionByName(named)
 
 
 ORACLE = r"""
