@@ -25,6 +25,8 @@ WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 8, (2, 3, 5), 12
 #: Documents of each language that the network is trained on at most, and windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 250, 6
+#: Languages that are learnt at most: those with the most documents.
+LANGUAGES = 500
 #: Windows that are scored at a time.
 BATCH = 256
 #: The prediction for texts without a letter.
@@ -147,7 +149,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     # hashes are spread evenly, so a language's smallest ones lie below a bound that its count gives
     counts = base.groupBy("lang").count()
     bound = F.least(F.lit(2.0**63), F.lit(-(2.0**63)) + F.lit(2.0**64) * (3 * SAMPLE_DOCS + 50) / F.col("count"))
-    bounds = {r.lang: r.bound for r in counts.select("lang", bound.alias("bound")).collect()}
+    bounds = {r.lang: r.bound for r in counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang", bound.alias("bound")).collect()}
     if bounds:
         limit = F.coalesce(*[F.when(F.col("lang") == name, F.lit(value)) for name, value in sorted(bounds.items())])
         base = base.where(F.col("hash").cast("double") <= limit)

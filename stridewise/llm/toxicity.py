@@ -337,7 +337,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     The sample: of either label, the SAMPLE_* documents whose ids have the
     smallest hashes; of each, at most SAMPLE_WORDS distinct words. An id with
-    several labels counts as toxic if any is; null ids and labels are left out.
+    several labels counts as toxic if any is, and of several texts of an id the
+    one with the smallest hash is taken; null ids and labels are left out.
     """
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("toxic")).where("id is not null and toxic is not null")
     marks = marks.where(id_remainder(F.col("id")) != 1).groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -345,7 +346,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = few(1, SAMPLE_TOXIC).unionByName(few(0, SAMPLE_CLEAN))
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     # the sample has SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
-    rows = base.join(F.broadcast(sample), "id").select("toxic", "text").mapInArrow(_bags, "toxic int, words string").collect()
+    drawn = base.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = drawn.select("toxic", "text").mapInArrow(_bags, "toxic int, words string").collect()
     rows.sort(key=lambda r: (r.toxic, zlib.crc32(r.words.encode()), r.words))
     return fit([r.words.split("\n") if r.words else [] for r in rows], np.array([r.toxic == 1 for r in rows], bool))
 
