@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridewise.llm.common import materialize
+from stridewise.llm.common import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,14 +28,16 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
     if before[0]:
         while True:
             both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            least = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
+            # written, so that Spark can split a node with very many neighbours: both sides of the joins come straight from a shuffle
+            least = materialize(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")), tag)
             # larger neighbours of each node go under its smallest neighbour
-            large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-            low = large.groupBy("src").agg(F.min("dst").alias("low"))
+            large = materialize(both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct(), tag)
+            low = materialize(large.groupBy("src").agg(F.min("dst").alias("low")), tag)
             # smaller neighbours, and the node itself, go under the smallest one
             small = large.join(low, "src").select(F.explode(F.array(F.struct("src", F.col("low").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.*")
-            edges = materialize(small.where("src != dst").distinct(), tag)
+            old, edges = edges, materialize(small.where("src != dst").distinct(), tag)
             after = _state(edges)
+            release(old, least, large, low)
             if after == before:
                 break
             before = after

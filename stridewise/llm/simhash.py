@@ -6,8 +6,8 @@ split into ``BLOCKS`` blocks. Two fingerprints that differ in at most
 bucket keyed by those blocks. Buckets are verified by Hamming distance and
 leave only a spanning forest of links, never all pairs.
 
-Near copies, which 64 bits cannot tell from other texts, are found on the sets
-of shingles themselves.
+Near copies, whose fingerprints differ in too many bits for any blocks, are
+found on the sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridewise.llm import textbytes as tb
-from stridewise.llm.common import materialize
+from stridewise.llm.common import materialize, release
 from stridewise.llm.components import components
+from stridewise.shipping import partitions
 
 #: Bits that linked fingerprints may differ in.
 RADIUS = 3
@@ -220,7 +221,7 @@ def near_links(prints: DataFrame, keys: list[Column], radius: int, lanes: list[s
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(low == high, -1).when(F.col("part") == low, 0).otherwise(1).cast("long")
     rows = rows.select("bucket", (low * F.col("parts") + high).alias("pair"), side.alias("side"), "node", *[F.col(c).alias(f"lane{i}") for i, c in enumerate(lanes)])
-    rows = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "side")
+    rows = rows.repartition(partitions(prints), "bucket", "pair").sortWithinPartitions("bucket", "pair", "side")
     return rows.mapInArrow(_link_buckets(radius, len(lanes)), "src long, dst long")
 
 
@@ -254,6 +255,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 #: Words of a near copy's shingle, and the least resemblance (shared of all distinct shingles, in fifths) of near copies.
 COPY_SHINGLE, COPY_FIFTHS = 5, 4
+#: Sets of up to PREFIX_UP_TO shingles meet by their prefixes; those of over BANDS_FROM by bands: the sizes of near copies
+#: differ by a fifth at most, so that each pair has one of the two in common.
+BANDS_FROM, PREFIX_UP_TO = 115, 144
+#: Bands of a set, and shingles in one: a pair at the bound shares none of the bands once in 300,000 times.
+BANDS, BAND_ROWS = 24, 4
 #: One of so many texts is counted to learn which shingles are common, and bits of a shingle that the table of them tells apart.
 SAMPLED, TABLE_BITS = 8, 20
 #: Pairs that are handed on at once.
@@ -321,12 +327,14 @@ def _sampled_shingles(batches):
             yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64))], names=["hash"])
 
 
-def _prefixes(cells: np.ndarray, levels: np.ndarray):
-    """mapInArrow (text) -> hash, node of each set's prefix: two sets that resemble each other enough share one of it.
+def _buckets(cells: np.ndarray, levels: np.ndarray):
+    """mapInArrow (text) -> hash, node of the buckets in which near copies meet.
 
-    A prefix is the part of a set, in an order that all sets have in common,
-    without which too little is left to be shared. The order begins with the
-    shingles that are not known as common; what is known decides the cost alone.
+    A small set goes by its prefix: in an order that all sets have in common,
+    the part without which too little is left to be shared. The order begins
+    with the shingles that are not known as common; what is known decides the
+    cost alone. A large set goes by bands: its shingles are dealt by their hashes
+    to BANDS x BAND_ROWS bins, and the smallest ones of a band's bins are its key.
     """
 
     def run(batches):
@@ -336,25 +344,53 @@ def _prefixes(cells: np.ndarray, levels: np.ndarray):
             for _, bounds, grams in _shingle_sets(batch.column(0)):
                 sizes = np.diff(bounds)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                grams = grams[np.lexsort((grams, common[grams >> np.uint64(64 - TABLE_BITS)], owner))]
-                taken = sizes + (-COPY_FIFTHS * sizes // 5) + 1
-                chosen = np.arange(len(grams)) - bounds[owner] < taken[owner]
                 keys = _set_keys(bounds, grams)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64)), pa.array(keys[owner[chosen]])], names=["hash", "node"])
+                small = (sizes <= PREFIX_UP_TO)[owner]
+                own, part = owner[small], grams[small]
+                part = part[np.lexsort((part, common[part >> np.uint64(64 - TABLE_BITS)], own))]
+                head = np.concatenate([[0], np.cumsum(np.where(sizes <= PREFIX_UP_TO, sizes, 0))])
+                taken = sizes + (-COPY_FIFTHS * sizes // 5) + 1
+                chosen = np.arange(len(part)) - head[own] < taken[own]
+                hashes, nodes = [part[chosen]], [keys[own[chosen]]]
+                large = np.flatnonzero(sizes > BANDS_FROM)
+                if len(large):
+                    of_bands, filled = _bands(bounds, grams, owner, sizes > BANDS_FROM)
+                    hashes.append(of_bands[filled])
+                    nodes.append(np.repeat(keys[large], BANDS).reshape(-1, BANDS)[filled])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(nodes))], names=["hash", "node"])
 
     return run
 
 
-def _marks(batches):
-    """(text) -> node, n, mark of each set."""
+def _bands(bounds: np.ndarray, grams: np.ndarray, owner: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the large sets' bands, a row for each set, and which bands have a shingle; grams ascend in each set."""
+    bins = BANDS * BAND_ROWS
+    mine = large[owner]
+    owner, grams = (np.cumsum(large) - 1)[owner[mine]], grams[mine]
+    # bins by hashes of their own, so that they do not depend on the order that prefixes have
+    mixed = tb.mix(grams)
+    place = owner * bins + ((mixed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    least = np.full(int(large.sum()) * bins, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(least, place, mixed)
+    rows = least.reshape(-1, BANDS, BAND_ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for k in range(BAND_ROWS):
+        keys = tb.mix(keys * np.uint64(0xD6E8FEB86659FD93) + rows[:, :, k])
+    return keys, (rows != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=2)
+
+
+def _sets(batches):
+    """(node, text) -> node, n, mark and shingles (as bytes) of each set."""
     for batch in batches:
-        for _, bounds, grams in _shingle_sets(batch.column(0)):
+        for first, bounds, grams in _shingle_sets(batch.column(1)):
             sizes = np.diff(bounds)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             place = (tb.mix(grams) % np.uint64(MARK_BITS)).astype(np.int64) + MARK_BITS * owner
             odd = (np.bincount(place, minlength=MARK_BITS * len(sizes)) & 1).astype(np.uint8).reshape(-1, MARK_BITS)
             marks = [m.tobytes() for m in np.packbits(odd, axis=1)]
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(bounds, grams)), pa.array(sizes), pa.array(marks, pa.binary())], names=["node", "n", "mark"])
+            raw = grams.tobytes()
+            cut = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cut)), pa.array(sizes), pa.array(marks, pa.binary()), pa.array(cut, pa.binary())], names=["node", "n", "mark", "shingles"])
 
 
 def _unpacked(marks: pa.Array) -> np.ndarray:
@@ -377,15 +413,6 @@ def _open_links(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _sets(batches):
-    """(node, text) -> node, the text's set of shingles as bytes."""
-    for batch in batches:
-        for first, bounds, grams in _shingle_sets(batch.column(1)):
-            raw = grams.tobytes()
-            cut = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(cut)), pa.array(cut, pa.binary())], names=["node", "shingles"])
-
-
 def _resembling(batches):
     """(a, b, x, y) -> src, dst of the pairs whose sets resemble each other enough."""
     for batch in batches:
@@ -400,17 +427,20 @@ def _resembling(batches):
 
 
 def _open_pairs(batches):
-    """(hash, node, component, n, mark), sorted by hash -> a, b: open pairs of a bucket's nodes that are not in one component."""
+    """(hash, group, side, node, component, n, mark), sorted -> a, b: open pairs of a group's nodes that are not in one component.
+
+    side: 0 for nodes that are only compared with those of side 1.
+    """
+    lanes = MARK_BITS // 64
 
     def of(rows: np.ndarray, bounds: np.ndarray):
         left, right, held = [], [], 0
         for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)], strict=True):
-            node, component = rows[lo:hi, 1], rows[lo:hi, 2]
-            if (component == component[0]).all():
-                continue
-            n, mark = rows[lo:hi, 3], rows[lo:hi, 4:]
-            for i in range(hi - lo - 1):
-                at = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+            side, node, component, n, mark = rows[lo:hi, 2], rows[lo:hi, 3], rows[lo:hi, 4], rows[lo:hi, 5], rows[lo:hi, 6:]
+            first = int(np.searchsorted(side, 1))
+            for i in range(first, hi - lo):
+                # behind nodes of side 1 that had their turn; if there is a side 0, with that alone
+                at = np.flatnonzero(component[:first] != component[i]) if first else i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
                 other = node[at[_may_resemble(n[i], mark[i], n[at], mark[at])]]
                 left.append(np.minimum(node[i], other))
                 right.append(np.maximum(node[i], other))
@@ -421,58 +451,88 @@ def _open_pairs(batches):
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    kept = np.zeros((0, 4 + MARK_BITS // 64), np.int64)
+    kept = np.zeros((0, 6 + lanes), np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        narrow = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
-        rows = np.concatenate([kept, np.concatenate([narrow, _unpacked(batch.column(4))], axis=1)])
-        if len(rows):
-            bounds = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1])
-            if len(bounds) > 1:
-                yield from of(rows[: bounds[-1]], bounds[:-1])
-            kept = rows[bounds[-1] :].copy()
+        narrow = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
+        rows = np.concatenate([kept, np.concatenate([narrow, _unpacked(batch.column(6))], axis=1)])
+        bounds = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1])
+        if len(bounds) > 1:
+            yield from of(rows[: bounds[-1]], bounds[:-1])
+        kept = rows[bounds[-1] :].copy()
     if len(kept):
         yield from of(kept, np.zeros(1, np.int64))
 
 
-def near_copy_components(texts: DataFrame) -> DataFrame:
-    """(node, component) of the texts (one column) that resemble another one; others are not in it.
+def _dealt(placed: DataFrame, tag: str) -> DataFrame:
+    """(hash, node, component, leader, n, mark) -> rows of _open_pairs: groups of at most about 2 x PART nodes.
 
-    Buckets are keyed by the shingles of prefixes, so each pair of sets that
-    resemble each other enough meets in one. Every link is checked on the whole
-    sets. First each bucket's nodes are compared with the smallest of them,
-    then those that are not yet in one component with each other.
+    Nodes in the component of a bucket's leader need no comparison with each
+    other: they are its body, the others its rest. Buckets without a rest are
+    done. Parts of the body meet parts of the rest, and parts of the rest each
+    other, each two in a group of its own.
+    """
+    rest = F.col("component") != F.col("leader")
+    sizes = placed.groupBy("hash").agg(F.count_if(rest).alias("n_rest"), F.count_if(~rest).alias("n_body")).where("n_rest > 0")
+    part = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(PART))).cast("long").alias(c.replace("n_", "") + "_parts")
+    sizes = materialize(sizes.select("hash", part("n_rest"), part("n_body")), tag)
+    rows = placed.join(sizes, "hash").withColumn("is_rest", rest)
+    number = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    group = lambda kind, p, q: kind * (F.col("rest_parts") + F.col("body_parts")) * F.col("rest_parts") + p * F.col("rest_parts") + q
+    one = lambda g, side: F.struct(g.alias("group"), F.lit(side).cast("long").alias("side"))
+    q, p = number("rest_parts"), number("body_parts")
+    with_rest = F.transform(upto("rest_parts"), lambda other: one(group(0, p, other), 0))
+    with_body = F.transform(upto("body_parts"), lambda other: one(group(0, other, q), 1))
+    among = F.transform(upto("rest_parts"), lambda other: one(group(1, F.least(q, other), F.greatest(q, other)), 1))
+    spread = rows.withColumn("in", F.explode(F.when(F.col("is_rest"), F.concat(with_body, among)).otherwise(with_rest)))
+    return spread.select("hash", "in.group", "in.side", "node", "component", "n", "mark")
+
+
+def near_copy_components(rows: DataFrame) -> DataFrame:
+    """(node, component) of the texts that resemble another one; others are not in it. rows: row_key (long), text.
+
+    Near copies meet in buckets: always, if they are small, else but once in
+    300,000 times. Every link is checked on the whole sets. First each bucket's
+    nodes are compared with its leader, the smallest of them; then those that
+    are not yet in one component with each other. row_key should tell rows
+    with equal texts apart: of each set the text with the smallest is read.
     """
+    texts = rows.select("text")
     counted = texts.mapInArrow(_sampled_shingles, "hash long").groupBy("hash").count().where("count >= 4")
     level = F.least(F.lit(255), F.floor(F.log2("count"))).cast("int").alias("level")
     table = counted.select(F.shiftrightunsigned("hash", 64 - TABLE_BITS).alias("cell"), level).groupBy("cell").agg(F.max("level")).toPandas().to_numpy(np.int64)
-    prefixes = materialize(texts.mapInArrow(_prefixes(table[:, 0].astype(np.int32), table[:, 1].astype(np.uint8)), "hash long, node long"), "copies-prefixes")
-    ends = prefixes.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("hash", "low")
-    shared = materialize(prefixes.join(ends, "hash").distinct(), "copies-shared")
-    nodes = shared.select("node").distinct()
-    marks = materialize(texts.mapInArrow(_marks, "node long, n long, mark binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "copies-marks")
-    keyed = with_set_keys(texts.toDF("text"))
+    buckets = materialize(texts.mapInArrow(_buckets(table[:, 0].astype(np.int32), table[:, 1].astype(np.uint8)), "hash long, node long").distinct(), "copies-buckets")
+    ends = materialize(buckets.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("hash", "low"), "copies-ends")
+    shared = materialize(buckets.join(ends, "hash"), "copies-shared")
+    release(buckets, ends)
+    # of each set that shares a bucket: its mark, and its shingles, from one row
+    keyed = with_set_keys(rows)
+    first = keyed.groupBy("node").agg(F.min("row_key").alias("row_key")).join(shared.select("node").distinct(), "node")
+    first = materialize(first, "copies-rows")
+    chosen = keyed.join(first, ["node", "row_key"], "left_semi").dropDuplicates(["node", "row_key"]).select("node", "text")
+    sets = materialize(chosen.mapInArrow(_sets, "node long, n long, mark binary, shingles binary"), "copies-sets")
+    marks = sets.select("node", "n", "mark")
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
     def checked(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), f"{tag}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        # texts go through the exchange, which are smaller than their sets, and of these only what a pair needs
-        sets = keyed.join(wanted, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInArrow(_sets, "node long, shingles binary")
-        sets = materialize(sets, f"{tag}-sets")
-        x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(_resembling, "src long, dst long"), tag)
-
-    stars = shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "other_n", "other_mark"), "b")
-    stars = stars.select("a", "b", "n", "mark", "other_n", "other_mark").mapInArrow(_open_links, "a long, b long")
-    first = checked(stars, "copies-first")
-    found = components(first, "copies-joined")
-    placed = shared.select("hash", "node").join(marks.join(found, "node", "left"), "node")
-    placed = placed.select("hash", "node", F.coalesce("component", "node").alias("component"), "n", "mark")
-    pairs = placed.repartition("hash").sortWithinPartitions("hash").mapInArrow(_open_pairs, "a long, b long")
-    return components(first.unionByName(checked(pairs, "copies-second")), "copies-components")
+        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_resembling, "src long, dst long"), tag)
+
+    stars = materialize(shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "copies-stars")
+    marked = stars.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "other_n", "other_mark"), "b")
+    open_stars = materialize(marked.select("a", "b", "n", "mark", "other_n", "other_mark").mapInArrow(_open_links, "a long, b long"), "copies-open")
+    firsts = checked(open_stars, "copies-first")
+    release(stars, open_stars)
+    found = components(firsts, "copies-joined")
+    state = materialize(marks.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "copies-state")
+    leaders = state.select(F.col("node").alias("low"), F.col("component").alias("leader"))
+    placed = shared.join(state, "node").join(leaders, "low").select("hash", "node", "component", "leader", "n", "mark")
+    dealt = _dealt(placed, "copies-sizes").repartition(partitions(rows), "hash", "group").sortWithinPartitions("hash", "group", "side")
+    pairs = materialize(dealt.mapInArrow(_open_pairs, "a long, b long").distinct(), "copies-pairs")
+    seconds = checked(pairs, "copies-second")
+    release(shared, first, sets, state, pairs)
+    return components(firsts.unionByName(seconds), "copies-components")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -485,7 +545,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = materialize(with_set_keys(base).select("doc_id", "node"), "copies-nodes")
-    found = near_copy_components(base.select("text"))
+    found = near_copy_components(base.select(F.xxhash64("doc_id", "text").alias("row_key"), "text"))
     placed = keyed.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component").select("doc_id", "component_id")
