@@ -3,94 +3,75 @@
 Training and test texts are cut into words; of every ``SPAN`` consecutive
 words the smallest k-gram hash is kept as a fingerprint. A span of SPAN words
 that both sides share has the same smallest hash on both sides, so each such
-span is found; hits are then extended to the whole windows around them and
-compared word by word.
+span is found: the fingerprints of both sides are joined, hits are extended to
+the whole windows around them, and windows are joined with the benchmark's.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stridewise.llm import textbytes as tb
+from stridewise.llm.common import materialize, release
 
 #: Words of a benchmark window.
 SPAN = 10
 #: Words of a hashed gram; SPAN - GRAM + 1 grams lie in a window.
 GRAM = 5
-#: Bytes of benchmark text that one index shard holds; more text makes more shards.
-SHARD_BYTES = 1 << 20
+#: Benchmark fingerprints that are sent to all tasks at most, eight bytes each; more are joined by a shuffle.
+SENT_PRINTS = 1 << 20
 
-#: Bytes that separate words, as closed ranges.
+#: Bytes that separate words once A-Z are lower case, as closed ranges; and the pattern of a word before that.
 _IS_WORD = tb.byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-RESULT = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("n_items", T.LongType()),
-        T.StructField("items_sha256", T.StringType()),
-        T.StructField("contaminated", T.BooleanType()),
-    ]
-)
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def _winnowed(grams: np.ndarray, inside: np.ndarray, width: int) -> np.ndarray:
-    """Smallest hash of each window of ``width`` grams that ``inside`` marks as whole."""
-    count = max(0, len(grams) - width + 1)
+def _hashed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, second hashes of the words, their rows) of each slice of a text column."""
+    for first, raw, offsets in tb.text_slices(column):
+        data = tb.LOWER[raw]
+        starts, ends, rows = tb.word_bounds(data, offsets, _IS_WORD)
+        if len(starts):
+            # of other bytes, so that words which agree in one hash by chance differ in the other
+            yield first, tb.word_hashes(data, starts, ends), tb.word_hashes(data ^ np.uint8(0xA5), starts, ends), rows
+
+
+def _winnowed(words: np.ndarray) -> np.ndarray:
+    """Smallest hash of the grams in each run of SPAN words."""
+    grams = tb.gram_hashes(words, GRAM)
+    count = max(0, len(words) - SPAN + 1)
     least = grams[:count].copy()
-    for j in range(1, width):
+    for j in range(1, SPAN - GRAM + 1):
         np.minimum(least, grams[j : j + count], out=least)
-    return least[inside[:count]]
-
-
-class Shard:
-    """Fingerprints and windows of some benchmark items."""
-
-    def __init__(self, items: list[tuple[str, bytes]]):
-        windows: dict[bytes, set[str]] = {}
-        for item, text in items:
-            words = _split(text)
-            if not words:
-                continue
-            length = min(SPAN, len(words))
-            for i in range(len(words) - length + 1):
-                windows.setdefault(b" ".join(words[i : i + length]), set()).add(item)
-        self.windows = {text: tuple(sorted(found)) for text, found in windows.items()}
-        by_length: dict[int, list[bytes]] = {}
-        for text in windows:
-            by_length.setdefault(text.count(b" ") + 1, []).append(text)
-        self.prints: dict[int, np.ndarray] = {}
-        for length, texts in by_length.items():
-            words, rows = _hashed(pa.array(texts, pa.binary()))
-            if length == SPAN:
-                least = _winnowed(tb.gram_hashes(words, GRAM), tb.same_row(rows, SPAN), SPAN - GRAM + 1)
-                self.prints[length] = np.unique(least)
-            else:
-                self.prints[length] = np.unique(tb.gram_hashes(words, length)[tb.same_row(rows, length)])
-
-
-def _split(text: bytes) -> list[bytes]:
-    data = tb.LOWER[np.frombuffer(text, np.uint8)]
-    starts, ends, _ = tb.word_bounds(data, np.array([0, len(data)]), _IS_WORD)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    hashes, rows = [], []
-    for first, data, offsets in tb.text_slices(column):
-        starts, ends, row = tb.word_bounds(data, offsets, _IS_WORD)
-        hashes.append(tb.word_hashes(data, starts, ends))
-        rows.append(row + first)
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    return least
+
+
+def _prints(words: np.ndarray, length: int) -> np.ndarray:
+    """The fingerprint of each window of ``length`` words; that of a short item's only window is the hash of all its words."""
+    return _winnowed(words) if length == SPAN else tb.gram_hashes(words, length)
+
+
+def _window_rows(batches):
+    """(item, text) -> item, length, print and the two hashes of each window."""
+    for batch in batches:
+        for first, words, others, rows in _hashed(batch.column(1)):
+            sizes = np.bincount(rows)
+            for length in range(1, SPAN + 1):
+                whole = tb.same_row(rows, length)
+                count = len(whole)
+                at = np.flatnonzero(whole & (sizes[rows[:count]] == length if length < SPAN else sizes[rows[:count]] >= SPAN))
+                if len(at):
+                    values = (_prints(words, length)[at], tb.gram_hashes(words, length)[at], tb.gram_hashes(others, length)[at])
+                    names = ["item", "length", "print", "hash", "other"]
+                    items = batch.column(0).take(pa.array(first + rows[at]))
+                    yield pa.RecordBatch.from_arrays([items, pa.array(np.full(len(at), length, np.int32)), *(pa.array(v.view(np.int64)) for v in values)], names=names)
 
 
 def _contained(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -102,135 +83,102 @@ def _contained(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _candidates(words: np.ndarray, rows: np.ndarray, shard_prints: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, starts) of windows whose fingerprint a benchmark window has, too."""
-    for length, prints in shard_prints.items():
-        inside = tb.same_row(rows, length)
-        if length == SPAN:
-            grams = tb.gram_hashes(words, GRAM)
-            count = max(0, len(words) - SPAN + 1)
-            if not count:
-                continue
-            width = SPAN - GRAM + 1
-            least = grams[:count].copy()
-            for j in range(1, width):
-                np.minimum(least, grams[j : j + count], out=least)
-            # neighbouring windows mostly keep the same gram: look each kept one up once
-            fresh = np.empty(count, bool)
-            fresh[0] = True
-            np.not_equal(least[1:], least[:-1], out=fresh[1:])
-            found = _contained(least[fresh], prints)
-            hit = found[np.cumsum(fresh) - 1] & inside
-        else:
-            hit = _contained(tb.gram_hashes(words, length), prints) & inside
-        yield length, np.flatnonzero(hit)
-
-
-def _scan(column: pa.Array, prints: list[dict[int, np.ndarray]], windows) -> pd.DataFrame:
-    """Result columns of a text column; windows(k): the windows of shard k, asked for where its fingerprints hit."""
-    n = len(column)
-    n_words = np.zeros(n, np.int64)
-    n_hit = np.zeros(n, np.int64)
-    items: dict[int, set[str]] = {}
-    for first, raw, offsets in tb.text_slices(column):
-        data = tb.LOWER[raw]
-        starts, ends, rows = tb.word_bounds(data, offsets, _IS_WORD)
-        n_words[first : first + len(offsets) - 1] = np.bincount(rows, minlength=len(offsets) - 1)
-        if not len(starts):
-            continue
-        words = tb.word_hashes(data, starts, ends)
-        edges = np.zeros(len(starts) + 1, np.int64)
-        for k, own in enumerate(prints):
-            for length, at in _candidates(words, rows, own):
-                for i in at.tolist():
-                    text = b" ".join(data[a:b].tobytes() for a, b in zip(starts[i : i + length], ends[i : i + length], strict=True))
-                    found = windows(k).get(text)
-                    if found:
-                        edges[i] += 1
-                        edges[i + length] -= 1
-                        items.setdefault(first + int(rows[i]), set()).update(found)
-        covered = np.cumsum(edges[:-1]) > 0
-        if covered.any():
-            n_hit[first : first + len(offsets) - 1] = np.bincount(rows[covered], minlength=len(offsets) - 1)
-    digest = lambda i: hashlib.sha256(",".join(sorted(items.get(i, ()))).encode()).hexdigest()
-    empty = hashlib.sha256(b"").hexdigest()
-    return pd.DataFrame(
-        {
-            "n_words": n_words,
-            "n_hit": n_hit,
-            "n_items": [len(items.get(i, ())) for i in range(n)],
-            "items_sha256": [digest(i) if i in items else empty for i in range(n)],
-            "contaminated": n_hit > 0,
-        }
-    )
-
-
-class Index:
-    """Broadcast shards of at most SHARD_BYTES of text each (or one item).
-
-    All fingerprints are at hand, eight bytes for each window; of the windows'
-    texts a worker holds one shard's at a time, so that it does not grow with
-    the benchmark.
-    """
+def _places(prints: dict[int, np.ndarray | None]):
+    """mapInArrow (key, size, text) -> key, size, place, length, print and hashes of windows.
 
-    def __init__(self, prints, windows: list):
-        self.prints, self._windows, self._held = prints, windows, None
+    prints: for each length of the benchmark's windows its fingerprints,
+    sorted; windows with another one are left out. None: all stay.
+    """
 
-    def __reduce__(self):
-        return Index, (self.prints, self._windows)
+    def run(batches):
+        for batch in batches:
+            for first, words, others, rows in _hashed(batch.column(2)):
+                start = np.searchsorted(rows, rows, side="left")
+                for length, table in prints.items():
+                    found = _prints(words, length)
+                    if table is None:
+                        hit = np.ones(len(found), bool)
+                    else:
+                        # neighbouring windows mostly have the same fingerprint: look each kept one up once
+                        fresh = np.ones(len(found), bool)
+                        np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                        hit = _contained(found[fresh], table)[np.cumsum(fresh) - 1] if len(found) else np.zeros(0, bool)
+                    at = np.flatnonzero(hit & tb.same_row(rows, length))
+                    if not len(at):
+                        continue
+                    own = pa.array(first + rows[at])
+                    values = (found[at], tb.gram_hashes(words, length)[at], tb.gram_hashes(others, length)[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(own), batch.column(1).take(own), pa.array((at - start[at]).astype(np.int32)), pa.array(np.full(len(at), length, np.int32)), *(pa.array(v.view(np.int64)) for v in values)],
+                        names=["key", "size", "place", "length", "print", "hash", "other"],
+                    )
 
-    def windows(self, k: int) -> dict:
-        if self._held != k:
-            if self._held is not None:
-                self._windows[self._held].__dict__.pop("_value", None)  # read from its file again when needed
-            self._held = k
-        return self._windows[k].value
+    return run
 
 
-def build_index(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Index:
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-size // SHARD_BYTES))
-    prints, windows = [], []
-    for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("item"), F.lit(count)) == k) if count > 1 else rows
-        shard = Shard([(r.item, r.text.encode()) for r in part.toLocalIterator()])
-        prints.append(shard.prints)
-        windows.append(spark.sparkContext.broadcast(shard.windows))
-    return Index(spark.sparkContext.broadcast(prints), windows)
+def _key(text: Column) -> list[Column]:
+    """What tells a text's hits; equal texts have equal ones."""
+    return [F.xxhash64(text).alias("key"), F.octet_length(text).alias("size")]
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """key, size, n_hit, n_items, items_sha256 of the texts with a benchmark window."""
+    items = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text")).where("item is not null and text is not null")
+    windows = materialize(items.mapInArrow(_window_rows, "item string, length int, print long, hash long, other long").distinct(), "decontam-windows")
+    lengths = [r.length for r in windows.select("length").distinct().collect()]  # SPAN values at most
+    distinct = windows.select("length", "print").distinct()
+    few = distinct.count() <= SENT_PRINTS
+    tables: dict[int, np.ndarray | None] = dict.fromkeys(lengths)
+    if few:
+        rows = distinct.toPandas()
+        tables = {n: np.sort(rows["print"].to_numpy(np.int64)[rows["length"].to_numpy() == n].view(np.uint64)) for n in lengths}
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    places = docs.select(*_key(own), own.alias("text")).mapInArrow(_places(tables), "key long, size int, place int, length int, print long, hash long, other long")
+    if not few:
+        places = places.join(distinct, ["length", "print"], "left_semi")
+    places = places.drop("print").distinct()
+    found = materialize(places.join(windows.drop("print"), ["length", "hash", "other"]).select("key", "size", "place", "length", "item"), "decontam-found")
+    words = found.select("key", "size", "place", "length").distinct().select("key", "size", F.explode(F.sequence("place", F.col("place") + F.col("length") - 1)).alias("word"))
+    n_hit = words.distinct().groupBy("key", "size").agg(F.count("*").alias("n_hit"))
+    listed = found.select("key", "size", "item").distinct().groupBy("key", "size").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    joined = n_hit.join(listed, ["key", "size"])
+    whole = joined.select("key", "size", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    whole = materialize(whole, "decontam-hits")
+    release(windows, found)
+    return whole
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Append n_words, n_hit, n_items, items_sha256 and contaminated to ``docs``.
 
     A window is SPAN consecutive words of an item, or all words of a shorter
-    one. A document's word inside any occurrence of a window is hit.
+    one. A document's word inside any occurrence of a window is hit. Windows
+    are told by two 64-bit hashes. Equal texts are hit alike and judged once.
 
     Null and empty texts have no words and are clean; items without an id or
     words are ignored; an item given twice counts once; an empty benchmark
     leaves every document clean. Columns of ``docs`` that share a result's
     name are replaced by it.
     """
-    index = build_index(benchmark, item, item_text)
-    kept = [c for c in docs.columns if c not in RESULT.names]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in kept] + RESULT.fields)
-    return base.mapInArrow(_runner(index, kept, schema), schema)
-
-
-def _runner(index: Index, kept: list[str], schema: T.StructType):
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            result = _scan(batch.column(len(kept)), index.prints.value, index.windows)
-            arrays = [batch.column(i).cast(target.field(i).type) for i in range(len(kept))]
-            arrays += [pa.array(result[c], target.field(len(kept) + j).type) for j, c in enumerate(RESULT.names)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
-
-    return run
+    found = hits(docs, benchmark, text, item, item_text)
+    kept = [c for c in docs.columns if c not in RESULT]
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    key, size = _key(own)
+    base = docs.select(*[F.col(f"`{c}`") for c in kept], F.regexp_count(own, F.lit(_WORD)).cast("long").alias("n_words"), key.alias("__key"), size.alias("__size"))
+    joined = base.join(found.withColumnsRenamed({"key": "__key", "size": "__size"}), ["__key", "__size"], "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in kept], "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any benchmark window; what decontaminate says of rows holds here, too."""
+    found = hits(docs, benchmark, text, item, item_text).select(F.col("key").alias("__key"), F.col("size").alias("__size"))
+    key, size = _key(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    keyed = docs.select("*", key.alias("__key"), size.alias("__size"))
+    return keyed.join(found, ["__key", "__size"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
