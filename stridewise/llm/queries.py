@@ -51,8 +51,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = quality.judge(quality.measure(docs), quality.plan(docs))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    measured = quality.measure(docs, quality.REPORTED)
+    found = quality.judge(measured, quality.plan(docs, have=quality.REPORTED), have=quality.REPORTED)
+    return found.select("doc_id", *quality.REPORTED, "base_failed", "kept")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
