@@ -2,12 +2,15 @@
 
 Whole texts are cut into overlapping windows; each is decoded by Viterbi over
 the network's scores, and every character takes its label from the window in
-whose middle it lies best. Spans that pass an exact check are added to those
-of the four base patterns.
-
-A span of any kind holds a digit or an ``@``: part of the CRF's constraints.
-Windows without either thus decode to "outside" throughout, whatever the
-network says, and are not computed.
+whose middle it lies best. Spans that pass a check of their content are added
+to those of the four base patterns: addresses that are spelt out, spaced or
+not in ASCII, card numbers with dots, local phone numbers and the like, which
+the network is shown in made-up windows.
+
+One constraint of the CRF hangs on the text: a character can only be in a span
+within REACH characters of a digit, an ``@`` or an ``(at)``, or in one word with
+one. Windows without such a character decode to "outside" throughout and are
+not computed; the result is that of decoding all (a test holds it to that).
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and of the step to the next one.
 WINDOW, STEP = 64, 32
 #: Cells of the LSTM in each direction.
-CELLS = 16
-#: Documents the network is trained on at most, and windows of each.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 8
+CELLS = 24
+#: Characters from a digit, an @ or an (at) that can be in a span.
+REACH = 24
+#: Documents the network is trained on at most, windows of each (spread over the text), and made-up windows.
+SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_UP = 400, 8, 4000
 #: Documents, times SAMPLE_DOCS, among which those with a digit or @ are looked for.
 SPREAD = 40
 #: Windows that are decoded at a time.
@@ -38,9 +43,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_AT = re.compile(r"[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+#: Bytes of which a text with a span has one.
 _TRIGGER_BYTES = np.zeros(256, bool)
-_TRIGGER_BYTES[[*b"0123456789@"]] = True
+_TRIGGER_BYTES[[*b"0123456789@([{"]] = True
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -115,13 +121,31 @@ def _codes(text: str) -> np.ndarray:
     return _TABLE[0][np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
 
 
-def _window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or ``@``; they lie STEP apart from the text's start on."""
-    starts: set[int] = set()
-    for found in _TRIGGER.finditer(text):
-        last = found.start() // STEP
-        starts.update(range(max(0, last - (WINDOW // STEP - 1)), last + 1))
-    return [s * STEP for s in sorted(starts)]
+def _open_places(text: str, codes: np.ndarray) -> np.ndarray:
+    """Which characters can be in a span."""
+    marked = (codes == 2) | (codes == 8)  # digits and @
+    for found in _AT.finditer(text):
+        marked[found.start() : found.end()] = True
+    if not marked.any():
+        return marked
+    at = np.flatnonzero(marked)
+    edges = np.bincount(np.maximum(at - REACH, 0), minlength=len(text) + 1) - np.bincount(np.minimum(at + REACH + 1, len(text)), minlength=len(text) + 1)
+    blank = (codes == 6) | (codes == 7) | (codes == 17)
+    word = np.cumsum(blank)
+    with_one = np.zeros(int(word[-1]) + 1, bool)
+    with_one[word[at]] = True
+    return (np.cumsum(edges[:-1]) > 0) | (with_one[word] & ~blank)
+
+
+def _window_starts(open_places: np.ndarray) -> list[int]:
+    """Starts of the windows with an open place; windows lie STEP apart from the text's start on."""
+    blocks = -(-len(open_places) // STEP)
+    padded = np.zeros(blocks * STEP, bool)
+    padded[: len(open_places)] = open_places
+    some = padded.reshape(blocks, STEP).any(axis=1)
+    for back in range(1, WINDOW // STEP):
+        some[:-back] |= some[back:]
+    return (np.flatnonzero(some) * STEP).tolist()
 
 
 _LABELS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -239,7 +263,7 @@ class Tagger:
             dc = dc * f
         return float((total - value).mean()), {k: v / n for k, v in grad.items()}
 
-    def train(self, codes: np.ndarray, labels: np.ndarray, steps: int = 160, batch: int = 48, rate: float = 0.02, seed: int = 9) -> float:
+    def train(self, codes: np.ndarray, labels: np.ndarray, steps: int = 360, batch: int = 64, rate: float = 0.02, seed: int = 9) -> float:
         """Adam over random batches; returns the last loss."""
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -257,9 +281,10 @@ class Tagger:
                 self.p[k] = (self.p[k] - slope * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return loss
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The best label sequence of each window."""
+    def decode(self, codes: np.ndarray, open_places: np.ndarray) -> np.ndarray:
+        """The best label sequence of each window, outside where a place is not open."""
         scores = self.scores(codes)
+        scores[:, :, 1:] += np.where(open_places.T, 0, -1e4).astype(np.float32)[:, :, None]
         length, n, _ = scores.shape
         move = self.p["move"] + self.allowed
         best = scores[0]
@@ -290,31 +315,61 @@ def _cut(values: np.ndarray, starts: list[int]) -> np.ndarray:
     return np.stack([padded[s : s + WINDOW] for s in starts]) if starts else np.zeros((0, WINDOW), values.dtype)
 
 
-def _invented(rng: np.random.Generator, n: int) -> list[tuple[str, list[Span]]]:
-    """Windows around made-up personal data, so that every kind is in the training set."""
+_NAMES = ("jörg", "zoë", "renée", "søren", "łukasz", "иван", "maría", "müller", "àlex", "björk")
+
+
+def _made_up(rng: np.random.Generator, kind: int, hard: bool) -> str:
+    """A value of a kind; hard: in a form that the base patterns miss."""
     letters = "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda *of: of[rng.integers(len(of))]
     word = lambda: "".join(letters[i] for i in rng.integers(0, 26, rng.integers(2, 9)))
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    if kind == 0:
+        local, host, top = f"{word()}{pick('', '.' + word(), str(rng.integers(100)), '_' + word())}", word() + pick("", digits(1)), pick("com", "org", "net", "example.com", "de")
+        if not hard:
+            return f"{local}@{host}.{top}"
+        if rng.random() < 0.3:
+            return f"{pick(*_NAMES)}{pick('', '.' + word())}@{pick(host, pick(*_NAMES))}.{top}"
+        at, dot = pick(" @ ", "(at)", " (at) ", "[at]", " [at] ", "@ ", " @"), pick(".", " . ", "(dot)", " (dot) ", "[dot]")
+        return f"{local}{at}{host}{dot}{top.replace('.', dot)}"
+    if kind == 1:
+        parts = [str(x) for x in rng.integers(0, 256, 4)]
+        return ".".join(parts) if not hard else pick("[.]", " . ", "(.)", " .").join(parts)
+    if kind == 2:
+        body = digits(15)
+        body += next(str(d) for d in range(10) if _luhn(body + str(d)))
+        sep = pick("", " ", "-") if not hard else pick(".", "/", " - ", "  ")
+        return sep.join(body[j : j + 4] for j in range(0, 16, 4))
+    if not hard:
+        return pick(f"+{rng.integers(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}")
+    return pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"00{rng.integers(1, 99)} {digits(3)} {digits(7)}", f"0{digits(3)}/{digits(7)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}")
+
+
+def _invented(rng: np.random.Generator, n: int, hard: float = 0.5) -> list[tuple[str, list[Span]]]:
+    """Windows around made-up values of every kind, a share of them hard, and around numbers and marks that are none."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda *of: of[rng.integers(len(of))]
+    word = lambda: "".join(letters[i] for i in rng.integers(0, 26, rng.integers(1, 10)))
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     out = []
     for i in range(n):
-        kind = i % (len(KINDS) + 1)
-        if kind == 0:
-            value = f"{word()}.{rng.integers(100)}@{word()}{rng.integers(10)}.{word()}.com" if rng.random() < 0.6 else f"{word()}@{word()}.org"
-        elif kind == 1:
-            value = ".".join(str(x) for x in rng.integers(0, 256, 4))
-        elif kind == 2:
-            body = digits(15)
-            body += next(str(d) for d in range(10) if _luhn(body + str(d)))
-            sep = ("", " ", "-")[rng.integers(3)]
-            value = sep.join(body[j : j + 4] for j in range(0, 16, 4))
-        elif kind == 3:
-            value = f"+{rng.integers(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}" if rng.random() < 0.6 else f"+{digits(2)} {digits(3)} {digits(7)}"
-        else:
-            value = (f"{digits(rng.integers(1, 6))}", f"@{word()}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"key={digits(3)}{word()}{digits(4)}")[rng.integers(4)]
+        kind = i % (len(KINDS) + 2)
         before = " ".join(word() for _ in range(rng.integers(0, 4)))
-        after = " ".join(word() for _ in range(rng.integers(0, 5)))
-        text = f"{before} {value}{('.', ',', '', '')[rng.integers(4)]} {after}"[:WINDOW]
-        out.append((text, base_spans(text)))
+        after = " ".join(pick(word(), word(), digits(rng.integers(1, 4))) for _ in range(rng.integers(0, 5)))
+        own = kind < len(KINDS)
+        if own:
+            value = _made_up(rng, kind, rng.random() < hard)
+        else:
+            value = pick(
+                digits(rng.integers(1, 9)), f"@{word()}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"key={digits(3)}{word()}{digits(4)}", f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
+                f"{digits(2)}.{digits(2)}.{digits(4)}", f"{digits(3)},{digits(3)}", f"{digits(20)}", f"{word()}_{digits(6)}{word()}{digits(4)}", f"{digits(2)} {digits(3)} {digits(2)}", f"({word()}) {digits(2)}", f"a@b", f"(at) {word()}",
+            )
+        start = len(before) + 1
+        text = f"{before} {value}{pick('.', ',', '', '')} {after}"[:WINDOW]
+        spans = base_spans(text)
+        if own and start + len(value) <= WINDOW and not any(a < start + len(value) and start < b for a, _, b in spans):
+            spans = sorted([*spans, (start, kind, start + len(value))])
+        out.append((text, spans))
     return out
 
 
@@ -323,8 +378,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int
 
     The labels are the base spans of at most SAMPLE_DOCS documents with a
     digit or ``@`` (those with the smallest hashes of their ids, among about
-    SPREAD x SAMPLE_DOCS documents), of each at most SAMPLE_WINDOWS windows,
-    and those of made-up windows.
+    SPREAD x SAMPLE_DOCS documents), of each at most SAMPLE_WINDOWS windows all
+    over the text, and the spans of MADE_UP made-up windows, half of which have
+    forms that the base patterns miss.
     """
     base = docs.select(F.xxhash64(F.col(f"`{doc_id}`").cast("string")).alias("hash"), F.col(f"`{text}`").cast("string").alias("text"))
     # hashes are spread evenly: a bound leaves SPREAD times the sample, few of them for each task
@@ -334,7 +390,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int
     rows = sample.orderBy("hash", "codes").limit(SAMPLE_DOCS).collect()
     codes = [np.frombuffer(r.codes, np.int8).reshape(-1, WINDOW) for r in rows]
     labels = [np.frombuffer(r.labels, np.int8).reshape(-1, WINDOW) for r in rows]
-    for made, spans in _invented(np.random.default_rng(seed), 1500):
+    for made, spans in _invented(np.random.default_rng(seed), MADE_UP):
         codes.append(_cut(_codes(made), [0]))
         labels.append(_cut(_labels(made, spans), [0]))
     tagger = Tagger()
@@ -346,42 +402,53 @@ def _sample_windows(batches):
     for batch in batches:
         out: list[tuple] = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            starts = _window_starts(text)[:SAMPLE_WINDOWS]
+            codes = _codes(text)
+            starts = _window_starts(_open_places(text, codes))
             if starts:
-                out.append((key, _cut(_codes(text), starts).tobytes(), _cut(_labels(text, base_spans(text)), starts).tobytes()))
+                starts = [starts[i] for i in np.unique(np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int))]
+                out.append((key, _cut(codes, starts).tobytes(), _cut(_labels(text, base_spans(text)), starts).tobytes()))
         out = sorted(out)[:SAMPLE_DOCS]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["hash", "codes", "labels"])
 
 
+_SPELT_AT, _SPELT_DOT = re.compile(r"\s*(?:[(\[{] ?at ?[)\]}]|@)\s*", re.IGNORECASE), re.compile(r"\s*(?:[(\[{] ?(?:dot|\.) ?[)\]}]|\.)\s*", re.IGNORECASE)
+
+
 def _passes(text: str, kind: int) -> bool:
-    """The exact check of a span that the network proposes."""
+    """The check of the content of a span that the network proposes, whatever separates its parts."""
     if kind == 0:
-        local, _, domain = text.partition("@")
-        return bool(local and re.fullmatch(r"[\w.%+-]+", local) and re.fullmatch(r"[\w-]+(\.[\w-]+)+", domain))
+        local, at, domain = _SPELT_DOT.sub(".", _SPELT_AT.sub("@", text)).partition("@")
+        return bool(at and re.fullmatch(r"[\w.%+-]+", local) and re.fullmatch(r"[\w-]+(\.[\w-]+)*\.[^\W\d_]{2,}", domain))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text)) and _ip_ok(text)
+        plain = _SPELT_DOT.sub(".", text)
+        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", plain)) and _ip_ok(plain)
+    digits = re.sub("[^0-9]", "", text)
     if kind == 2:
-        digits = re.sub("[^0-9]", "", text)
-        return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", text)) and 14 <= len(digits) <= 19 and _luhn(digits)
-    return text[0] in "+(" and text[-1].isdigit() and 10 <= _digits(text) <= 15 and not re.search(r"[^0-9 ().+-]", text)
+        return bool(re.fullmatch(r"[0-9](?:[ ./-]{0,3}[0-9])+", text)) and 14 <= len(digits) <= 19 and _luhn(digits)
+    return bool(re.fullmatch(r"[+(]?[0-9][0-9 ()./+-]*[0-9]", text)) and 9 <= len(digits) <= 15 and len(digits) < len(text)
 
 
-def _proposed(texts: list[str], tagger: Tagger) -> list[list[Span]]:
+def _proposed(texts: list[str], tagger: Tagger, all_windows: bool = False) -> list[list[Span]]:
     """The network's spans of whole texts: windows decoded in batches, labels taken from the window whose middle is nearest."""
     owner: list[int] = []
     places: list[int] = []
     parts: list[np.ndarray] = []
+    opens: list[np.ndarray] = []
     out: list[list[Span]] = [[] for _ in texts]
     for i, text in enumerate(texts):
-        starts = _window_starts(text)
+        own_codes = _codes(text)
+        open_places = _open_places(text, own_codes)
+        starts = list(range(0, len(text), STEP)) if all_windows else _window_starts(open_places)
         if starts:
-            parts.append(_cut(_codes(text), starts))
+            parts.append(_cut(own_codes, starts))
+            opens.append(_cut(open_places, starts))
             owner += [i] * len(starts)
             places += starts
     if not parts:
         return out
+    open_windows = np.concatenate(opens)
     codes = np.concatenate(parts)
-    labels = np.concatenate([tagger.decode(codes[lo : lo + BATCH]) for lo in range(0, len(codes), BATCH)])
+    labels = np.concatenate([tagger.decode(codes[lo : lo + BATCH], open_windows[lo : lo + BATCH]) for lo in range(0, len(codes), BATCH)])
     merged: dict[int, dict[int, int]] = {}
     edge = (WINDOW - STEP) // 2
     for (i, start), row in zip(zip(owner, places, strict=True), labels, strict=True):
@@ -467,7 +534,7 @@ def detect(docs: DataFrame, tagger: Tagger, text: str = "text", redacted: bool =
             found: dict[int, tuple[list[Span], list[Span]]] = {}
             words: dict[int, str] = {}
             for first, raw, offsets in tb.text_slices(column):
-                # rows without a digit or @ have no span of any kind
+                # rows without a digit, an @ or a bracket have no span of any kind
                 sums = np.concatenate([[0], np.cumsum(_TRIGGER_BYTES[raw])])
                 rows = (first + np.flatnonzero(sums[offsets[1:]] > sums[offsets[:-1]])).tolist()
                 texts = [column[i].as_py() for i in rows]
