@@ -1,10 +1,10 @@
 """SimHash near-duplicate classes through pigeonhole blocks.
 
 Fingerprints of 64 bits are computed from word shingles; the distinct ones are
-split into ``BLOCKS`` blocks. Two fingerprints that differ in at most
-``RADIUS`` bits agree in at least BLOCKS - RADIUS blocks, so they meet in a
-bucket keyed by those blocks. Buckets are verified by Hamming distance and
-leave only a spanning forest of links, never all pairs.
+split into blocks, as many as their number asks for. Two fingerprints that
+differ in at most ``RADIUS`` bits agree in all but RADIUS blocks at least, so
+they meet in a bucket keyed by those blocks. Buckets are verified by Hamming
+distance and leave only a spanning forest of links, never all pairs.
 
 Near copies, whose fingerprints differ in too many bits for any blocks, are
 found on the sets of shingles themselves.
@@ -30,8 +30,10 @@ from stridewise.shipping import partitions
 RADIUS = 3
 #: Words of a shingle.
 SHINGLE = 3
-#: Blocks of a fingerprint; buckets are keyed by BLOCKS - RADIUS of them.
-BLOCKS = 5
+#: Blocks of a fingerprint, at least and at most; buckets are keyed by all but RADIUS of them.
+BLOCKS, MOST_BLOCKS = 5, 9
+#: Bits that a bucket's key has beyond those that number the fingerprints, so that buckets stay small at every size.
+SPARE_BITS = 3
 #: Members of a bucket that are compared in one go; a larger bucket is dealt out as pairs of parts.
 PART = 4096
 
@@ -124,8 +126,14 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     return base.mapInArrow(run, schema)
 
 
+def blocks_for(count: int, radius: int = RADIUS) -> int:
+    """Blocks by which ``count`` fingerprints spread well: more blocks make longer keys, and more of them."""
+    enough = lambda blocks: 64 * (blocks - radius) / blocks >= np.log2(max(1, count)) + SPARE_BITS
+    return next((b for b in range(max(BLOCKS, radius + 2), MOST_BLOCKS) if enough(b)), MOST_BLOCKS)
+
+
 def pigeonhole_keys(blocks: int, radius: int, fp: str = "fp0") -> list[Column]:
-    """For each choice of BLOCKS - RADIUS blocks, the bits of a 64-bit fingerprint in them."""
+    """For each choice of all but ``radius`` blocks, the bits of a 64-bit fingerprint in them."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     keys = []
     for chosen in combinations(range(blocks), blocks - radius):
@@ -215,7 +223,7 @@ def near_links(prints: DataFrame, keys: list[Column], radius: int, lanes: list[s
     bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), key) for i, key in enumerate(keys)])).alias("bucket")
     spread = prints.select(bucket, "node", *[c for c in lanes if c != "node"])
     large = spread.groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > PART)
-    large = large.select("bucket", F.ceil(F.col("members") / F.lit(PART // 2)).alias("parts"))
+    large = materialize(large.select("bucket", F.ceil(F.col("members") / F.lit(PART // 2)).alias("parts")), "simhash-large")
     rows = spread.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
@@ -229,12 +237,13 @@ def classes(distinct: DataFrame, keys: list[Column], radius: int, lanes: list[st
     """(node, component_id) where distinct has node, lanes and least, the smallest id of each node's rows."""
     links = materialize(near_links(distinct, keys, radius, lanes), "simhash-links")
     found = components(links, "simhash-components")
+    release(links)
     named = distinct.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(least, "component").select("node", "component_id")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
     fingerprint is 16 hex digits; component_id the smallest id in the row's
@@ -249,7 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     prints = materialize(with_fingerprints(base, "text", shingle).select("doc_id", F.col("fp0").alias("node")), "simhash-prints")
     distinct = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    named = classes(distinct, pigeonhole_keys(blocks, radius, "node"), radius, ["node"])
+    named = classes(distinct, pigeonhole_keys(blocks or blocks_for(distinct.count(), radius), radius, "node"), radius, ["node"])
     return prints.join(named, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -262,8 +271,8 @@ BANDS_FROM, PREFIX_UP_TO = 115, 144
 BANDS, BAND_ROWS = 24, 4
 #: One of so many texts is counted to learn which shingles are common, and bits of a shingle that the table of them tells apart.
 SAMPLED, TABLE_BITS = 8, 20
-#: Pairs that are handed on at once.
-PAIRS = 1 << 16
+#: Pairs that are handed on at once, and rows whose keys are sent to all tasks at most; more are joined by a shuffle.
+PAIRS, SENT_ROWS = 1 << 16, 1 << 18
 #: Bits of a set's mark: its shingles' parities, so two marks differ in no more bits than the sets in shingles.
 MARK_BITS = 1024
 
@@ -320,10 +329,11 @@ def with_set_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _sampled_shingles(batches):
-    """(text) -> the shingles of one of SAMPLED texts."""
+    """(text) -> the shingles of one of SAMPLED texts, of those that meet by prefixes."""
     for batch in batches:
         for _, bounds, grams in _shingle_sets(batch.column(0)):
-            chosen = np.repeat(_set_keys(bounds, grams).view(np.uint64) % np.uint64(SAMPLED) == 0, np.diff(bounds))
+            sizes = np.diff(bounds)
+            chosen = np.repeat((_set_keys(bounds, grams).view(np.uint64) % np.uint64(SAMPLED) == 0) & (sizes <= PREFIX_UP_TO), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64))], names=["hash"])
 
 
@@ -511,8 +521,10 @@ def near_copy_components(rows: DataFrame) -> DataFrame:
     keyed = with_set_keys(rows)
     first = keyed.groupBy("node").agg(F.min("row_key").alias("row_key")).join(shared.select("node").distinct(), "node")
     first = materialize(first, "copies-rows")
-    chosen = keyed.join(first, ["node", "row_key"], "left_semi").dropDuplicates(["node", "row_key"]).select("node", "text")
+    wanted = F.broadcast(first) if first.count() <= SENT_ROWS else first
+    chosen = keyed.join(wanted, ["node", "row_key"], "left_semi").dropDuplicates(["node", "row_key"]).select("node", "text")
     sets = materialize(chosen.mapInArrow(_sets, "node long, n long, mark binary, shingles binary"), "copies-sets")
+    release(first)
     marks = sets.select("node", "n", "mark")
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -531,7 +543,7 @@ def near_copy_components(rows: DataFrame) -> DataFrame:
     dealt = _dealt(placed, "copies-sizes").repartition(partitions(rows), "hash", "group").sortWithinPartitions("hash", "group", "side")
     pairs = materialize(dealt.mapInArrow(_open_pairs, "a long, b long").distinct(), "copies-pairs")
     seconds = checked(pairs, "copies-second")
-    release(shared, first, sets, state, pairs)
+    release(shared, sets, state, pairs)
     return components(firsts.unionByName(seconds), "copies-components")
 
 
