@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from stridewise.model import TrajectoryData, check_trajectory
 
-#: Buckets in which rows are numbered when labels are shuffled.
-BUCKETS = 1024
+#: Hex digits of a key by which rows are dealt to buckets when they are numbered.
+BUCKET_DIGITS = 3
 
 
 def pair_distances(data: DataFrame) -> DataFrame:
@@ -31,27 +31,32 @@ def _histogram(data: DataFrame, size: float) -> DataFrame:
 
 
 def _numbered(data: DataFrame, key: Column) -> DataFrame:
-    """data with ``place``, a number from 0 on by a hash key, dealt out bucket by bucket."""
-    keyed = data.withColumn("key", key).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)))
+    """data with ``place``, a number from 0 on in the order of a hex key, counted bucket by bucket."""
+    keyed = data.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"))
-    # BUCKETS rows at most
+    # 16 ** BUCKET_DIGITS rows at most
     before = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("bucket").orderBy("key", "rid")) - 1
     return keyed.withColumn("within", within).join(F.broadcast(before), "bucket").withColumn("place", F.col("before") + F.col("within")).drop("key", "bucket", "before", "within")
 
 
+def _shuffled(seed: int) -> Column:
+    """Where the seed puts a row: the digest of both, which any SQL engine can compute."""
+    return F.md5(F.concat_ws(":", F.lit(seed), "id", "frame", "copy").cast("binary"))
+
+
 def pair_distribution_function(traj_data: TrajectoryData, radius_bin_size: float, randomisation_stacking: int = 1, seed: int = 0) -> DataFrame:
     """(r, g): pair distances over those with shuffled frames, by right ends of bins; sorted by r.
 
-    g is NaN or infinite where the shuffled data have no pair. The shuffle is
-    a fixed function of the seed.
+    g is NaN or infinite where the shuffled data have no pair: that stands for a
+    warning. The shuffle is a fixed function of the seed.
     """
     check_trajectory(traj_data)
     data = traj_data.data.select("id", "frame", "x", "y")
     own = _histogram(data.withColumn("rid", F.xxhash64("id", "frame")), radius_bin_size)
     stacked = data.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(randomisation_stacking)))).withColumn("rid", F.xxhash64("id", "frame", "copy"))
-    rows = _numbered(stacked, F.xxhash64(F.lit(seed), "rid")).select("place", "id", "rid", "x", "y")
-    labels = _numbered(stacked, F.xxhash64(F.lit(seed + 1), "rid")).select("place", "frame")
+    rows = _numbered(stacked, _shuffled(seed)).select("place", "id", "rid", "x", "y")
+    labels = _numbered(stacked, _shuffled(seed + 1)).select("place", "frame")
     random = _histogram(rows.join(labels, "place"), radius_bin_size)
     total = lambda h, name: h.agg(F.sum("n").alias(f"{name}_total"), F.max("farthest").alias(f"{name}_farthest"))
     both = own.select("bin", F.col("n").alias("own")).join(random.select("bin", F.col("n").alias("random")), "bin", "full")

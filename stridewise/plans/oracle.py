@@ -114,6 +114,7 @@ HOLED = CELLS + f", holed AS (SELECT frame, id, area - {polygon_area('q')} AS ar
 _PUSH = lambda d: f"(({d}) + 1) * (0.04::DOUBLE / 1.05::DOUBLE) + 0.01"
 # one position of every tenth pedestrian takes the place of the next one, as a gap of one is filled from its later end
 REPAIRED = ", o AS (SELECT id, frame, CASE WHEN id % 10 = 3 AND frame = min(frame) OVER (PARTITION BY id) + 20 THEN lead(x) OVER (PARTITION BY id ORDER BY frame) ELSE x END AS x, CASE WHEN id % 10 = 3 AND frame = min(frame) OVER (PARTITION BY id) + 20 THEN lead(y) OVER (PARTITION BY id ORDER BY frame) ELSE y END AS y, dense_rank() OVER (ORDER BY id) AS new_id FROM t)"
+_PAIRS = "SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM {0} a JOIN {0} b ON a.frame = b.frame AND a.place < b.place WHERE a.frame IN (SELECT frame FROM {0} GROUP BY frame HAVING min(id) < max(id))"
 _DISTANCE = "sqrt(x * x + power(y - greatest(0, least(5, y)), 2))"
 _VIEW = SQL + f" SELECT id, frame, {R('x')} AS x, {R('y')} AS y FROM t"
 TIMES = CROSS + f", td AS (SELECT t.id, t.frame, (c.frame - t.frame) / 10.0 AS time, {_DISTANCE} AS distance FROM t JOIN c ON c.id = t.id WHERE c.frame >= t.frame)"
@@ -174,6 +175,14 @@ SELECT {R('(n - n0) / (passed - ws) * 10.0')} AS flow, {R('(SELECT avg(speed) FR
   SELECT 'species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp)) UNION ALL SELECT 'half the species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp WHERE id % 2 = 0))
   UNION ALL SELECT 'speeds', (SELECT count(*) FROM onl LEFT JOIN v USING (id, frame) WHERE v_x IS NULL) UNION ALL SELECT 'half the speeds', (SELECT count(*) FROM onl LEFT JOIN (FROM v WHERE id % 2 = 0) h USING (id, frame) WHERE h.v_x IS NULL))
 SELECT what, CASE WHEN what LIKE '%species' THEN CASE WHEN missing = 0 THEN 'true' ELSE 'false' END WHEN missing = 0 THEN 'DATA_CORRECT' ELSE 'ENTRY_MISSING' END AS verdict FROM w UNION ALL SELECT 'speeds without components', 'COLUMN_MISSING'""",
+    "pair_distribution_function": SQL + f""", r AS (SELECT id, frame, x, y, row_number() OVER (ORDER BY md5(concat_ws(':', 0, id, frame, 1))) AS place FROM t),
+l AS (SELECT frame, row_number() OVER (ORDER BY md5(concat_ws(':', 1, id, frame, 1))) AS place FROM t),
+s AS (SELECT place, id, l.frame, x, y FROM r JOIN l USING (place)), u AS (SELECT row_number() OVER () AS place, id, frame, x, y FROM t),
+op AS ({_PAIRS.format('u')}), rp AS ({_PAIRS.format('s')}),
+ob AS (SELECT ceil(d / 0.5) AS bin, count(*) AS n FROM op GROUP BY 1), rb AS (SELECT ceil(d / 0.5) AS bin, count(*) AS n FROM rp GROUP BY 1),
+bins AS (SELECT unnest(range(1, CAST((SELECT ceil(max(d) / 0.5) FROM op) AS BIGINT))) AS bin)
+SELECT {R('bin * 0.5')} AS r, {R('(coalesce(ob.n, 0) / (SELECT count(*) FROM op)) / (rb.n / (SELECT count(*) FROM rp))')} AS g FROM bins LEFT JOIN ob USING (bin) LEFT JOIN rb USING (bin)""",
+    "outlier_repair": SQL + f" SELECT dense_rank() OVER (ORDER BY id) AS id, frame, {R('x')} AS x, {R('y')} AS y FROM t",
     "outlier_repair_planted": SQL + REPAIRED + f" SELECT new_id AS id, frame, {R('x')} AS x, {R('y')} AS y FROM o",
     "outlier_changes": SQL + REPAIRED + " SELECT DISTINCT id AS original_id, new_id FROM o WHERE id % 10 = 3",
     "wall_projection_one_wall": SQL + f" SELECT id, frame, {R('x')} AS x, CASE WHEN y - 0.5 <= 0.05 THEN {R('0.5 + ' + _PUSH(_PUSH('y - 0.5')))} ELSE {R('y')} END AS y FROM t",
