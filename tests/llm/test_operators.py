@@ -726,22 +726,26 @@ class TestPassages:
     def test_one_word_over_and_over(self, spark):
         rng = random.Random(23)
         fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(9999)}" for _ in range(n)]
-        texts = [" ".join(fresh(40) + ["same"] * (60 + i) + fresh(40)) for i in range(6)]
+        texts = [" ".join(fresh(40) + ["same"] * (60 + i) + fresh(40)) for i in range(6)] + [" ".join(fresh(40) + ["same"] * 20 + fresh(40)) for _ in range(6)]
         found = passages.shared_passages(docs(spark, texts)).collect()
         assert {r.doc_id for r in found} | {r.other_id for r in found} == set(range(6))
 
     def test_joined_streams(self):
         """The streamed join, whatever the batches' bounds, against one over all pairs."""
         rng = np.random.default_rng(6)
-        sizes = [*rng.integers(1, 16, 60), 40, 90, 17, 16]
-        rows = sorted({(h, int(rng.integers(1, 30)), int(rng.integers(0, 50)) << 6) for h, n in enumerate(sizes) for _ in range(n)})
+        sizes = [*rng.integers(1, 16, 60), 40, 90, 17, 16, 60, 25]
+        texts = [30] * 64 + [9, 3]
+        rows = sorted({(h, int(rng.integers(1, texts[h])), int(rng.integers(0, 50)) << 6) for h, n in enumerate(sizes) for _ in range(n)})
         want = set()
         for h in range(len(sizes)):
             own = [r for r in rows if r[0] == h]
             pairs = [(x, y) for i, x in enumerate(own) for y in own[i + 1 :]]
             if len(own) > passages.GROUP:
                 first = [r for r in own if r[1] == own[0][1]][: passages.FIRST]
-                pairs = [(first[sum(z[1] == y[1] for z in own[:i]) % len(first)], y) for i, y in enumerate(own)]
+                rank = [sum(z[1] == y[1] for z in own[:i]) for i, y in enumerate(own)]
+                pairs = [(first[k % len(first)], y) for k, y in zip(rank, own, strict=True)]
+                if len({y[1] for y in own}) <= passages.GROUP:
+                    pairs += [(own[i], own[j]) for j in range(len(own)) for i in range(j) if rank[i] == rank[j] < passages.FIRST]
             want |= {(x[1], y[1], x[2], y[2]) for x, y in pairs if x[1] != y[1]}
         rows = [r for r in rows for _ in range(rng.integers(1, 3))]  # repeated rows count once
         for size in (1, 3, 7, 50, 10000):
