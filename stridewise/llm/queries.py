@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stridewise.llm import chat, decontam, langid, packing, passages, pii, quality, simhash, toxicity, warc
+from stridewise.llm import chat, decontam, divergence, langid, packing, passages, pii, quality, sharding, simhash, toxicity, warc, whitening
 from stridewise.llm.common import id_remainder, table
 
+#: Shards of op12, components of op13.
+SHARDS, COMPONENTS = 40, 8
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -69,9 +72,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows, COMPONENTS)
+    found = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*[F.lit(float(v / model.trace)) for v in model.values]) if model is not None and len(model.values) else F.array(F.lit(0.0))
+    n, error = (model.n, model.identity_error) if model is not None else (0, 0.0)
+    return found.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "at").alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_chat, op3_warc, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op9_passages, op10_decontamination)}
+    found = (op1_toxicity, op2_chat, op3_warc, op4_packing, op5_pii, op6_language, op7_quality, op8_simhash, op9_passages, op10_decontamination, op11_divergence, op12_sharding, op13_whitening)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE, "op3_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op10_decontamination": decontam.ORACLE, "op11_divergence": divergence.ORACLE}
