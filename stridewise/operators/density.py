@@ -9,6 +9,7 @@ from stridewise.geometry import exprs
 from stridewise.model import MeasurementArea, MeasurementLine, TrajectoryData, check_trajectory
 from stridewise.operators import line
 from stridewise.operators.frames import frame_spine, zero_filled
+from stridewise.operators.intervals import interval_means
 
 
 def classic_density(traj_data: TrajectoryData, measurement_area: MeasurementArea) -> DataFrame:
@@ -34,9 +35,8 @@ def voronoi_density(individual_voronoi_data: DataFrame, measurement_area: Measur
 
 def passing_density(density_per_frame: DataFrame, frames: DataFrame) -> DataFrame:
     """id, density: mean over the frames from entering to before leaving."""
-    stays = frames.where("leaving_frame > entering_frame")
-    each = stays.select("id", "entering_frame", F.explode(F.sequence(F.col("entering_frame"), F.col("leaving_frame") - 1)).alias("frame"))
-    return each.join(density_per_frame.select("frame", "density"), "frame", "left").groupBy("id", "entering_frame").agg(F.avg("density").alias("density")).drop("entering_frame")
+    stays = frames.where("leaving_frame > entering_frame").select("id", "entering_frame", (F.col("leaving_frame") - 1).alias("last_frame"))
+    return interval_means(density_per_frame, stays, "density", "entering_frame", "last_frame", "density").select("id", "density")
 
 
 def line_density(individual_voronoi_polygons: DataFrame, measurement_line: MeasurementLine, species: DataFrame, validate: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from stridewise.geometry import exprs
 from stridewise.model import MeasurementArea, MeasurementLine, TrajectoryData, check_trajectory
 from stridewise.operators import line
 from stridewise.operators.frames import frame_spine
+from stridewise.operators.intervals import interval_means
 from stridewise.operators.movement import by_id, stay_intervals, whole_id
 
 #: An end nearer to the line than this counts as on it.
@@ -62,8 +63,7 @@ def flow(nt: DataFrame, crossing_frames: DataFrame, individual_speed: DataFrame,
     value = (F.col("cumulative_pedestrians") - F.col("n0")) / (F.col("passed") - F.col("window_start")) * F.lit(float(frame_rate))
     windows = windows.select(value.alias("flow"), "window_start", F.col("passed").alias("window_end"))
     speeds = crossing_frames.join(individual_speed.select("id", "frame", "speed"), ["id", "frame"])
-    each = windows.select("flow", "window_start", "window_end", F.explode(F.sequence("window_start", "window_end")).alias("frame"))
-    means = each.join(speeds, "frame", "left").groupBy("flow", "window_start", "window_end").agg(F.avg("speed").alias("mean_speed"))
+    means = interval_means(speeds, windows, "speed", "window_start", "window_end", "mean_speed")
     return means.select("flow", "mean_speed", "window_start", "window_end")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridewise.model import TrajectoryData
+from stridewise.operators.quantiles import quantiles
 
 
 def with_time(values: DataFrame, frame_rate: float) -> DataFrame:
@@ -14,8 +15,9 @@ def with_time(values: DataFrame, frame_rate: float) -> DataFrame:
 
 
 def distribution(values: DataFrame, column: str) -> DataFrame:
-    """One row: min, mean, median, max."""
-    return values.agg(F.min(column).alias("min"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.max(column).alias("max"))
+    """One row: min, mean, median, max. The median takes a few jobs."""
+    (median,) = quantiles(values, column, [0.5])
+    return values.agg(F.min(column).alias("min"), F.avg(column).alias("mean"), F.lit(median).cast("double").alias("median"), F.max(column).alias("max"))
 
 
 def neighborhood_at(neighborhood: DataFrame, traj_data: TrajectoryData, frame: int, pedestrian: int) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stridewise.model import Cutoff
-from stridewise.plans.view import CUTOFF, GRID_SHIFT, OBSTACLE, SQL
+from stridewise.plans.view import CUTOFF, GRID_SHIFT, OBSTACLE, PAIR_CUTOFF, SQL
 
 R = lambda v: f"(round({v}, 6) + 0.0)"
 INSIDE = "x > -1.5 AND x < 1.5 AND y > 0 AND y < 5"
@@ -202,7 +202,15 @@ SELECT {R('bin * 0.5')} AS r, {R('(coalesce(ob.n, 0) / (SELECT count(*) FROM op)
     "source_crowdit": _VIEW,
     "source_pathfinder_json": _VIEW,
     "source_vadere": SQL + f", n AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM t WINDOW w AS (PARTITION BY id ORDER BY frame)) SELECT id, 2 * frame AS frame, {R('x')} AS x, {R('y')} AS y FROM n UNION ALL SELECT id, 2 * frame + 1, {R('(x + x1) / 2')}, {R('(y + y1) / 2')} FROM n WHERE x1 IS NOT NULL",
+    "step_quantiles": SQL + f", st AS (SELECT sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM t WINDOW w AS (PARTITION BY id ORDER BY frame)) SELECT share, {R('step')} AS step FROM (SELECT unnest([0.0, 0.01, 0.5, 0.99, 1.0]::DOUBLE[]) AS share, unnest(quantile_cont(step, [0.0, 0.01, 0.5, 0.99, 1.0])) AS step FROM st)",
+    "live_stay_intervals": SQL + STAYS.format(inside=INSIDE) + " SELECT id, entering_frame, leaving_frame FROM stay",
+    "live_crossings": SQL + CROSS + " SELECT id, frame FROM c",
+    "live_first_crossings": SQL + NT + " SELECT id, frame FROM f",
+    "live_n_t": SQL + NT + f" SELECT frame, n AS cumulative_pedestrians, {R('frame / 10.0')} AS time FROM nt WHERE frame BETWEEN (SELECT min(frame) FROM f) AND (SELECT max(frame) FROM f)",
     "rset_map_max": _RSET("max"),
     "rset_map_min": _RSET("min"),
     "rset_map_mean": _RSET("avg"),
 }
+# a cutoff leaves what is nearer as it is
+ORACLES["pair_histogram_cutoff"] = ORACLES["pair_histogram"].replace(" GROUP BY 1", f" AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {PAIR_CUTOFF} GROUP BY 1")
+ORACLES["pair_distribution_cutoff"] = f"SELECT * FROM ({ORACLES['pair_distribution_function']}) WHERE r <= {PAIR_CUTOFF}"

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridewise import streaming
 from stridewise.enums import DensityMethod, RsetMethod, SpeedCalculation, SpeedMethod
 from stridewise.functions import register_functions
 from stridewise.geometry import exprs
 from stridewise.model import Cutoff, WalkableArea
-from stridewise.operators import acceleration, density, flow, line, movement, plotdata, profiles, spatial, speed, validity, voronoi
+from stridewise.operators import acceleration, density, flow, line, movement, plotdata, profiles, quantiles, spatial, speed, validity, voronoi
 from stridewise.plans import fixtures, oracle
 from stridewise.plans import view as v
 from stridewise.preprocessing import outliers, projection
@@ -237,6 +238,50 @@ def pair_distribution_function(spark, sf_dir):
     return spatial.pair_distribution_function(v.trajectory(spark, sf_dir), 0.5)
 
 
+@_query
+def pair_histogram_cutoff(spark, sf_dir):
+    """Pairs up to 2 m, formed in bins of that width."""
+    return spatial.pair_histogram(v.trajectory(spark, sf_dir), 0.5, cutoff=v.PAIR_CUTOFF).select("bin", "n")
+
+
+@_query
+def pair_distribution_cutoff(spark, sf_dir):
+    return spatial.pair_distribution_function(v.trajectory(spark, sf_dir), 0.5, cutoff=v.PAIR_CUTOFF)
+
+
+@_query
+def step_quantiles(spark, sf_dir):
+    """Exact quantiles of the lengths of steps."""
+    dx, dy = (F.col(c) - F.lag(c).over(movement.by_id()) for c in "xy")
+    steps = v.trajectory(spark, sf_dir).data.select(F.sqrt(dx * dx + dy * dy).alias("step"))
+    shares = [0.0, 0.01, 0.5, 0.99, 1.0]
+    return spark.createDataFrame(list(zip(shares, quantiles.quantiles(steps, "step", shares), strict=True)), "share double, step double")
+
+
+def _live(spark, sf_dir):
+    return streaming.replay(v.trajectory(spark, sf_dir))
+
+
+@_query
+def live_stay_intervals(spark, sf_dir):
+    return streaming.drained(streaming.live_stay_intervals(_live(spark, sf_dir), v.AREA, v.FRAME_RATE))
+
+
+@_query
+def live_crossings(spark, sf_dir):
+    return streaming.drained(streaming.live_crossings(_live(spark, sf_dir), v.LINE, v.FRAME_RATE))
+
+
+@_query
+def live_first_crossings(spark, sf_dir):
+    return streaming.drained(streaming.live_first_crossings(_live(spark, sf_dir), v.LINE, v.FRAME_RATE))
+
+
+@_query
+def live_n_t(spark, sf_dir):
+    return streaming.drained(streaming.live_n_t(_live(spark, sf_dir), v.LINE, v.FRAME_RATE))
+
+
 def _grid():
     return {"axis_aligned_measurement_area": v.GRID_AREA, "grid_size": 1.0}
 

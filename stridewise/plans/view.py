@@ -10,6 +10,7 @@ from stridewise.model import AxisAlignedMeasurementArea, MeasurementArea, Measur
 FRAME_RATE = 10.0
 FRAME_STEP = 5
 CUTOFF = 0.8
+PAIR_CUTOFF = 2.0
 WALKABLE = WalkableArea([(-15, 0), (20, 0), (20, 5), (-15, 5)])
 AREA = MeasurementArea([(-1.5, 0), (1.5, 0), (1.5, 5), (-1.5, 5)])
 #: The grid lies off the lanes' pitch: no edge of a cell runs along its lines, where float noise would decide. Exact in binary.

@@ -1,11 +1,14 @@
-"""The folder that the driver and the executors share."""
+"""The folder that the driver and the executors share, and tables written to it between two phases of a job."""
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import uuid
+import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN_SHARED: dict[str, str] = {}
 
@@ -25,3 +28,41 @@ def shared_dir(spark: SparkSession) -> str:
             _OWN_SHARED[application] = tempfile.mkdtemp(prefix="stridewise-shared-")
         found = _OWN_SHARED[application]
     return found.rstrip("/")
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return a reader of what was written.
+
+    Cuts the lineage, so that a lost executor never repeats earlier phases,
+    and keeps nothing on executors' own disks. ``release`` deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    return found
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these frames, after the last action that reads them."""
+    for df in written:
+        delete_tree(df.sparkSession, _WRITTEN.pop(df))
+    if written:
+        let_go(written[0].sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are gone; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete_tree(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, wherever it lives."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
