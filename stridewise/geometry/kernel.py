@@ -6,10 +6,12 @@ import numpy as np
 
 from stridewise.errors import GeometryError
 
-#: Cells that are cut together, and rows of a distance matrix at a time.
+#: Cells that are cut together, times four, and pairs of cells that are compared together.
 BATCH = 2048
-#: Neighbours of each point that are put in order at once; most cells are done before they are used up.
-NEAREST = 24
+#: Points of a bin, about; points that are few enough for a single bin; bins to each side that are looked through first.
+PER_BIN, FEW_POINTS, FIRST_RADIUS = 2.0, 24, 2
+#: A cell nearer to a bisector than this may touch the one behind it.
+REACHES = 1e-7
 
 
 def clip_many(px: np.ndarray, py: np.ndarray, count: np.ndarray, a, b, c) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,22 +56,95 @@ def areas(px: np.ndarray, py: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.abs(np.where(valid, x * ny - nx * y, 0).sum(axis=1)) / 2
 
 
-def voronoi(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float], corners=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Bins:
+    """Points of a frame in square bins, those of a row of bins side by side."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        self.x0, self.y0 = float(x.min()), float(y.min())
+        wide, high = float(x.max()) - self.x0, float(y.max()) - self.y0
+        many = len(x) / PER_BIN
+        # of points on a line, bins along it
+        size = max(np.sqrt(wide * high / many), max(wide, high) / many) if len(x) > FEW_POINTS else 0.0
+        self.size = size if size > 0 else max(wide, high, 1.0) * 2
+        self.nx, self.ny = int(wide / self.size) + 1, int(high / self.size) + 1
+        self.bx = np.minimum(((x - self.x0) / self.size).astype(np.int64), self.nx - 1)
+        self.by = np.minimum(((y - self.y0) / self.size).astype(np.int64), self.ny - 1)
+        flat = self.by * self.nx + self.bx
+        self.order = np.argsort(flat, kind="stable")
+        self.starts = np.searchsorted(flat[self.order], np.arange(self.nx * self.ny + 1))
+
+    def around(self, at: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For points ``at``: points in bins up to ``radius`` off, nearest first, their squared distances, and the distance up to which all are there.
+
+        Rows are filled up with infinite distances; a point itself and those at its place have them, too.
+        """
+        bx, by = self.bx[at], self.by[at]
+        low, high = np.maximum(bx - radius, 0), np.minimum(bx + radius, self.nx - 1)
+        rows = by[:, None] + np.arange(-radius, radius + 1)
+        inside = (rows >= 0) & (rows < self.ny)
+        base = np.where(inside, rows, 0) * self.nx
+        first, last = self.starts[base + low[:, None]], self.starts[base + high[:, None] + 1]
+        counts = np.where(inside, last - first, 0)
+        total = counts.sum(axis=1)
+        width = int(total.max(initial=1))
+        order, square = np.zeros((len(at), width), np.int64), np.full((len(at), width), np.inf)
+        flat = counts.ravel()
+        run = np.repeat(np.cumsum(flat) - flat, flat)
+        place = np.arange(flat.sum()) - run + np.repeat(first.ravel(), flat)
+        row = np.repeat(np.arange(len(at)), total)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(total) - total, total)
+        found = self.order[place]
+        d = (self.x[found] - self.x[at][row]) ** 2 + (self.y[found] - self.y[at][row]) ** 2
+        order[row, column], square[row, column] = found, np.where(d > 0, d, np.inf)
+        sorting = np.argsort(square, axis=1, kind="stable")
+        gap = lambda edge, open_: np.where(open_, edge, np.inf)
+        x, y, s = self.x[at] - self.x0, self.y[at] - self.y0, self.size
+        edges = (
+            gap(x - (bx - radius) * s, bx - radius > 0), gap((bx + radius + 1) * s - x, bx + radius < self.nx - 1),
+            gap(y - (by - radius) * s, by - radius > 0), gap((by + radius + 1) * s - y, by + radius < self.ny - 1),
+        )
+        return np.take_along_axis(order, sorting, 1), np.take_along_axis(square, sorting, 1), np.minimum.reduce(edges)
+
+
+def voronoi(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float], corners=None, pairs: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of the points of one frame inside a box, as padded polygons.
 
     Each cell is cut by the bisectors to its neighbours, the nearest first,
     and is done when the next one lies further off than twice its farthest
-    corner. corners: of a polygon around each point that limits its cell.
+    corner. Neighbours come from the bins around a point, further ones only
+    for cells that reach so far. corners: of a polygon around each point that
+    limits its cell. pairs: gets (i, j), i < j, of all points whose cells may
+    touch: one of them reaches the bisector between both, or both are at one place.
     """
+    bins = Bins(x, y)
     n = len(x)
-    found = [_voronoi_rows(x, y, lo, min(n, lo + BATCH // 4), box, corners) for lo in range(0, n, BATCH // 4)]
+    found = [_voronoi_rows(bins, np.arange(lo, min(n, lo + BATCH // 4)), box, corners, pairs) for lo in range(0, n, BATCH // 4)]
     width = max(f[0].shape[1] for f in found)
+    if pairs is not None:
+        together = _same_place(x, y)
+        own = np.concatenate([*(p for p, _ in pairs), together[0]])
+        other = np.concatenate([*(p for _, p in pairs), together[1]])
+        both = np.unique(np.minimum(own, other) * n + np.maximum(own, other))
+        pairs[:] = [(both // n, both % n)]
     return tuple(np.concatenate([_padded(f[i], width) for f in found]) for i in (0, 1)) + (np.concatenate([f[2] for f in found]),)
 
 
-def _voronoi_rows(x, y, lo, hi, box, corners):
-    own_x, own_y = x[lo:hi], y[lo:hi]
-    n, m = len(x), hi - lo
+def _same_place(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((y, x))
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    ends = np.append(np.flatnonzero(fresh), len(x))
+    groups = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a > 1]
+    made = [np.triu_indices(len(g), 1) for g in groups]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(g[i] for g, (i, _) in zip(groups, made, strict=True))]), np.concatenate([none, *(g[j] for g, (_, j) in zip(groups, made, strict=True))])
+
+
+def _voronoi_rows(bins: Bins, at: np.ndarray, box, corners, pairs: list | None):
+    x, y = bins.x, bins.y
+    own_x, own_y = x[at], y[at]
+    m = len(at)
     left, low, right, high = box
     px = np.tile([left, right, right, left], (m, 1)).astype(float)
     py = np.tile([low, low, high, high], (m, 1)).astype(float)
@@ -78,32 +153,49 @@ def _voronoi_rows(x, y, lo, hi, box, corners):
         for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
             a, b = by - ay, ax - bx
             px, py, count = clip_many(px, py, count, np.full(m, a), np.full(m, b), a * (ax + own_x) + b * (ay + own_y))
-    dx, dy = x[None, :] - own_x[:, None], y[None, :] - own_y[:, None]
-    square = dx * dx + dy * dy
-    square[np.arange(m), np.arange(lo, hi)] = np.inf
-    square[square == 0] = np.inf  # points at one place share their cell's bounds
-    # the nearest ones in order, and all of them for the few cells that need more
-    few = min(NEAREST, n)
-    part = np.argpartition(square, few - 1, axis=1)[:, :few] if few < n else np.broadcast_to(np.arange(n), (m, n))
-    order = np.take_along_axis(part, np.argsort(np.take_along_axis(square, part, 1), axis=1, kind="stable"), 1)
-    active = np.arange(m)
-    place = np.arange(m)  # rows of ``order`` that belong to the active cells
-    for k in range(n - 1):
-        if k == order.shape[1]:
-            order, place = np.argsort(square[active], axis=1, kind="stable"), np.arange(len(active))
-        reach = np.where(np.arange(px.shape[1]) < count[active, None], (px[active] - own_x[active, None]) ** 2 + (py[active] - own_y[active, None]) ** 2, 0).max(axis=1)
-        nearest = order[place, k]
-        on = square[active, nearest] <= 4 * reach
-        active, place, other = active[on], place[on], nearest[on]
-        if not len(active):
-            break
-        a, b = x[other] - own_x[active], y[other] - own_y[active]
-        c = (x[other] ** 2 - own_x[active] ** 2 + y[other] ** 2 - own_y[active] ** 2) / 2
-        qx, qy, q = clip_many(px[active], py[active], count[active], a, b, c)
-        width = max(px.shape[1], qx.shape[1])
-        px, py = _padded(px, width), _padded(py, width)
-        px[active, : qx.shape[1]], py[active, : qy.shape[1]] = qx, qy
-        count[active] = q
+
+    def reach(cells: np.ndarray) -> np.ndarray:
+        corner = np.arange(px.shape[1]) < count[cells, None]
+        return np.where(corner, (px[cells] - own_x[cells, None]) ** 2 + (py[cells] - own_y[cells, None]) ** 2, 0).max(axis=1) * (1 + 1e-9)
+
+    met: list[tuple[np.ndarray, np.ndarray]] = []
+    left_over, done_to, radius = np.arange(m), np.zeros(m), FIRST_RADIUS
+    while len(left_over):
+        order, square, limit = bins.around(at[left_over], radius)
+        # what has been cut before is passed over; beyond the limit, nearer points may be missing
+        k = (square <= (done_to[left_over] ** 2)[:, None]).sum(axis=1)
+        end = (square <= (limit**2)[:, None]).sum(axis=1)
+        end = np.where(np.isinf(limit), np.isfinite(square).sum(axis=1), end)
+        row = np.arange(len(left_over))
+        while len(row):
+            row = row[k[row] < end[row]]
+            cells = left_over[row]
+            row = row[square[row, k[row]] <= 4 * reach(cells)] if len(row) else row
+            if not len(row):
+                break
+            cells, other = left_over[row], order[row, k[row]]
+            a, b = x[other] - own_x[cells], y[other] - own_y[cells]
+            c = (x[other] ** 2 - own_x[cells] ** 2 + y[other] ** 2 - own_y[cells] ** 2) / 2
+            qx, qy, q = clip_many(px[cells], py[cells], count[cells], a, b, c)
+            width = max(px.shape[1], qx.shape[1])
+            px, py = _padded(px, width), _padded(py, width)
+            px[cells, : qx.shape[1]], py[cells, : qy.shape[1]] = qx, qy
+            count[cells] = q
+            k[row] += 1
+            if pairs is not None:
+                met.append((cells, other))
+        done_to[left_over] = limit
+        left_over = left_over[(limit**2 < 4 * reach(left_over)) & np.isfinite(limit)]
+        radius *= 2
+    if pairs is not None and met:
+        cells, other = (np.concatenate(c) for c in zip(*met, strict=True))
+        a, b = x[other] - own_x[cells], y[other] - own_y[cells]
+        far = np.hypot(a, b)
+        corner = np.arange(px.shape[1]) < count[cells, None]
+        # how far corners are from the bisector, on the point's own side
+        off = ((px[cells] - ((own_x[cells] + x[other]) / 2)[:, None]) * a[:, None] + (py[cells] - ((own_y[cells] + y[other]) / 2)[:, None]) * b[:, None]) / far[:, None]
+        near = np.where(corner, off, -np.inf).max(axis=1) >= -REACHES
+        pairs.append((at[cells[near]], other[near]))
     return px, py, count
 
 
@@ -197,19 +289,35 @@ def _nearest(e: np.ndarray, f: np.ndarray) -> np.ndarray:
     return ((x - t * dx) ** 2 + (y - t * dy) ** 2).min(axis=(1, 2))
 
 
-def touching(cells: list[list[np.ndarray]], distance: float) -> list[tuple[int, int]]:
-    """Pairs of a frame's cells that come as near as ``distance``; cells do not overlap."""
+def touching(cells: list[list[np.ndarray]], distance: float, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of a frame's cells that come as near as ``distance``; cells do not overlap unless they are the same.
+
+    pairs: those that may touch; else boxes around all cells are compared.
+    """
     at = [i for i, c in enumerate(cells) if c]
     if len(at) < 2:
         return []
     edges = _edges([cells[i] for i in at])
+    if pairs is None:
+        found = list(_near_boxes(edges, distance))
+        own, other = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    else:
+        place = np.full(len(cells), -1)
+        place[at] = np.arange(len(at))
+        own, other = place[pairs[0]], place[pairs[1]]
+        own, other = own[(own >= 0) & (other >= 0)], other[(own >= 0) & (other >= 0)]
+    near = np.zeros(len(own), bool)
+    for lo in range(0, len(own), BATCH):
+        e, f = edges[own[lo : lo + BATCH]], edges[other[lo : lo + BATCH]]
+        # of two outlines that do not cross, the nearest points include a corner of one
+        near[lo : lo + BATCH] = np.minimum(_nearest(e, f), _nearest(f, e)) <= distance * distance
+    names = np.array(at)
+    return list(zip(names[own[near]].tolist(), names[other[near]].tolist(), strict=True))
+
+
+def _near_boxes(edges: np.ndarray, distance: float):
     low, high = edges[:, :, :2].min(axis=1), edges[:, :, :2].max(axis=1)
-    out = []
-    for i in range(len(at) - 1):
+    for i in range(len(edges) - 1):
         j = i + 1 + np.flatnonzero((low[i] <= high[i + 1 :] + distance).all(axis=1) & (low[i + 1 :] <= high[i] + distance).all(axis=1))
         if len(j):
-            # of two outlines that do not cross, the nearest points include a corner of one
-            own = np.broadcast_to(edges[i], (len(j), *edges[i].shape))
-            near = np.minimum(_nearest(own, edges[j]), _nearest(edges[j], own)) <= distance * distance
-            out += [(at[i], at[k]) for k in j[near].tolist()]
-    return out
+            yield np.full(len(j), i), j

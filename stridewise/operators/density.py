@@ -29,8 +29,9 @@ def voronoi_density(individual_voronoi_data: DataFrame, measurement_area: Measur
     """(frame, density) over the cells' frame range, and the cells with their intersections."""
     cells = individual_voronoi_data.withColumn("intersection", exprs.clip_pieces(F.col("polygon"), measurement_area))
     part = exprs.area(F.col("intersection")) / exprs.area(F.col("polygon"))
-    sums = cells.groupBy("frame").agg((F.sum(part) / F.lit(float(measurement_area.area))).alias("density"))
-    return zero_filled(sums, individual_voronoi_data, "density"), cells
+    # each frame of the cells has a sum; the filter, which a join would add, keeps both readers of the sums alike
+    sums = cells.where("frame is not null").groupBy("frame").agg((F.sum(part) / F.lit(float(measurement_area.area))).alias("density"))
+    return zero_filled(sums, None, "density"), cells
 
 
 def passing_density(density_per_frame: DataFrame, frames: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from stridewise.enums import DataValidationStatus
 from stridewise.errors import InputError
 from stridewise.geometry import exprs
 from stridewise.model import MeasurementLine
+from stridewise.shared import materialize
 
 
 def share(measurement_line: MeasurementLine) -> Column:
@@ -25,6 +26,16 @@ def _meeting(cells: DataFrame, measurement_line: MeasurementLine) -> DataFrame:
     return cells.where(exprs.meets_line(F.col("polygon"), measurement_line))
 
 
+def at_line(cells: DataFrame, measurement_line: MeasurementLine) -> DataFrame:
+    """The cells that meet the line, computed now and kept in the shared folder.
+
+    Species, densities, speeds and flows at the line look at no other cells and
+    give the same for these: pass them to all of those instead of ``cells``,
+    which then are computed once. ``shared.release`` deletes them.
+    """
+    return materialize(_meeting(cells, measurement_line), "at-line")
+
+
 def by_species(cells: DataFrame, measurement_line: MeasurementLine, species: DataFrame, value: Column, speeds: DataFrame | None, up: str, down: str, total: str, flip: bool) -> DataFrame:
     """Per frame, the sum of ``value`` over species 1 and -1 (null if it has none) and both; latest frame first."""
     found = _meeting(cells, measurement_line).join(species, "id", "left")

@@ -17,6 +17,7 @@ from stridewise.enums import DensityMethod, RsetMethod, SpeedMethod
 from stridewise.errors import ArgumentTypeError, ArgumentValueError
 from stridewise.geometry import exprs
 from stridewise.model import AxisAlignedMeasurementArea, TrajectoryData, WalkableArea, check_trajectory
+from stridewise.shared import materialize
 
 #: Rounded constants of the Gaussian density: 2 sqrt(2 ln 2) and sqrt(2 pi). Fixed values.
 FWHM_PER_SIGMA, ROOT_TWO_PI = 2.35482, 2.50662
@@ -75,29 +76,71 @@ def grid_cells(walkable_area: WalkableArea | None = None, axis_aligned_measureme
     return Grid(*(float(b) for b in bounds), float(grid_size))
 
 
-def grid_cell_polygon_intersection_area(data: DataFrame, grid: Grid) -> DataFrame:
-    """(id, frame, row, col, area) of the grid cells that each Voronoi cell overlaps.
+def _cut_pieces(pieces: DataFrame, grid: Grid, *carried: str) -> DataFrame:
+    """``carried``, row, col and area of the grid cells that convex pieces overlap; a null piece is row and col -1.
 
     Only cells under a piece's bounding box are clipped, so the work grows
     with the overlaps.
     """
     least = lambda c, axis: F.array_min(F.transform(c, lambda v: v[axis]))
     most = lambda c, axis: F.array_max(F.transform(c, lambda v: v[axis]))
-    clamp = lambda v, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), v.cast("int")))
-    pieces = data.select("id", "frame", F.explode("polygon").alias("piece"))
-    size = F.lit(grid.size)
+    size, piece = F.lit(grid.size), F.col("piece")
     spans = pieces.select(
-        "id", "frame", "piece",
-        F.floor((least(F.col("piece"), "x") - F.lit(grid.min_x)) / size).alias("c0"), F.floor((most(F.col("piece"), "x") - F.lit(grid.min_x)) / size).alias("c1"),
-        F.floor((F.lit(grid.max_y) - most(F.col("piece"), "y")) / size).alias("r0"), F.floor((F.lit(grid.max_y) - least(F.col("piece"), "y")) / size).alias("r1"),
-    ).where(f"c1 >= 0 and c0 < {grid.cols} and r1 >= 0 and r0 < {grid.rows}")
-    each = spans.withColumn("row", F.explode(F.sequence(clamp(F.col("r0"), grid.rows), clamp(F.col("r1"), grid.rows))))
-    each = each.withColumn("col", F.explode(F.sequence(clamp(F.col("c0"), grid.cols), clamp(F.col("c1"), grid.cols))))
+        *carried, "piece",
+        F.floor((least(piece, "x") - F.lit(grid.min_x)) / size).alias("c0"), F.floor((most(piece, "x") - F.lit(grid.min_x)) / size).alias("c1"),
+        F.floor((F.lit(grid.max_y) - most(piece, "y")) / size).alias("r0"), F.floor((F.lit(grid.max_y) - least(piece, "y")) / size).alias("r1"),
+    ).where(f"piece is null or (c1 >= 0 and c0 < {grid.cols} and r1 >= 0 and r0 < {grid.rows})")
+
+    def under(low: str, high: str, n: int) -> Column:
+        clamp = lambda v: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.col(v).cast("int")))
+        return F.explode(F.when(piece.isNull(), F.array(F.lit(-1))).otherwise(F.sequence(clamp(low), clamp(high))))
+
+    each = spans.withColumn("row", under("r0", "r1", grid.rows)).withColumn("col", under("c0", "c1", grid.cols))
     x0, y1 = F.lit(grid.min_x) + F.col("col") * size, F.lit(grid.max_y) - F.col("row") * size
     plane = lambda a, b, c: F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), c.alias("c"))
     planes = F.array(plane(-1, 0, -x0), plane(1, 0, x0 + size), plane(0, 1, y1), plane(0, -1, size - y1))
-    cut = each.select("id", "frame", "row", "col", exprs.clip(F.col("piece"), planes).alias("cut")).where("size(cut) > 2")
-    return cut.groupBy("id", "frame", "row", "col").agg(F.sum(exprs.convex_area(F.col("cut"))).alias("area")).where("area > 0")
+    cut = each.select(*carried, "row", "col", exprs.clip(piece, planes).alias("cut")).where("row < 0 or size(cut) > 2")
+    return cut.select(*carried, "row", "col", F.when(F.col("row") < 0, 0.0).otherwise(exprs.convex_area(F.col("cut"))).alias("area"))
+
+
+def grid_cell_polygon_intersection_area(data: DataFrame, grid: Grid) -> DataFrame:
+    """(id, frame, row, col, area) of the grid cells that each Voronoi cell overlaps."""
+    cut = _cut_pieces(data.select("id", "frame", F.explode("polygon").alias("piece")), grid, "id", "frame")
+    return cut.groupBy("id", "frame", "row", "col").agg(F.sum("area").alias("area")).where("area > 0")
+
+
+def _voronoi_values(data: DataFrame, grid: Grid, density: bool, speed: SpeedMethod | None) -> DataFrame:
+    """(frame, row, col, density, speed), as asked for, of every grid cell and frame of the cells in ``data``.
+
+    The cells are read once: a mark of each pedestrian, at row and col -1,
+    keeps frames without any overlap, and empty grid cells are filled in
+    between the others of their frame.
+    """
+    carried = ["id"] * (speed is SpeedMethod.ARITHMETIC) + ["frame"] + ["whole"] * density + ["speed"] * (speed is not None)
+    kept = data.select(*[c for c in carried if c != "whole"], *[exprs.area(F.col("polygon")).alias("whole")] * density, F.concat(F.array(F.lit(None)), F.col("polygon")).alias("pieces"))
+    cut = _cut_pieces(kept.select(*carried, F.explode("pieces").alias("piece")), grid, *carried)
+    if "id" in carried:
+        # pieces of one cell count as one
+        cut = cut.groupBy("id", "frame", "row", "col").agg(F.sum("area").alias("area"), *[F.first(c).alias(c) for c in carried[2:]])
+    area, square, values = F.col("area"), F.lit(grid.size * grid.size), {}
+    if density:
+        values["density"] = F.sum(F.when(F.col("row") >= 0, area / F.nullif(F.col("whole"), F.lit(0.0)))) / square
+    if speed is SpeedMethod.VORONOI:
+        values["speed"] = F.sum(F.when(F.col("row") >= 0, area * F.col("speed"))) / square
+    if speed is SpeedMethod.ARITHMETIC:
+        values["speed"] = F.avg(F.when((F.col("row") >= 0) & (area > LEAST_AREA), F.col("speed")))
+    sums = cut.groupBy("frame", "row", "col").agg(*[v.alias(n) for n, v in values.items()])
+    cell = F.when(F.col("row") < 0, F.lit(-1)).otherwise(F.col("row") * grid.cols + F.col("col")).alias("cell")
+    frames = sums.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct(cell, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in values]))).alias("cells"))
+    empty = F.struct(F.lit(-1).alias("cell"), *[F.lit(0.0).alias(n) for n in values])
+
+    def with_gap(own: Column, k: Column) -> Column:
+        following = F.coalesce(F.get("cells", k + 1)["cell"], F.lit(grid.rows * grid.cols))
+        return F.concat(F.array(own), F.array_repeat(empty, following - own["cell"] - 1))
+
+    each = frames.select("frame", F.posexplode(F.flatten(F.transform("cells", with_gap))).alias("place", "own")).where("place > 0")
+    place = F.col("place") - 1
+    return each.select("frame", F.call_function("div", place, F.lit(grid.cols)).cast("int").alias("row"), (place % grid.cols).alias("col"), *[F.col(f"own.{n}").alias(n) for n in values])
 
 
 def _dense(data: DataFrame, grid: Grid, values: DataFrame, fill: float | None) -> DataFrame:
@@ -111,10 +154,6 @@ def _centers(grid: Grid) -> tuple[Column, Column]:
     return F.lit(grid.min_x) + (F.col("col") + 0.5) * F.lit(grid.size), F.lit(grid.max_y) - (F.col("row") + 0.5) * F.lit(grid.size)
 
 
-def _intersections(data: DataFrame, grid: Grid, given: DataFrame | None) -> DataFrame:
-    return given if given is not None else grid_cell_polygon_intersection_area(data, grid)
-
-
 def density_profile(
     data: DataFrame,
     density_method: DensityMethod,
@@ -126,8 +165,10 @@ def density_profile(
 ) -> DataFrame:
     """(frame, row, col, value). VORONOI needs polygon, the others x and y; GAUSSIAN a width (full, at half maximum)."""
     grid = grid_cells(walkable_area, axis_aligned_measurement_area, grid_size)
+    if density_method is DensityMethod.VORONOI and grid_intersections_area is None:
+        return _voronoi_values(data, grid, True, None).withColumnRenamed("density", "value")
     if density_method is DensityMethod.VORONOI:
-        cut = _intersections(data, grid, grid_intersections_area).join(data.select("id", "frame", exprs.area(F.col("polygon")).alias("whole")), ["id", "frame"])
+        cut = grid_intersections_area.join(data.select("id", "frame", exprs.area(F.col("polygon")).alias("whole")), ["id", "frame"])
         sums = cut.groupBy("frame", "row", "col").agg((F.sum(F.col("area") / F.col("whole")) / F.lit(grid.size * grid.size)).alias("value"))
         return _dense(data, grid, sums, 0.0)
     if density_method is DensityMethod.CLASSIC:
@@ -158,12 +199,14 @@ def speed_profile(
     """(frame, row, col, value). Needs speed; VORONOI and ARITHMETIC polygon, the others x and y. fill_value: MEAN's value of empty cells."""
     grid = grid_cells(walkable_area, axis_aligned_measurement_area, grid_size)
     speeds = data.select("id", "frame", "speed")
+    if speed_method in (SpeedMethod.VORONOI, SpeedMethod.ARITHMETIC) and grid_intersections_area is None:
+        return _voronoi_values(data, grid, False, speed_method).withColumnRenamed("speed", "value")
     if speed_method is SpeedMethod.VORONOI:
-        cut = _intersections(data, grid, grid_intersections_area).join(speeds, ["id", "frame"])
+        cut = grid_intersections_area.join(speeds, ["id", "frame"])
         sums = cut.groupBy("frame", "row", "col").agg((F.sum(F.col("area") * F.col("speed")) / F.lit(grid.size * grid.size)).alias("value"))
         return _dense(data, grid, sums, 0.0)
     if speed_method is SpeedMethod.ARITHMETIC:
-        cut = _intersections(data, grid, grid_intersections_area).where(F.col("area") > LEAST_AREA).join(speeds, ["id", "frame"])
+        cut = grid_intersections_area.where(F.col("area") > LEAST_AREA).join(speeds, ["id", "frame"])
         return _dense(data, grid, cut.groupBy("frame", "row", "col").agg(F.avg("speed").alias("value")), 0.0)
     if speed_method is SpeedMethod.MEAN:
         row, col, inside = grid.bin()
@@ -189,12 +232,16 @@ def profiles(
     axis_aligned_measurement_area: AxisAlignedMeasurementArea | None = None,
     gaussian_width: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Density and speed profiles that share one plan of intersections; empty cells of a mean speed are NaN."""
+    """Density and speed profiles; empty cells of a mean speed are NaN.
+
+    If both are made of Voronoi cells, those are cut once, right away, and both
+    profiles read what was written of it: a row for each frame and grid cell.
+    """
     grid = grid_cells(walkable_area, axis_aligned_measurement_area, grid_size)
-    shared = None
-    if density_method is DensityMethod.VORONOI or speed_method in (SpeedMethod.VORONOI, SpeedMethod.ARITHMETIC):
-        shared = grid_cell_polygon_intersection_area(data, grid)
-    area = {"walkable_area": walkable_area, "axis_aligned_measurement_area": axis_aligned_measurement_area, "grid_intersections_area": shared}
+    if density_method is DensityMethod.VORONOI and speed_method in (SpeedMethod.VORONOI, SpeedMethod.ARITHMETIC):
+        both = materialize(_voronoi_values(data, grid, True, speed_method), "profiles")
+        return tuple(both.select("frame", "row", "col", F.col(n).alias("value")) for n in ("density", "speed"))
+    area = {"walkable_area": walkable_area, "axis_aligned_measurement_area": axis_aligned_measurement_area}
     width = {} if gaussian_width is None else {"gaussian_width": gaussian_width}
     return density_profile(data, density_method, grid_size, **area, **width), speed_profile(data, speed_method, grid_size, **area, **width)
 
@@ -205,15 +252,8 @@ def voronoi_profiles(
     walkable_area: WalkableArea | None = None,
     axis_aligned_measurement_area: AxisAlignedMeasurementArea | None = None,
 ) -> DataFrame:
-    """(frame, row, col, density, speed): both Voronoi profiles of cells with speeds, which are cut once."""
-    grid = grid_cells(walkable_area, axis_aligned_measurement_area, grid_size)
-    cut = grid_cell_polygon_intersection_area(data, grid)
-    whole = data.select("id", "frame", "speed", exprs.area(F.col("polygon")).alias("whole"))
-    size = F.lit(grid.size * grid.size)
-    sums = cut.join(whole, ["id", "frame"]).groupBy("frame", "row", "col")
-    both = sums.agg((F.sum(F.col("area") / F.col("whole")) / size).alias("density"), (F.sum(F.col("area") * F.col("speed")) / size).alias("speed"))
-    spine = grid.cells(data.select("frame").distinct())
-    return spine.join(both, ["frame", "row", "col"], "left").fillna(0.0, ["density", "speed"]).select("frame", "row", "col", "density", "speed")
+    """(frame, row, col, density, speed): both Voronoi profiles of cells with speeds, which are computed and cut once."""
+    return _voronoi_values(data, grid_cells(walkable_area, axis_aligned_measurement_area, grid_size), True, SpeedMethod.VORONOI)
 
 
 def rset_map(traj_data: TrajectoryData, grid_size: float, walkable_area: WalkableArea | None = None, axis_aligned_measurement_area: AxisAlignedMeasurementArea | None = None, method: RsetMethod = RsetMethod.MAX) -> DataFrame:

@@ -42,28 +42,34 @@ def _cells(column: pa.Array) -> list[list[np.ndarray]]:
 
 def by_frame(batches, frame_column: int):
     """Whole frames of batches that are sorted by frame: tables of one or more frames each."""
-    held: pa.Table | None = None
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if held is not None:
-            table = pa.concat_tables([held, table])
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        frames = table.column(frame_column).to_numpy()
-        start = int(np.searchsorted(frames, frames[-1], side="left"))
+        frames = batch.column(frame_column).to_numpy()
+        if held and frames[0] != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = frames[-1]
+        start = int(np.searchsorted(frames, last, side="left"))
         if start:
-            yield table.slice(0, start)
-        held = table.slice(start)
-    if held is not None and held.num_rows:
-        yield held
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: WalkableArea, cut_off: Cutoff | None = None, use_blind_points: bool | None = None) -> DataFrame:
-    """id, frame, polygon (convex pieces), density (1 / area).
+def individual_voronoi_polygons(
+    traj_data: TrajectoryData, walkable_area: WalkableArea, cut_off: Cutoff | None = None, use_blind_points: bool | None = None, with_neighbors: bool = False
+) -> DataFrame:
+    """id, frame, polygon (convex pieces), density (1 / area) and, on demand, neighbors (sorted ids of cells that touch it).
 
     Frames are dealt to tasks by hash and computed many at a time; a frame is
     one task's, as its cells depend on each other. Pedestrians at one place
-    of a frame share one cell's bounds.
+    of a frame share one cell's bounds. Neighbours come from the bisectors
+    that cells end at, in the same pass.
     """
     check_trajectory(traj_data)
     if use_blind_points is not None:
@@ -79,29 +85,55 @@ def individual_voronoi_polygons(traj_data: TrajectoryData, walkable_area: Walkab
             ids, frames, xs, ys = (table.column(i).to_numpy() for i in range(4))
             cells: list[list[np.ndarray]] = []
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(frames)) + 1, [len(frames)]])
-            parts = []
+            parts, contacts = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 x, y = xs[a:b], ys[a:b]
                 # what lies outside the area's box is cut off anyway; it grows for pedestrians out there alone
                 box = (min(left, x.min()), min(low, y.min()), max(right, x.max()), max(high, y.max()))
-                parts.append(kernel.voronoi(x, y, box, corners))
+                pairs: list | None = [] if with_neighbors else None
+                parts.append(kernel.voronoi(x, y, box, corners, pairs))
+                contacts.append(pairs[0] if pairs else None)
             width = max(p[0].shape[1] for p in parts)
             px, py = (np.concatenate([kernel._padded(p[i], width) for p in parts]) for i in (0, 1))
             cells = kernel.cells_in_area(xs, ys, px, py, np.concatenate([p[2] for p in parts]), pieces, borders)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(frames), _nested(cells)], names=["id", "frame", "polygon"])
+            columns = {"id": pa.array(ids), "frame": pa.array(frames), "polygon": _nested(cells)}
+            if with_neighbors:
+                columns["neighbors"] = _near_ids(ids, cells, bounds, contacts)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     rows = traj_data.data.select("id", "frame", "x", "y").where("x is not null and y is not null")
     rows = rows.repartition(partitions(rows), "frame").sortWithinPartitions("frame", "id")
-    found = rows.mapInArrow(run, f"id long, frame long, polygon {exprs.PIECES}")
+    found = rows.mapInArrow(run, f"id long, frame long, polygon {exprs.PIECES}" + ", neighbors array<bigint>" * with_neighbors)
     size = exprs.area(F.col("polygon"))
-    return found.withColumn("density", F.when(size > 0, 1.0 / size).otherwise(F.lit(float("inf"))))
+    density = F.when(size > 0, 1.0 / size).otherwise(F.lit(float("inf")))
+    return found.select("id", "frame", "polygon", density.alias("density"), *["neighbors"] * with_neighbors)
+
+
+def _near_ids(ids: np.ndarray, cells: list[list[np.ndarray]], bounds: np.ndarray, contacts: list) -> pa.Array:
+    """Sorted ids of the cells that touch each cell; contacts: of each frame, the pairs that may."""
+    own, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, b, pairs in zip(bounds[:-1].tolist(), bounds[1:].tolist(), contacts, strict=True):
+        found = np.array(kernel.touching(cells[a:b], CONTACT, pairs), np.int64).reshape(-1, 2) + a
+        own += [found[:, 0], found[:, 1]]
+        other += [found[:, 1], found[:, 0]]
+    row, near = np.concatenate(own), ids[np.concatenate(other)]
+    order = np.lexsort((near, row))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(near[order], pa.int64()))
 
 
 def neighbors(individual_voronoi_data: DataFrame, as_list: bool = True) -> DataFrame:
-    """Cells that touch in a frame: (id, frame, neighbors) or, long, (id, frame, neighbor_id)."""
+    """Cells that touch in a frame: (id, frame, neighbors) or, long, (id, frame, neighbor_id).
+
+    Taken from the cells' column ``neighbors`` if they were computed with it;
+    else cells are dealt by frame once more and compared.
+    """
     ship(individual_voronoi_data.sparkSession)
     if as_list:
         warnings.warn("lists of neighbours are deprecated; as_list=False gives rows", DeprecationWarning, stacklevel=2)
+    if "neighbors" in individual_voronoi_data.columns:
+        found = individual_voronoi_data.select("id", "frame", "neighbors")
+        return found if as_list else found.select("id", "frame", F.explode("neighbors").alias("neighbor_id"))
 
     def run(batches):
         for table in by_frame(batches, 1):

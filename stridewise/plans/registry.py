@@ -186,8 +186,8 @@ def voronoi_acceleration(spark, sf_dir):
 
 
 def _cells_and_species(spark, sf_dir):
-    # both the species and the measure at the line read the cells; nothing is kept from one query to the next
-    cells = v.cells(spark, sf_dir)
+    # both the species and the measure at the line read the cells there
+    cells = line.at_line(v.cells(spark, sf_dir), v.LINE)
     return cells, speed.species(v.trajectory(spark, sf_dir), cells, v.LINE, v.FRAME_STEP)
 
 
@@ -220,12 +220,12 @@ def line_flow(spark, sf_dir):
 
 @_query
 def neighbors(spark, sf_dir):
-    return voronoi.neighbors(v.cells(spark, sf_dir), as_list=False)
+    return voronoi.neighbors(v.cells(spark, sf_dir, with_neighbors=True), as_list=False)
 
 
 @_query
 def neighbor_distance(spark, sf_dir):
-    return voronoi.neighbor_distance(v.trajectory(spark, sf_dir), voronoi.neighbors(v.cells(spark, sf_dir), as_list=False))
+    return voronoi.neighbor_distance(v.trajectory(spark, sf_dir), voronoi.neighbors(v.cells(spark, sf_dir, with_neighbors=True), as_list=False))
 
 
 @_query
@@ -439,7 +439,7 @@ def density_over_time(spark, sf_dir):
 
 @_query
 def neighborhood_roles(spark, sf_dir):
-    near = voronoi.neighbors(v.cells(spark, sf_dir), as_list=False)
+    near = voronoi.neighbors(v.cells(spark, sf_dir, with_neighbors=True), as_list=False)
     return plotdata.neighborhood_at(near, v.trajectory(spark, sf_dir), 40, 30)
 
 

@@ -49,10 +49,10 @@ def trajectory(spark: SparkSession, sf_dir: str) -> TrajectoryData:
     return TrajectoryData(data, FRAME_RATE)
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, with_neighbors: bool = False) -> DataFrame:
     from stridewise.operators.voronoi import individual_voronoi_polygons
 
-    return individual_voronoi_polygons(trajectory(spark, sf_dir), WALKABLE)
+    return individual_voronoi_polygons(trajectory(spark, sf_dir), WALKABLE, with_neighbors=with_neighbors)
 
 
 #: The same rows in DuckDB, to open a WITH clause.
