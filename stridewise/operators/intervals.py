@@ -32,41 +32,42 @@ def interval_means(values: DataFrame, intervals: DataFrame, column: str, low: st
     values: (frame, column), any number of rows a frame; missing frames and
     null values count for nothing. An interval without values, an empty one
     and one with a null end have a null mean; NaN and infinite values spread
-    to the intervals that hold them, and to no others.
+    to the intervals that hold them, and to no others. Columns of
+    ``intervals`` must be ones that can be sorted by.
 
     Each interval makes two rows, each frame one: nothing grows with the
-    lengths of intervals.
+    lengths of intervals. Both inputs are read once.
     """
+    none = lambda kind: F.lit(None).cast(kind)
     frames = values.select("frame", *[c.alias(n) for n, c in _parts(F.col(f"`{column}`").cast("double")).items()])
     frames = frames.where("frame is not null").groupBy("frame").agg(*[F.sum(n).alias(n) for n in _SUMS])
-    blocked = frames.withColumn("block", F.floor(F.col("frame") / F.lit(BLOCK)))
-    whole = blocked.groupBy("block").agg(F.sum("sum").cast(EXACT).alias("sum"), *[F.sum(n).alias(n) for n in _SUMS[1:]])
 
+    # an interval asks for the sums before its first frame and up to its last one; without frames, twice for the same
     first, last = F.col(f"`{low}`").cast("long"), F.col(f"`{high}`").cast("long")
-    # equal intervals have equal means
-    wanted = intervals.select(first.alias("low"), last.alias("high")).where("low <= high").distinct()
-    # what comes before the first frame, and all up to the last one
-    ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), (F.col("low") - 1).alias("frame")), F.struct(F.lit(1).alias("sign"), F.col("high").alias("frame"))))
-    asked = wanted.select("low", "high", ends.alias("end")).select("low", "high", "end.*").withColumn("block", F.floor(F.col("frame") / F.lit(BLOCK)))
-
-    # running sums over whole blocks: a row for each block and each end's block
-    none = lambda kind: F.lit(None).cast(kind)
-    blocks = whole.unionByName(asked.select("block").distinct().select("block", none(EXACT).alias("sum"), *[none("long").alias(n) for n in _SUMS[1:]]))
-    blocks = blocks.groupBy("block").agg(*[F.sum(n).alias(n) for n in _SUMS])
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in _SUMS])
+    at = lambda frame: F.when(first <= last, frame).otherwise(F.lit(0)).cast("long")
+    ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), at(first - 1).alias("frame")), F.struct(F.lit(1).alias("sign"), at(last).alias("frame"))))
+    own = F.struct(*[F.col(f"`{c}`") for c in intervals.columns])
+    asked = intervals.select(own.alias("own"), ends.alias("end")).select("own", "end.sign", "end.frame")
 
     # inside a block, ends come behind the row of their frame
-    rows = blocked.select("block", "frame", F.lit(0).alias("kind"), none("long").alias("low"), none("long").alias("high"), none("int").alias("sign"), *_SUMS)
-    rows = rows.unionByName(asked.select("block", "frame", F.lit(1).alias("kind"), "low", "high", "sign", *[none("double" if n == "sum" else "long").alias(n) for n in _SUMS]))
+    rows = frames.select("frame", F.lit(0).alias("kind"), *_SUMS, none("int").alias("sign"), none(asked.schema["own"].dataType).alias("own"))
+    rows = rows.unionByName(asked.select("frame", F.lit(1).alias("kind"), *[none("double" if n == "sum" else "long").alias(n) for n in _SUMS], "sign", "own"))
+    rows = rows.withColumn("block", F.floor(F.col("frame") / F.lit(BLOCK))).where("block is not null")
     so_far = Window.partitionBy("block").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({n: F.coalesce(F.sum(n).over(so_far), F.lit(0)) for n in _SUMS}).where("kind = 1").join(blocks, "block")
+    rows = rows.select("block", "frame", "kind", "sign", "own", *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in _SUMS])
+
+    # a row for each block: its own sums are those of its last row. Asks for all columns, so that both readers share the rows
+    ending = F.max_by(F.struct(*_SUMS), F.struct("frame", "kind", "sign", "own", *_SUMS))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(ending.alias("all")).select("block", F.col("all.sum").cast(EXACT).alias("sum"), *[F.col(f"all.{n}").alias(n) for n in _SUMS[1:]])
+    blocks = blocks.select("block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{n}") for n in _SUMS])
 
+    found = rows.where("kind = 1").join(blocks, "block")
     total = {n: F.sum(F.col("sign") * F.col(n)) + F.sum(F.col("sign") * F.col(f"before_{n}")).cast("double" if n == "sum" else "long") for n in _SUMS}
-    found = rows.groupBy("low", "high").agg(*[c.alias(n) for n, c in total.items()])
+    # equal intervals meet in one group: their mean is the same, and each of them gets a row
+    found = found.groupBy("own").agg(*[c.alias(n) for n, c in total.items()], F.count(F.when(F.col("sign") > 0, 1)).cast("int").alias("equal"))
     nan, up, down = (F.col(n) > 0 for n in _SUMS[2:])
     mean = F.when(nan | (up & down), F.lit(float("nan"))).when(up, F.lit(float("inf"))).when(down, F.lit(float("-inf")))
     mean = mean.otherwise(F.col("sum") / F.nullif(F.col("n"), F.lit(0)))
-    means = found.select(F.col("low").alias("__low"), F.col("high").alias("__high"), mean.alias("__mean"))
-    kept = [F.col(f"`{c}`") for c in intervals.columns if c != result]
-    return intervals.join(means, (first == F.col("__low")) & (last == F.col("__high")), "left").select(*kept, F.col("__mean").alias(result))
+    each = found.select("own", mean.alias("__mean"), F.explode(F.array_repeat(F.lit(0), F.col("equal"))))
+    return each.select(*[F.col(f"own.`{c}`") for c in intervals.columns if c != result], F.col("__mean").alias(result))
