@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from stridewise.functions.gaps import fill_gaps
 from stridewise.model import MeasurementArea, MeasurementLine
+from stridewise.shipping import ship
 
 
 def _number(value: float) -> str:
@@ -49,9 +51,11 @@ class GridCells:
 
 
 def register_functions(spark: SparkSession, areas: dict[str, MeasurementArea] | None = None, lines: dict[str, MeasurementLine] | None = None) -> None:
-    """Register in_<name>(x, y) for areas, distance_to_<name>(x, y) for lines, and the table function grid_cells."""
+    """Register in_<name>(x, y) for areas, distance_to_<name>(x, y) for lines, and the table functions grid_cells and fill_gaps."""
     for name, area in (areas or {}).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION in_{name}(x DOUBLE, y DOUBLE) RETURNS BOOLEAN RETURN {inside_sql(area)}")
     for name, line in (lines or {}).items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION distance_to_{name}(x DOUBLE, y DOUBLE) RETURNS DOUBLE RETURN {distance_sql(line)}")
+    ship(spark)
     spark.udtf.register("grid_cells", GridCells)
+    spark.udtf.register("fill_gaps", fill_gaps)

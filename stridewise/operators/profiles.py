@@ -7,9 +7,11 @@ frame of the data; row 0 is at the top. ``to_grid`` makes a matrix of one.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +19,13 @@ from stridewise.enums import DensityMethod, RsetMethod, SpeedMethod
 from stridewise.errors import ArgumentTypeError, ArgumentValueError
 from stridewise.geometry import exprs
 from stridewise.model import AxisAlignedMeasurementArea, TrajectoryData, WalkableArea, check_trajectory
-from stridewise.shared import materialize
+from stridewise.shared import materialize, shared_dir
+from stridewise.shipping import partitions, ship
 
 #: Rounded constants of the Gaussian density: 2 sqrt(2 ln 2) and sqrt(2 pi). Fixed values.
 FWHM_PER_SIGMA, ROOT_TWO_PI = 2.35482, 2.50662
+#: Sums of bells under this are made of products that are too small to hold their digits; cells that are looked at together then.
+LEAST_WEIGHT, FEW_CELLS = 1e-280, 256
 #: Intersections under this do not count in the arithmetic speed profile.
 LEAST_AREA = 1e-16
 
@@ -109,6 +114,22 @@ def grid_cell_polygon_intersection_area(data: DataFrame, grid: Grid) -> DataFram
     return cut.groupBy("id", "frame", "row", "col").agg(F.sum("area").alias("area")).where("area > 0")
 
 
+def keep_intersections(data: DataFrame, grid: Grid, buckets: int | None = None) -> DataFrame:
+    """The intersections of ``data``, computed now and kept as a table in buckets by (id, frame), sorted by both.
+
+    Pass it as ``grid_intersections_area`` to any number of density and speed
+    profiles: they join it as it lies, so only their own rows are shuffled.
+    The table is in the shared folder under a name of its own, which
+    ``DataFrame.inputFiles`` and the session's catalog show.
+    """
+    spark = data.sparkSession
+    name = f"intersections_{uuid.uuid4().hex}"
+    cut = grid_cell_polygon_intersection_area(data, grid)
+    n = buckets or partitions(data)
+    cut.repartition(n, "id", "frame").write.bucketBy(n, "id", "frame").sortBy("id", "frame").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _voronoi_values(data: DataFrame, grid: Grid, density: bool, speed: SpeedMethod | None) -> DataFrame:
     """(frame, row, col, density, speed), as asked for, of every grid cell and frame of the cells in ``data``.
 
@@ -150,8 +171,67 @@ def _dense(data: DataFrame, grid: Grid, values: DataFrame, fill: float | None) -
     return joined.select("frame", "row", "col", filled.alias("value"))
 
 
-def _centers(grid: Grid) -> tuple[Column, Column]:
-    return F.lit(grid.min_x) + (F.col("col") + 0.5) * F.lit(grid.size), F.lit(grid.max_y) - (F.col("row") + 0.5) * F.lit(grid.size)
+def _bell_values(data: DataFrame, grid: Grid, sigma: float, scale: float) -> DataFrame:
+    """(frame, row, col, value): sums of bell curves around (x, y), or means of ``speed`` weighted by them, at the cells' centres.
+
+    A bell over x and y is a product of one over x and one over y: of a frame's
+    pedestrians, a matrix by columns and one by rows are multiplied, so no row
+    for each pedestrian and cell is ever made. A task holds one grid, whatever
+    the size of a frame.
+    """
+    ship(data.sparkSession)
+    cx = grid.min_x + (np.arange(grid.cols) + 0.5) * grid.size
+    cy = grid.max_y - (np.arange(grid.rows) + 0.5) * grid.size
+    weighted = "speed" in data.columns
+
+    def bells(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        d = v[:, None] - centres[None, :]
+        # without a place no bell
+        return np.nan_to_num(scale * np.exp(-(d * d) / (2 * sigma * sigma)), nan=0.0)
+
+    def finished(frame: int, weights: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        value = weights
+        if weighted:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = np.where(weights > 0, sums / weights, np.nan)
+        row, col = np.divmod(np.arange(weights.size), grid.cols)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(weights.size, frame)), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(value.ravel())], names=["frame", "row", "col", "value"])
+
+    def run(batches):
+        now, weights, sums = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            frames = batch.column(0).to_numpy()
+            x, y, *speed = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(frames)) + 1, [len(frames)]])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if frames[a] != now:
+                    if now is not None:
+                        yield finished(now, weights, sums)
+                    now, weights, sums = int(frames[a]), np.zeros((grid.rows, grid.cols)), np.zeros((grid.rows, grid.cols))
+                across, down = bells(x[a:b], cx), bells(y[a:b], cy)
+                own = down.T @ across
+                if not weighted:
+                    weights += own
+                    continue
+                total = down.T @ (across * speed[0][a:b, None])
+                # where products lose digits, or all of them, a mean needs each bell by itself
+                row, col = np.nonzero(own < LEAST_WEIGHT)
+                for lo in range(0, len(row), FEW_CELLS):
+                    r, c = row[lo : lo + FEW_CELLS], col[lo : lo + FEW_CELLS]
+                    square = (x[a:b, None] - cx[c]) ** 2 + (y[a:b, None] - cy[r]) ** 2
+                    bell = np.nan_to_num(np.exp(-square / (2 * sigma * sigma)), nan=0.0)
+                    own[r, c], total[r, c] = bell.sum(axis=0), (bell * speed[0][a:b, None]).sum(axis=0)
+                weights, sums = weights + own, sums + total
+        if now is not None:
+            yield finished(now, weights, sums)
+
+    rows = data.where("frame is not null")
+    if weighted:
+        rows = rows.withColumn("speed", F.coalesce("speed", F.lit(0.0)))
+    rows = rows.repartition(partitions(rows), "frame").sortWithinPartitions("frame")
+    return rows.mapInArrow(run, "frame long, row int, col int, value double")
 
 
 def density_profile(
@@ -179,10 +259,7 @@ def density_profile(
         if gaussian_width is None:
             raise ArgumentValueError("a Gaussian density profile needs gaussian_width")
         sigma = gaussian_width / FWHM_PER_SIGMA
-        cx, cy = _centers(grid)
-        bell = lambda d: F.lit(1 / (ROOT_TWO_PI * sigma)) * F.exp(-(d * d) / F.lit(2 * sigma * sigma))
-        each = grid.cells(data.select("frame", "x", "y"))
-        return each.groupBy("frame", "row", "col").agg(F.sum(bell(F.col("x") - cx) * bell(F.col("y") - cy)).alias("value"))
+        return _bell_values(data.select("frame", "x", "y"), grid, sigma, 1 / (ROOT_TWO_PI * sigma))
     raise ArgumentValueError("density method not accepted")
 
 
@@ -214,12 +291,7 @@ def speed_profile(
         return _dense(data, grid, means, fill_value)
     if speed_method is SpeedMethod.GAUSSIAN:
         sigma = gaussian_width / (2 * math.sqrt(2 * math.log(2)))
-        cx, cy = _centers(grid)
-        dx, dy = F.col("x") - cx, F.col("y") - cy
-        weight = F.exp(-(dx * dx + dy * dy) / F.lit(2 * sigma * sigma))
-        each = grid.cells(data.select("frame", "x", "y", "speed")).withColumn("w", weight)
-        value = F.when(F.sum("w") > 0, F.sum(F.col("w") * F.col("speed")) / F.nullif(F.sum("w"), F.lit(0.0))).otherwise(F.lit(float("nan")))
-        return each.groupBy("frame", "row", "col").agg(value.alias("value"))
+        return _bell_values(data.select("frame", "x", "y", "speed"), grid, sigma, 1.0)
     raise ArgumentValueError("speed method not accepted")
 
 

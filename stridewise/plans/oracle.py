@@ -158,7 +158,19 @@ SELECT {R('(n - n0) / (passed - ws) * 10.0')} AS flow, {R('(SELECT avg(speed) FR
     "line_density": _line("density * share", "p_sp+1", "p_sp-1", "density", False),
     "line_flow": _line("v_x * density * share", "j_sp+1", "j_sp-1", "flow", True),
     "pair_histogram": SQL + " SELECT CAST(ceil(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 0.5) AS BIGINT) AS bin, count(*) AS n FROM t a JOIN t b ON a.frame = b.frame AND a.id < b.id GROUP BY 1",
-    "grid_cells": " SELECT r.r::INTEGER AS row, c.c::INTEGER AS col FROM range(5) r(r), range(8) c(c)",
+    "grid_cells": SQL + f" SELECT r.r::INTEGER AS row, c.c::INTEGER AS col, (SELECT count(*) FROM t WHERE x >= -4 - {S} + c.c AND x < -4 - {S} + c.c + 1 AND y >= {S} + 4 - r.r AND y < {S} + 5 - r.r) AS positions FROM range(5) r(r), range(8) c(c)",
+    "gap_filling": SQL + f""", h AS (SELECT *, frame - min(frame) OVER (PARTITION BY id) AS since FROM t), k AS (SELECT id, frame, x, y FROM h WHERE NOT (id % 3 = 0 AND (since BETWEEN 5 AND 6 OR since BETWEEN 12 AND 17))),
+n AS (SELECT *, lead(frame) OVER w AS f1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM k WINDOW w AS (PARTITION BY id ORDER BY frame)),
+i AS (SELECT *, unnest(generate_series(1, f1 - frame - 1)) AS j FROM n WHERE f1 - frame BETWEEN 2 AND 5)
+SELECT id, frame, {R('x')} AS x, {R('y')} AS y, false AS filled FROM k UNION ALL SELECT id, frame + j, {R('x + (x1 - x) * j / (f1 - frame)')}, {R('y + (y1 - y) * j / (f1 - frame)')}, true FROM i""",
+    "crowd_hull": SQL + f""", u AS (SELECT DISTINCT frame, x, y FROM t), n AS (SELECT frame, count(*) AS n FROM u GROUP BY frame),
+edge AS (SELECT a.frame, a.x AS ux, a.y AS uy, b.x AS vx, b.y AS vy FROM u a JOIN u b ON a.frame = b.frame AND (a.x <> b.x OR a.y <> b.y)),
+sides AS (SELECT edge.*, (vx - ux) * (c.y - uy) - (vy - uy) * (c.x - ux) AS side, (c.x - ux) * (c.x - vx) + (c.y - uy) * (c.y - vy) AS between_ FROM edge JOIN u c ON c.frame = edge.frame AND NOT (c.x = ux AND c.y = uy) AND NOT (c.x = vx AND c.y = vy)),
+around AS (SELECT frame, ux, uy, vx, vy FROM sides GROUP BY ALL HAVING bool_and(side > 1e-13 OR (abs(side) <= 1e-13 AND between_ <= 0))),
+ring AS (SELECT frame, CAST(count(*) AS INTEGER) AS corners, sum(ux * vy - vx * uy) / 2 AS area, sum(sqrt((vx - ux) * (vx - ux) + (vy - uy) * (vy - uy))) AS perimeter FROM around GROUP BY frame),
+two AS (SELECT frame, CAST(count(*) AS INTEGER) AS corners, 0.0 AS area, 2 * sqrt(power(max(x) - min(x), 2) + power(max(y) - min(y), 2)) AS perimeter FROM u JOIN n USING (frame) WHERE n < 3 GROUP BY frame)
+SELECT frame, corners, {R('area')} AS area, {R('perimeter')} AS perimeter FROM (SELECT * FROM ring UNION ALL SELECT * FROM two)""",
+    "profiles_of_kept_intersections": SQL + _OVER + ", k AS (SELECT frame, row, col, sum(part / area) AS d, avg(CASE WHEN part > 1e-16 THEN speed END) AS s FROM ov GROUP BY ALL)" + f" SELECT 'density' AS profile, g.frame, g.row, g.col, coalesce({R('d')}, 0.0) AS value FROM g LEFT JOIN k USING (frame, row, col) UNION ALL SELECT 'speed', g.frame, g.row, g.col, coalesce({R('s')}, 0.0) FROM g LEFT JOIN k USING (frame, row, col)",
     "density_profile_classic": SQL + GRID + _grid("count(*) / 1.0", "b", "0.0"),
     "density_profile_gaussian": SQL + GRID + f" SELECT frame, row, col, {R('sum(' + _BELL(f'x - (-4 - {S} + col + 0.5)') + ' * ' + _BELL(f'y - (5 + {S} - row - 0.5)') + ')')} AS value FROM g JOIN t USING (frame) GROUP BY frame, row, col",
     "density_profile_voronoi": SQL + _OVER + _grid("sum(part / area)", "ov", "0.0"),

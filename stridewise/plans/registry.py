@@ -12,7 +12,7 @@ from stridewise.enums import DensityMethod, RsetMethod, SpeedCalculation, SpeedM
 from stridewise.functions import register_functions
 from stridewise.geometry import exprs
 from stridewise.model import Cutoff, WalkableArea
-from stridewise.operators import acceleration, density, flow, line, movement, plotdata, profiles, quantiles, spatial, speed, validity, voronoi
+from stridewise.operators import acceleration, density, flow, hull, line, movement, plotdata, profiles, quantiles, spatial, speed, validity, voronoi
 from stridewise.plans import fixtures, oracle
 from stridewise.plans import view as v
 from stridewise.preprocessing import outliers, projection
@@ -288,7 +288,12 @@ def _grid():
 
 @_query
 def grid_cells(spark, sf_dir):
-    return profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0).cells(spark.range(1)).select("row", "col")
+    """The grid over the area, with the number of positions in each cell."""
+    grid = profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0)
+    row, col, inside = grid.bin()
+    counts = v.trajectory(spark, sf_dir).data.where(inside).groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("positions"))
+    cells = grid.cells(spark.range(1)).select("row", "col").join(counts, ["row", "col"], "left")
+    return cells.select("row", "col", F.coalesce("positions", F.lit(0)).alias("positions"))
 
 
 @_query
@@ -465,6 +470,31 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT id, frame, in_measured(x, y) AS inside, distance_to_door(x, y) AS distance FROM stridewise_positions")
 
 
+@_query
+def gap_filling(spark, sf_dir):
+    """Tracks with planted gaps of two and of six frames; those of up to four are filled."""
+    register_functions(spark)
+    v.with_gaps(spark, sf_dir).data.createOrReplaceTempView("stridewise_gaps")
+    return spark.sql("SELECT id, frame, x, y, filled FROM fill_gaps(TABLE(stridewise_gaps) PARTITION BY (id) ORDER BY (frame), 4)")
+
+
+@_query
+def crowd_hull(spark, sf_dir):
+    """The convex hull of each frame's pedestrians."""
+    return hull.convex_hulls(v.trajectory(spark, sf_dir).data).drop("hull")
+
+
+@_query
+def profiles_of_kept_intersections(spark, sf_dir):
+    """Density and speed profiles that join one bucketed table of intersections."""
+    data = _with_cells(spark, sf_dir)
+    kept = profiles.keep_intersections(data, profiles.grid_cells(v.WALKABLE, v.GRID_AREA, 1.0))
+    density_ = profiles.density_profile(data, DensityMethod.VORONOI, grid_intersections_area=kept, **_grid())
+    speed_ = profiles.speed_profile(data, SpeedMethod.ARITHMETIC, grid_intersections_area=kept, **_grid())
+    named = lambda df, name: df.select(F.lit(name).alias("profile"), "frame", "row", "col", "value")
+    return named(density_, "density").unionByName(named(speed_, "speed"))
+
+
 @_query
 def source_text(spark, sf_dir):
     """Positions written by the text writer and read back."""

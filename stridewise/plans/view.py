@@ -34,6 +34,14 @@ def jumping(spark: SparkSession, sf_dir: str) -> TrajectoryData:
     return TrajectoryData(found.data.withColumn("x", F.col("x") + off), FRAME_RATE)
 
 
+def with_gaps(spark: SparkSession, sf_dir: str) -> TrajectoryData:
+    """The trajectory without some rows of every third pedestrian: two frames and, later on, six."""
+    found = trajectory(spark, sf_dir)
+    since = F.col("frame") - F.min("frame").over(Window.partitionBy("id"))
+    gone = (F.col("id") % 3 == 0) & (since.between(5, 6) | since.between(12, 17))
+    return TrajectoryData(found.data.withColumn("gone", gone).where("not gone").drop("gone"), FRAME_RATE)
+
+
 def trajectory(spark: SparkSession, sf_dir: str) -> TrajectoryData:
     """A user is a pedestrian; even ones walk to the right, odd ones to the left, twenty at a time."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
