@@ -206,7 +206,7 @@ SELECT {R('bin * 0.5')} AS r, {R('(coalesce(ob.n, 0) / (SELECT count(*) FROM op)
     "time_distance_speed": SQL + TIMES + EXCLUDE.replace(", d AS", ", dd AS").replace("FROM d WHERE", "FROM dd WHERE") + f" SELECT id, frame, {R('time')} AS time, {R('distance')} AS distance, {R('speed')} AS speed FROM td JOIN v USING (id, frame)",
     "time_distance_starts": SQL + TIMES + f" SELECT id, min(frame) AS frame, {R('arg_min(time, frame)')} AS time, {R('arg_min(distance, frame)')} AS distance FROM td GROUP BY id",
     "sql_functions": SQL + f" SELECT id, frame, {INSIDE} AS inside, {R(_DISTANCE)} AS distance FROM t",
-    "source_areas": "SELECT 'floor' AS source, 17.0::DOUBLE AS area UNION ALL SELECT 'scenario', 24.0::DOUBLE",
+    "source_areas": SQL + ", b AS (SELECT ceil(max(x)) - floor(min(x)) AS w, ceil(max(y)) - floor(min(y)) AS h FROM t) SELECT 'floor' AS source, (w + 1) * (h + 3) - 2 * w AS area FROM b UNION ALL SELECT 'scenario', (w - 1) * (h - 1) - 1 FROM b",
     "trajectory_validity": SQL + " SELECT 'box' AS area, bool_and(x > -15 AND x < 20 AND y > 0 AND y < 5) AS valid FROM t UNION ALL SELECT 'above the wall', bool_and(x > -20 AND x < 25 AND y > 0.5 AND y < 9) FROM t",
     "source_text": _VIEW,
     "source_viswalk": _VIEW,

@@ -505,9 +505,10 @@ def source_text(spark, sf_dir):
 
 @_query
 def source_areas(spark, sf_dir):
-    """Areas of a floor (the box around its walls, half a metre wider, less the walls) and of a scenario."""
-    floor = files.load_walkable_area_from_crowdit(fixtures.document(spark, "floor", fixtures.FLOOR), buffer=0.5, spark=spark)
-    scenario = files.load_walkable_area_from_vadere(fixtures.document(spark, "scenario", fixtures.SCENARIO), spark=spark)
+    """Areas of a floor (the box around its walls, half a metre wider, less the walls) and of a scenario, both made around the positions."""
+    trajectory = v.trajectory(spark, sf_dir)
+    floor = files.load_walkable_area_from_crowdit(fixtures.floor(trajectory), buffer=0.5, spark=spark)
+    scenario = files.load_walkable_area_from_vadere(fixtures.scenario(trajectory), spark=spark)
     return spark.createDataFrame([("floor", floor.area), ("scenario", scenario.area)], "source string, area double")
 
 

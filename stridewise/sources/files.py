@@ -24,9 +24,10 @@ from stridewise.errors import ArgumentValueError, LoadError, UnavailableError
 from stridewise.geometry import shapes
 from stridewise.geometry.shapes import Polygon
 from stridewise.model import TrajectoryData, WalkableArea
+from stridewise.sources.nested import members
 
 _log = logging.getLogger(__name__)
-#: Lines that a header is looked for in.
+#: Lines that a header is looked for in first.
 HEADER_LINES = 200
 _MARK = "\ufeff"
 
@@ -58,8 +59,13 @@ def check_file(path: str | os.PathLike) -> Path:
 
 
 def _head(spark: SparkSession, path: str) -> list[str]:
-    """The first lines, without a byte order mark."""
-    return [r.value.removeprefix(_MARK) for r in spark.read.text(path).take(HEADER_LINES)]
+    """The first lines, without a byte order mark; as many as it takes to see one that is no comment."""
+    many = HEADER_LINES
+    while True:
+        lines = [r.value.removeprefix(_MARK) for r in spark.read.text(path).take(many)]
+        if len(lines) < many or any(line.strip() and line.strip()[0] not in "#*" for line in lines[1:]):
+            return lines
+        many *= 4
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -156,10 +162,11 @@ def write_trajectory_txt(traj_data: TrajectoryData, path: str) -> None:
     """Tab-separated text with a frame rate header, one file per partition."""
     header = f"#framerate: {traj_data.frame_rate}\n#ID\tFR\tX/m\tY/m"
     rows = traj_data.data.select(F.concat_ws("\t", "id", "frame", "x", "y").alias("value"))
-    rows.mapInArrow(_with_header(header), "value string").write.text(path)
+    rows.mapInArrow(with_header(header), "value string").write.text(path)
 
 
-def _with_header(header: str):
+def with_header(header: str):
+    """mapInArrow of lines: each task's come behind the header."""
     import pyarrow as pa
 
     def run(batches):
@@ -357,11 +364,10 @@ def load_trajectory_from_pathfinder_csv(trajectory_file, spark: SparkSession | N
 
 
 def load_trajectory_from_pathfinder_json(trajectory_file, spark: SparkSession | None = None) -> TrajectoryData:
-    """{agent: {time: {position: {x, y}}}}; branches of another shape are left out. A file is one document, which one task reads."""
+    """{agent: {time: {position: {x, y}}}}; branches of another shape are left out. Many tasks read one document."""
     spark = _session(spark)
     path = locate(trajectory_file, spark)
-    text = spark.read.text(path, wholetext=True)
-    agents = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("agent", "times"))
+    agents = members(spark, path).select(F.explode(F.from_json("value", "map<string,string>")).alias("agent", "times"))
     times = agents.select("agent", F.explode(F.from_json("times", "map<string,string>")).alias("time", "state"))
     point = F.from_json("state", "position struct<x:double,y:double>")
     rows = times.select(F.expr("try_cast(agent AS bigint)").alias("id"), F.expr("try_cast(time AS double)").alias("time"), point["position"]["x"].alias("x"), point["position"]["y"].alias("y"))

@@ -133,3 +133,35 @@ def test_vadere_scenario(spark, tmp_path):
     path.write_text(json.dumps(data))
     with pytest.raises(LoadError, match="4"):
         files.load_walkable_area_from_vadere(path)
+
+
+def test_header_behind_many_comments(spark, tmp_path):
+    path = tmp_path / "t.txt"
+    path.write_text("".join(f"# remark {i}\n" for i in range(1500)) + "# framerate: 8\n# ID FR x/m y/m\n1 0 1 2\n")
+    assert files.load_trajectory(path, spark=spark).frame_rate == 8.0
+
+
+@pytest.mark.parametrize("split", [61, 200, 1 << 20])
+def test_one_json_document_in_many_tasks(spark, tmp_path, split):
+    from stridewise.sources import nested
+
+    odd = {'a"b}{': {"0": {"note": '}}{{ \\ " }'}}, "x\\\\": {"1": {}}}
+    whole = {str(i): {str(k / 10): {"position": {"x": i + k / 10, "y": -k}, "note": '{"}' * (k % 3)} for k in range(1 + i % 5)} for i in range(40)} | odd | {"99": {}}
+    for indent in (None, 2):
+        path = tmp_path / f"d{split}{indent}.json"
+        path.write_text("\ufeff" * (indent is None) + json.dumps(whole, indent=indent, ensure_ascii=False) + "\n", encoding="utf-8")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        found = nested.members(spark, str(path))
+        values = [r.value for r in found.collect()]
+        tasks = spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        got = {}
+        for value in values:
+            one = json.loads(value)
+            assert len(one) == 1 and not set(one) & set(got)
+            got |= one
+        assert got == whole and (split > 1000 or tasks > 3)
+    track = files.load_trajectory_from_pathfinder_json(path, spark=spark)
+    assert track.data.count() == sum(len(v) for k, v in whole.items() if k.isdigit())
