@@ -187,6 +187,14 @@ SELECT frame, corners, {R('area')} AS area, {R('perimeter')} AS perimeter FROM (
   SELECT 'species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp)) UNION ALL SELECT 'half the species', (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp WHERE id % 2 = 0))
   UNION ALL SELECT 'speeds', (SELECT count(*) FROM onl LEFT JOIN v USING (id, frame) WHERE v_x IS NULL) UNION ALL SELECT 'half the speeds', (SELECT count(*) FROM onl LEFT JOIN (FROM v WHERE id % 2 = 0) h USING (id, frame) WHERE h.v_x IS NULL))
 SELECT what, CASE WHEN what LIKE '%species' THEN CASE WHEN missing = 0 THEN 'true' ELSE 'false' END WHEN missing = 0 THEN 'DATA_CORRECT' ELSE 'ENTRY_MISSING' END AS verdict FROM w UNION ALL SELECT 'speeds without components', 'COLUMN_MISSING'""",
+    "guards": SQL + LINE + """, gap AS (SELECT sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) / ((frame - lag(frame) OVER w) / 10.0) AS m FROM t WINDOW w AS (PARTITION BY id ORDER BY frame)), top AS (SELECT max(m) AS m FROM gap),
+borders AS (SELECT count(*) AS n FROM (SELECT lag(id, 5) OVER w AS b, lead(id, 5) OVER w AS a FROM t WINDOW w AS (PARTITION BY id ORDER BY frame)) WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT 'speeds without borders' AS what, CASE WHEN (SELECT n FROM borders) < (SELECT count(*) FROM t) THEN 'SpeedError' ELSE 'fine' END AS verdict
+UNION ALL SELECT 'speeds of all rows', 'fine'
+UNION ALL SELECT 'all species', CASE WHEN (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp)) > 0 THEN 'InputError' ELSE 'fine' END
+UNION ALL SELECT 'half the species', CASE WHEN (SELECT count(*) FROM onl WHERE id NOT IN (SELECT id FROM sp WHERE id % 2 = 0)) > 0 THEN 'InputError' ELSE 'fine' END
+UNION ALL SELECT 'steps at 10 a second', CASE WHEN m / 10 > 0.1 THEN 'long' ELSE 'fine' END FROM top
+UNION ALL SELECT 'steps at 1000 a second', CASE WHEN m / 1000 > 0.1 THEN 'long' ELSE 'fine' END FROM top""",
     "pair_distribution_function": SQL + f""", r AS (SELECT id, frame, x, y, row_number() OVER (ORDER BY md5(concat_ws(':', 0, id, frame, 1))) AS place FROM t),
 l AS (SELECT frame, row_number() OVER (ORDER BY md5(concat_ws(':', 1, id, frame, 1))) AS place FROM t),
 s AS (SELECT place, id, l.frame, x, y FROM r JOIN l USING (place)), u AS (SELECT row_number() OVER () AS place, id, frame, x, y FROM t),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stridewise import streaming
 from stridewise.enums import DensityMethod, RsetMethod, SpeedCalculation, SpeedMethod
+from stridewise.errors import StridewiseError
 from stridewise.functions import register_functions
 from stridewise.geometry import exprs
 from stridewise.model import Cutoff, WalkableArea
@@ -411,6 +412,31 @@ def line_validation(spark, sf_dir):
     return spark.createDataFrame(found, "what string, verdict string")
 
 
+def _verdict(action: Callable[[], object]) -> str:
+    try:
+        action()
+    except StridewiseError as error:
+        return type(error).__name__
+    return "fine"
+
+
+@_query
+def guards(spark, sf_dir):
+    """What raising checks say of the view: speeds that are too few or enough, species that are missing, steps that are long for a rate."""
+    trajectory = v.trajectory(spark, sf_dir)
+    cells, kinds = _cells_and_species(spark, sf_dir)
+    events = trajectory.data.withColumn("time", F.col("frame") / F.lit(v.FRAME_RATE))
+    mean_of = lambda **options: _verdict(lambda: speed.mean_speed_per_frame(trajectory, _speeds(spark, sf_dir, **options), v.AREA, validate=True))
+    found = [
+        ("speeds without borders", mean_of()),
+        ("speeds of all rows", mean_of(speed_calculation=SpeedCalculation.BORDER_SINGLE_SIDED)),
+        ("all species", _verdict(lambda: density.line_density(cells, v.LINE, kinds, validate=True))),
+        ("half the species", _verdict(lambda: density.line_density(cells, v.LINE, kinds.where("id % 2 = 0"), validate=True))),
+        *((f"steps at {rate:g} a second", "long" if files.fastest_step(events, rate) > 0.1 else "fine") for rate in (v.FRAME_RATE, 100 * v.FRAME_RATE)),
+    ]
+    return spark.createDataFrame(found, "what string, verdict string")
+
+
 @_query
 def outlier_repair_planted(spark, sf_dir):
     """Single jumps planted in some trajectories are replaced, ids become 1 to n."""
