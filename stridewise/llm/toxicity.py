@@ -5,8 +5,9 @@ characters that they share; each skipped character costs a factor GAP. Words
 with inserted or missing characters thus stay close to the insult they hide.
 
 Training sees labelled texts as bags of words: a clean text has none that
-insults, a toxic one has at least one. The words most typical of toxic texts
-start as the positive ones; then SVM and choice of words alternate.
+insults, a toxic one has at least one. The words that are more typical of toxic
+texts than chance makes any word start as the positive ones; then SVM and
+choice of words alternate. A text without such a word is taken for a wrong label.
 
 A decision value over Nyström landmarks, sum_j alpha_j k(x, l_j) + b, is
 linear in x's subsequence features. The landmarks are therefore folded into
@@ -44,6 +45,8 @@ LONGEST = 24
 THRESHOLD = 0.7
 #: Words that a worker remembers the margins of.
 REMEMBERED = 150_000
+#: Times that the words of clean texts are tried against each other, for what chance reaches.
+CHANCE = 5
 #: Margin of a text without words.
 NOTHING = -3.0
 
@@ -251,58 +254,86 @@ def _fold(words: list[str], labels: np.ndarray, weight: np.ndarray) -> Model:
     return Model(weights, bias)
 
 
-def _typical(bags: list[list[str]], toxic: np.ndarray) -> dict[str, float]:
-    """How typical each word is of toxic bags: the best signed log-likelihood ratio of its character 4- and 5-grams."""
-    grams_of: dict[str, set[str]] = {}
+def _grams(bags: list[list[str]]) -> dict[str, set[str]]:
+    """The character 4- and 5-grams of each word."""
+    return {w: {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)} for bag in bags for w in bag}
+
+
+def _ratios(grams: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
+    """Log-likelihood ratio of each gram that toxic texts have much more often than clean ones, given each text's grams."""
     counts = (Counter(), Counter())
-    for bag, label in zip(bags, toxic, strict=True):
-        seen: set[str] = set()
-        for word in bag:
-            if word not in grams_of:
-                grams_of[word] = {word[i : i + n] for n in (4, 5) for i in range(len(word) - n + 1)}
-            seen |= grams_of[word]
+    for seen, label in zip(grams, toxic, strict=True):
         counts[int(label)].update(seen)
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    known: dict[tuple[int, int], float] = {}
 
-    def ratio(gram: str) -> float:
-        a, b = counts[1][gram], counts[0][gram]
+    def ratio(a: int, b: int) -> float:
         p, q, r = a / n_toxic, b / n_clean, (a + b) / (n_toxic + n_clean)
         if p <= 12 * q or a < 2:
             return 0.0
         part = lambda k, n, x: (k * math.log(x) if k else 0) + ((n - k) * math.log(1 - x) if k < n else 0)
         return 2 * (part(a, n_toxic, p) + part(b, n_clean, q) - part(a, n_toxic, r) - part(b, n_clean, r))
 
-    known = {g: ratio(g) for g in counts[1]}
-    return {w: max((known.get(g, 0.0) for g in gs), default=0.0) for w, gs in grams_of.items()}
+    out = {}
+    for gram, a in counts[1].items():
+        pair = (a, counts[0][gram])
+        if pair not in known:
+            known[pair] = ratio(*pair)
+        out[gram] = known[pair]
+    return out
+
+
+def _typical(bags: list[list[str]], toxic: np.ndarray, rng: np.random.Generator) -> tuple[dict[str, float], float]:
+    """How typical each word is of toxic bags, and the value that chance alone reaches.
+
+    A word's value is the best ratio of its grams. Chance is what the best gram
+    of clean bags reaches against the other clean ones when CHANCE times some of
+    them, as large a part as the toxic ones are of all, are called toxic: so it
+    knows how many grams are tried, and that texts of one language share theirs.
+    """
+    grams_of = _grams(bags)
+    grams = [set().union(*(grams_of[w] for w in bag)) for bag in bags]
+    known = _ratios(grams, toxic)
+    value = {w: max((known.get(g, 0.0) for g in gs), default=0.0) for w, gs in grams_of.items()}
+    clean = [g for g, t in zip(grams, toxic, strict=True) if not t]
+    called = round(len(clean) * float(toxic.mean()))
+    best = []
+    for _ in range(CHANCE if called else 0):
+        drawn = np.zeros(len(clean), bool)
+        drawn[rng.choice(len(clean), called, replace=False)] = True
+        best.append(max(_ratios(clean, drawn).values(), default=0.0))
+    return value, float(np.median(best)) if best else 0.0
 
 
 def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7) -> Model:
-    """A model from the words of labelled texts. Without both labels every text scores as clean."""
+    """A model from the words of labelled texts. Without both labels every text scores as clean.
+
+    A toxic text brings in the words that are beyond chance, in the second round
+    those of positive margin; one that has none brings in nothing.
+    """
     toxic = np.asarray(toxic, bool)
     if not toxic.any() or toxic.all():
         return Model(np.zeros(_FEATURES + 1, np.float32), NOTHING)
     rng = np.random.default_rng(seed)
     bags = [list(dict.fromkeys(c for word in bag for c in candidates(word))) for bag in bags]
-    value = _typical(bags, toxic)
+    value, least = _typical(bags, toxic, rng)
     clean_words = sorted({w for bag, t in zip(bags, toxic, strict=True) if not t for w in bag})
-    clean = set(clean_words)
-    toxic_words = sorted({w for bag, t in zip(bags, toxic, strict=True) if t for w in bag})
+    vocabulary = sorted({w for bag in bags for w in bag})
+    # wrong labels put insults into clean texts, too: words of clean texts that are typical of toxic ones do not count as clean
+    clean = {w for w in clean_words if value[w] <= least}
     model = Model(np.zeros(_FEATURES + 1, np.float32), NOTHING)
-    least = 0.0
     for _ in range(rounds):
-        # of each toxic text, the word that speaks for it and those beyond all clean ones, counted over the texts
+        # of each toxic text, the words that speak for it, counted over the texts
         witness = Counter()
-        limit = max([least, *(value[w] for w in clean_words)])
-        common = {w for w, n in Counter(w for bag, t in zip(bags, toxic, strict=True) if t for w in bag).items() if n >= 12 and w not in clean}
         for bag, t in zip(bags, toxic, strict=True):
-            if t and (own := [w for w in bag if w not in clean and value[w] > least]):
-                best = max(own, key=lambda w: (value[w], w))
-                witness.update({best, *(w for w in own if value[w] > limit or w in common)})
+            if t:
+                witness.update(w for w in bag if w not in clean and value[w] > least)
         if not witness:
             break
-        hard = sorted(clean_words, key=lambda w: (-value[w], w))[:1500]
-        plain = [clean_words[i] for i in rng.choice(len(clean_words), min(4000, len(clean_words)), replace=False)] if clean_words else []
-        negative = list(dict.fromkeys([*hard, *plain]))
+        plain = sorted(clean)
+        hard = sorted(plain, key=lambda w: (-value[w], w))[:1500]
+        drawn = [plain[i] for i in rng.choice(len(plain), min(4000, len(plain)), replace=False)] if plain else []
+        negative = list(dict.fromkeys([*hard, *drawn]))
         positive = sorted(witness)
         share = {w: float(n) for w, n in witness.items()}
         total = sum(share.values())
@@ -311,8 +342,8 @@ def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7
         labels = np.array([1] * (len(positive) + len(garbled)) + [-1] * len(negative))
         weight = np.array([share[w] / total for w in positive] + [n / (3 * total) for _, n in garbled] + [2 / max(1, len(negative))] * len(negative))
         model = _fold(words, labels, weight)
-        value = dict(zip(toxic_words, model.margins(toxic_words).tolist(), strict=True)) | dict(zip(clean_words, model.margins(clean_words).tolist(), strict=True))
-        least = -0.5
+        value = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
+        least = 0.0
     best = np.array([max((value[w] for w in bag), default=NOTHING) for bag in bags])
     model.middle, model.slope = _scale(best, toxic)
     return model

@@ -286,6 +286,22 @@ class TestToxicity:
         assert min(model.margins(["dunnce", "blockhhead"])) > max(model.margins(vocabulary)) - 0.3
         assert all(toxicity.candidates(w) == ["dunce"] for w in ("dunce", "Dunce!", '"DUNCE",')) and "dunce" in toxicity.candidates("d.u.n.c.e")
 
+    def test_wrong_labels(self):
+        """One label in twelve is wrong, either way: insults are learned, and no clean text is flagged for a word that it shares with wrongly labelled ones."""
+        rng = random.Random(5)
+        parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "ouv", "lich"]
+        word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 4)))
+        bags, truth = [], []
+        for i in range(900):
+            truth.append(i % 6 == 0)
+            bags.append([word() for _ in range(60)] + ([rng.choice(["dolt", "nitwit", "blockhead", "dunce"])] if truth[-1] else []))
+        labels = np.array([t != (i % 12 == 7 or i % 72 == 0) for i, t in enumerate(truth)])
+        model = toxicity.fit(bags[:600], labels[:600])
+        margins = toxicity._text_margins(pa.array([" ".join(b) for b in bags[600:]]), model)
+        flagged = model.scores(margins) >= toxicity.THRESHOLD
+        truth = np.array(truth[600:])
+        assert flagged[truth].mean() >= 0.98 and flagged[~truth].mean() <= 0.004
+
     def test_folded_weights_are_the_kernel(self):
         words = ["idiot", "theer", "anerera", "x1y2z", "ababab"]
         k, known, table = toxicity._kernel(words, words[:3])
