@@ -1,5 +1,7 @@
 """Operators over whole tables: divergence of sources, shards, whitening."""
 
+import base64
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -203,3 +205,43 @@ class TestWhitening:
         still = whitening.fit(same, 8)
         assert not len(still.values) and [(r.deviation, r.whitened) for r in whitening.whiten(same, still).collect()] == [(0, [])] * 3
         assert whitening.whiten(flat, None).count() == 0
+
+
+class TestArchives:
+    def test_query_with_many_revisits(self, spark, tmp_path):
+        """Over half of the pages have one payload; others are null, empty, repeated rows, or differ by their ends alone."""
+        rng = np.random.default_rng(8)
+        hot = "<html>é" + "x" * 300
+        pages = [(i, f"http://h/{i % 7}", hot) for i in rng.permutation(6000)[:2500].tolist()]
+        pages += [(10000 + i, None, f"<p>{i % 400}</p>") for i in range(1500)]
+        pages += [(20000 + i, "u", None if i % 2 else "") for i in range(300)] + [(30000 + i, "u", hot + " " * i) for i in range(1, 40)] + pages[:60]
+        spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8).write.parquet(str(tmp_path / "pages.parquet"))
+        newest: dict = {}
+        for page, _, html in pages:
+            newest[html or ""] = max(page, newest.get(html or "", page))
+        digest = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in newest}
+        expected = []
+        for page, _, html in pages:
+            own = html or ""
+            refers = None if newest[own] == page else newest[own]
+            expected.append((page, len(own.encode()), digest[own], "response" if refers is None else "revisit", refers))
+        columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        found = [tuple(r) for r in queries.op3_warc(spark, str(tmp_path)).select(*columns).collect()]
+        assert Counter(found) == Counter(expected)
+        assert sum(r[3] == "revisit" for r in expected) > 3500
+
+
+class TestLongTexts:
+    def test_hits_at_both_ends(self, spark, tmp_path):
+        """Benchmark items at the first and last words of texts of 60,000 words, and none in between."""
+        item = [f"w{i}x" for i in range(10)]
+        first, last = " ".join(f"a{w}" for w in item), " ".join(f"b{w}" for w in item)
+        filler = " ".join(f"f{i % 997} g{i % 991}" for i in range(30000))
+        texts = [f"{first} {filler} {last}", f"{filler} {last.upper()}", filler, f"{first}-{filler}", None, f"{' '.join(first.split()[1:])} {filler} {first}"]
+        frame(spark, [(t, "en", "s") for t in texts]).write.parquet(str(tmp_path / "documents.parquet"))
+        spark.createDataFrame([(1, first), (20, last), (3, None), (4, "absent " * 12)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+        found = {r.doc_id: r for r in queries.op10_decontamination(spark, str(tmp_path)).collect()}
+        sha = lambda *items: hashlib.sha256(",".join(items).encode()).hexdigest()
+        expected = {0: (60020, 20, 2, sha("1", "20")), 1: (60010, 10, 1, sha("20")), 2: (60000, 0, 0, sha()), 3: (60010, 10, 1, sha("1")), 4: (0, 0, 0, sha()), 5: (60019, 10, 1, sha("1"))}
+        assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for i, r in found.items()} == expected
+        assert all(r.contaminated == (r.n_hit > 0) for r in found.values())
