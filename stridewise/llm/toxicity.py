@@ -286,7 +286,7 @@ def _ratios(grams: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
 def _typical(bags: list[list[str]], toxic: np.ndarray, rng: np.random.Generator) -> tuple[dict[str, float], float]:
     """How typical each word is of toxic bags, and the value that chance alone reaches.
 
-    A word's value is the best ratio of its grams. Chance is what the best gram
+    A word's value is the best ratio of its grams. Chance is the most that a gram
     of clean bags reaches against the other clean ones when CHANCE times some of
     them, as large a part as the toxic ones are of all, are called toxic: so it
     knows how many grams are tried, and that texts of one language share theirs.
@@ -302,7 +302,7 @@ def _typical(bags: list[list[str]], toxic: np.ndarray, rng: np.random.Generator)
         drawn = np.zeros(len(clean), bool)
         drawn[rng.choice(len(clean), called, replace=False)] = True
         best.append(max(_ratios(clean, drawn).values(), default=0.0))
-    return value, float(np.median(best)) if best else 0.0
+    return value, max(best, default=0.0)
 
 
 def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7) -> Model:
@@ -323,11 +323,12 @@ def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7
     clean = {w for w in clean_words if value[w] <= least}
     model = Model(np.zeros(_FEATURES + 1, np.float32), NOTHING)
     for _ in range(rounds):
-        # of each toxic text, the words that speak for it, counted over the texts
+        # of each toxic text, the word that speaks for it most and those that do so half as much, counted over the texts
         witness = Counter()
         for bag, t in zip(bags, toxic, strict=True):
-            if t:
-                witness.update(w for w in bag if w not in clean and value[w] > least)
+            own = [w for w in bag if t and w not in clean and value[w] > least]
+            most = max((value[w] for w in own), default=0.0)
+            witness.update(w for w in own if 2 * value[w] >= most)
         if not witness:
             break
         plain = sorted(clean)
