@@ -2,8 +2,7 @@
 
 Documents are put in the order of their most telling ids and cut into shards of
 about SHARD_TOKENS ids: so documents on one matter lie in one shard, wherever
-they come from. Which ids are telling is learnt from a bounded sample; every
-document is indexed, and BM25 counts over all of them. Each shard has an
+they come from. Which ids are telling, and BM25, is counted over all of them. Each shard has an
 inverted index over its ids. A seed document opens a window; the
 best of its unused neighbours fill it greedily. The document that overflows is
 cut there, and its rest opens the next window. What is left in the end goes
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridewise.llm import wordbpe
-from stridewise.llm.common import materialize
+from stridewise.llm.common import materialize, trim
 from stridewise.shipping import partitions
 
 #: Ids of a sequence at most, and the id behind each document.
@@ -32,8 +31,8 @@ WINDOW, END_ID = 4096, 2
 SHARD_TOKENS = 1 << 20
 #: BM25's saturation of term counts and weight of document lengths.
 K1, B = 1.2, 0.75
-#: Ids of a document by which it is put in order; documents of the sample that tell which ones, and how many of them have such an id at least and at most.
-TELLING, SAMPLE_DOCS, TELLING_LEAST, TELLING_PART = 3, 4000, 3, 0.1
+#: Ids of a document by which it is put in order; documents that have such an id at least, and the part of all that have it at most.
+TELLING, TELLING_LEAST, TELLING_PART = 3, 3, 0.1
 
 
 @dataclass
@@ -185,16 +184,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", tex
     like others; an empty table gives no piece. Other columns are not read.
     """
     base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    # hashes are spread evenly: a bound leaves about SAMPLE_DOCS documents
-    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    few = base.where(F.xxhash64("doc_id").cast("double") <= -(2.0**63) + share * 2.0**64) if share < 1 else base
-    tokens = T.StructType([base.schema["doc_id"], T.StructField("ids", T.BinaryType()), T.StructField("key", T.LongType())])
-    sample = _corpus(few.mapInArrow(_tokenized(vocabulary, None), tokens))
-    written = materialize(base.mapInArrow(_tokenized(vocabulary, docs.sparkSession.sparkContext.broadcast(sample)), tokens), "packing-tokens")
+    tokens = T.StructType([base.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    written = materialize(base.mapInArrow(_tokenized(vocabulary), tokens), "packing-tokens")
     shared = docs.sparkSession.sparkContext.broadcast(_corpus(written))
+    keyed = written.mapInArrow(_keyed(shared), T.StructType([*tokens.fields, T.StructField("key", T.LongType())]))
     # documents of one key can be dealt to several partitions: by what else tells them apart
     rest = F.xxhash64("doc_id", F.octet_length("ids"))
-    ordered = written.withColumn("rest", rest).repartitionByRange(partitions(docs), "key", "rest").sortWithinPartitions("key", "rest").select("doc_id", "ids")
+    ordered = keyed.withColumn("rest", rest).repartitionByRange(partitions(docs), "key", "rest").sortWithinPartitions("key", "rest").select("doc_id", "ids")
     schema = T.StructType([base.schema["doc_id"]] + RESULT.fields + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []))
     return ordered.mapInArrow(_packed(shared, schema, with_ids), schema)
 
@@ -210,17 +206,28 @@ def _corpus(tokens: DataFrame) -> Corpus:
     return corpus
 
 
-def _tokenized(vocabulary: str, sample):
-    """mapInArrow (doc_id, text) -> doc_id, its ids and END_ID as 16-bit numbers, and its telling ids by a broadcast sample."""
+def _tokenized(vocabulary: str):
+    """mapInArrow (doc_id, text) -> doc_id, its ids and END_ID as 16-bit numbers."""
 
     def run(batches):
         bpe = wordbpe.load(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [np.append(bpe.ids(value or ""), np.uint16(END_ID)).astype("<u2") for value in part.column(1).to_pylist()]
-                keys = [telling(x, sample.value) if sample else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(keys, pa.int64())], names=["doc_id", "ids", "key"])
+                ids = [np.append(bpe.ids(value or ""), np.uint16(END_ID)).astype("<u2").tobytes() for value in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        trim()
+
+    return run
+
+
+def _keyed(corpus):
+    """mapInArrow (doc_id, ids) -> the same and the document's telling ids by the counts over all documents."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [telling(x, corpus.value) for x in _ids(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["doc_id", "ids", "key"])
 
     return run
 
