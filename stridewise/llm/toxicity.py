@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stridewise.llm import textbytes as tb
-from stridewise.llm.common import id_remainder, worker_memory
+from stridewise.llm.common import id_remainder, trim, worker_memory
 
 #: Labelled rows of each kind that the classifier is fitted on at most, and distinct words of each.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_WORDS = 900, 1800, 4000
@@ -45,6 +45,8 @@ LONGEST = 24
 THRESHOLD = 0.7
 #: Words that a worker remembers the margins of.
 REMEMBERED = 150_000
+#: Words whose margins are computed together; a worker needs about 12 KB for each.
+TOGETHER = 512
 #: Times that the words of clean texts are tried against each other, for what chance reaches.
 CHANCE = 5
 #: Margin of a text without words.
@@ -159,8 +161,8 @@ class Model:
         """Decision values of strings of at most LONGEST characters."""
         out = np.empty(len(words), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo in range(0, len(words), 4096):
-            at = order[lo : lo + 4096]
+        for lo in range(0, len(words), TOGETHER):
+            at = order[lo : lo + TOGETHER]
             codes = encode([words[i] for i in at])
             total = np.zeros(len(codes), np.float32)
             for feature, weight in _entries(codes):
@@ -458,5 +460,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [batch.column(i).cast(target.field(i).type) for i in range(len(kept))]
             arrays += [pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        trim()
 
     return base.mapInArrow(run, schema)
