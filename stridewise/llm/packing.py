@@ -48,15 +48,20 @@ class Corpus:
         return Corpus(len(docs), sum(map(len, docs)), _frequencies(docs))
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and how often each occurs; 16-bit numbers are sorted by their digits, which is far faster than np.unique."""
+    ids = np.sort(ids.astype(np.uint16, copy=False), kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    return ids[head], np.diff(np.append(head, len(ids)))
+
+
 def _frequencies(docs: list[np.ndarray]) -> np.ndarray:
-    lengths = np.array([len(d) for d in docs], np.int64)
-    key = np.unique((np.repeat(np.arange(len(docs), dtype=np.int64), lengths) << 16) | np.concatenate(docs).astype(np.int64))
-    return np.bincount(key & 0xFFFF, minlength=1 << 16)
+    return np.bincount(np.concatenate([_distinct(d)[0] for d in docs]), minlength=1 << 16)
 
 
 def telling(ids: np.ndarray, corpus: Corpus) -> int:
     """The TELLING ids that weigh most in a document, the first one highest, as one number."""
-    term, count = np.unique(ids, return_counts=True)
+    term, count = _distinct(ids)
     frequency = corpus.frequency[term]
     some = (frequency >= TELLING_LEAST) & (frequency <= TELLING_PART * corpus.documents)
     weight = np.log(corpus.documents / frequency[some]) * (count[some] / (count[some] + K1))
