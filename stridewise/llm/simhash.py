@@ -6,8 +6,9 @@ differ in at most ``RADIUS`` bits agree in all but RADIUS blocks at least, so
 they meet in a bucket keyed by those blocks. Buckets are verified by Hamming
 distance and leave only a spanning forest of links, never all pairs.
 
-Near copies, whose fingerprints differ in too many bits for any blocks, are
-found on the sets of shingles themselves.
+Near copies begin with the links of their fingerprints. Those whose
+fingerprints differ in too many bits for any blocks are found on the sets of
+shingles themselves, on which every link is checked.
 """
 
 from __future__ import annotations
@@ -271,8 +272,10 @@ BANDS_FROM, PREFIX_UP_TO = 115, 144
 BANDS, BAND_ROWS = 24, 4
 #: One of so many texts is counted to learn which shingles are common, and bits of a shingle that the table of them tells apart.
 SAMPLED, TABLE_BITS = 8, 20
-#: Pairs that are handed on at once, and rows whose keys are sent to all tasks at most; more are joined by a shuffle.
-PAIRS, SENT_ROWS = 1 << 16, 1 << 18
+#: Rows whose keys are sent to all tasks at most; more are joined by a shuffle.
+SENT_ROWS = 1 << 18
+#: Shingles of a set that let it weigh as much as one more set where sets are dealt into groups.
+SET_UNIT = 1024
 #: Bits of a set's mark: its shingles' parities, so two marks differ in no more bits than the sets in shingles.
 MARK_BITS = 1024
 
@@ -423,60 +426,91 @@ def _open_links(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _resemble(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets resemble each other enough."""
+    if COPY_FIFTHS * max(len(x), len(y)) > 5 * min(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= COPY_FIFTHS * (len(x) + len(y) - both)
+
+
 def _resembling(batches):
     """(a, b, x, y) -> src, dst of the pairs whose sets resemble each other enough."""
     for batch in batches:
         good = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            if COPY_FIFTHS * max(len(x), len(y)) <= 5 * min(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 5 * both >= COPY_FIFTHS * (len(x) + len(y) - both)
+            good[i] = _resemble(*(np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y)))
         keep = pa.array(good)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
 
 
-def _open_pairs(batches):
-    """(hash, group, side, node, component, n, mark), sorted -> a, b: open pairs of a group's nodes that are not in one component.
-
-    side: 0 for nodes that are only compared with those of side 1.
-    """
-    lanes = MARK_BITS // 64
-
-    def of(rows: np.ndarray, bounds: np.ndarray):
-        left, right, held = [], [], 0
-        for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)], strict=True):
-            side, node, component, n, mark = rows[lo:hi, 2], rows[lo:hi, 3], rows[lo:hi, 4], rows[lo:hi, 5], rows[lo:hi, 6:]
-            first = int(np.searchsorted(side, 1))
-            for i in range(first, hi - lo):
-                # behind nodes of side 1 that had their turn; if there is a side 0, with that alone
-                at = np.flatnonzero(component[:first] != component[i]) if first else i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
-                other = node[at[_may_resemble(n[i], mark[i], n[at], mark[at])]]
-                left.append(np.minimum(node[i], other))
-                right.append(np.maximum(node[i], other))
-                held += len(other)
-                if held >= PAIRS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-                    left, right, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    kept = np.zeros((0, 6 + lanes), np.int64)
+def _whole_groups(batches, width: int, rest):
+    """(rows as numbers, rest of the rows) of whole groups: batches sorted by their first two columns; rest(batch): a list or matrix, a row each."""
+    kept, held = np.zeros((0, width), np.int64), None
     for batch in batches:
         if not batch.num_rows:
             continue
-        narrow = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
-        rows = np.concatenate([kept, np.concatenate([narrow, _unpacked(batch.column(6))], axis=1)])
+        rows = np.concatenate([kept, np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], axis=1)])
+        more = rest(batch)
+        more = more if held is None else held + more if isinstance(more, list) else np.concatenate([held, more])
         bounds = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1])
-        if len(bounds) > 1:
-            yield from of(rows[: bounds[-1]], bounds[:-1])
-        kept = rows[bounds[-1] :].copy()
+        last = int(bounds[-1])
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield rows[lo:hi], more[lo:hi]
+        kept, held = rows[last:].copy(), more[last:]
     if len(kept):
-        yield from of(kept, np.zeros(1, np.int64))
+        yield kept, held
+
+
+def _may_meet(i: int, first: int, component: np.ndarray) -> np.ndarray:
+    """Places of a group that its i-th node is compared with: behind nodes of side 1 that had their turn; if there is a side 0, that alone."""
+    return np.flatnonzero(component[:first] != component[i]) if first else i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+
+
+def _open_nodes(batches):
+    """(hash, group, side, node, component, n, mark), sorted -> the first five of the nodes that a node of their group, in another component, may resemble.
+
+    side: 0 for nodes that are only compared with those of side 1.
+    """
+    for rows, mark in _whole_groups(batches, 6, lambda batch: _unpacked(batch.column(6))):
+        side, component, n = rows[:, 2], rows[:, 4], rows[:, 5]
+        first = int(np.searchsorted(side, 1))
+        met = np.zeros(len(rows), bool)
+        for i in range(first, len(rows)):
+            at = _may_meet(i, first, component)
+            at = at[_may_resemble(n[i], mark[i], n[at], mark[at])]
+            met[at] = True
+            met[i] |= len(at) > 0
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[met, k]) for k in range(5)], names=["hash", "group", "side", "node", "component"])
+
+
+def _group_links(batches):
+    """(hash, group, side, node, component, n, mark, shingles), sorted -> src, dst of links that span what a group's checked links join.
+
+    What a link has joined is not compared again, so a group leaves fewer
+    links than it has nodes, however many of them resemble each other.
+    """
+    rest = lambda batch: list(zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True))
+    for rows, held in _whole_groups(batches, 6, rest):
+        side, node, component, n = rows[:, 2], rows[:, 3], rows[:, 4].copy(), rows[:, 5]
+        mark = np.frombuffer(b"".join(m for m, _ in held), np.int64).reshape(-1, MARK_BITS // 64)
+        sets = [np.frombuffer(s, np.uint64) for _, s in held]
+        first = int(np.searchsorted(side, 1))
+        src, dst = [], []
+        for i in range(first, len(rows)):
+            at = _may_meet(i, first, component)
+            for j in at[_may_resemble(n[i], mark[i], n[at], mark[at])].tolist():
+                if component[j] != component[i] and _resemble(sets[i], sets[j]):
+                    component[component == component[j]] = component[i]
+                    src.append(node[i])
+                    dst.append(node[j])
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
 
 def _dealt(placed: DataFrame, tag: str) -> DataFrame:
-    """(hash, node, component, leader, n, mark) -> rows of _open_pairs: groups of at most about 2 x PART nodes.
+    """(hash, node, component, leader, n, mark) -> rows of _open_nodes: groups of at most about 2 x PART nodes, of large sets fewer.
 
     Nodes in the component of a bucket's leader need no comparison with each
     other: they are its body, the others its rest. Buckets without a rest are
@@ -484,7 +518,9 @@ def _dealt(placed: DataFrame, tag: str) -> DataFrame:
     other, each two in a group of its own.
     """
     rest = F.col("component") != F.col("leader")
-    sizes = placed.groupBy("hash").agg(F.count_if(rest).alias("n_rest"), F.count_if(~rest).alias("n_body")).where("n_rest > 0")
+    weight = 1 + F.call_function("div", F.col("n"), F.lit(SET_UNIT))
+    sum_if = lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
+    sizes = placed.groupBy("hash").agg(sum_if(rest).alias("n_rest"), sum_if(~rest).alias("n_body")).where("n_rest > 0")
     part = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(PART))).cast("long").alias(c.replace("n_", "") + "_parts")
     sizes = materialize(sizes.select("hash", part("n_rest"), part("n_body")), tag)
     rows = placed.join(sizes, "hash").withColumn("is_rest", rest)
@@ -500,14 +536,35 @@ def _dealt(placed: DataFrame, tag: str) -> DataFrame:
     return spread.select("hash", "in.group", "in.side", "node", "component", "n", "mark")
 
 
+def _fingerprint_links(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b, of sets whose texts' fingerprints are equal or within RADIUS bits. prints: node, fp0.
+
+    Fingerprints meet in the buckets of their blocks, as in near_duplicates;
+    one set stands for each, and sets of one fingerprint are linked with it.
+    """
+    pairs = prints.select("node", "fp0").distinct()
+    named = materialize(pairs.groupBy(F.col("fp0").alias("fp")).agg(F.min("node").alias("set")), "copies-prints")
+    distinct = named.select(F.col("fp").alias("node"))
+    close = near_links(distinct, pigeonhole_keys(blocks_for(named.count()), RADIUS, "node"), RADIUS, ["node"]).distinct()
+    of = lambda fp, name: named.select(F.col("fp").alias(fp), F.col("set").alias(name))
+    links = close.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("a", "b")
+    links = links.unionByName(pairs.join(of("fp0", "a"), "fp0").select("a", F.col("node").alias("b")))
+    found = materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-close")
+    release(named)
+    return found
+
+
 def near_copy_components(rows: DataFrame) -> DataFrame:
     """(node, component) of the texts that resemble another one; others are not in it. rows: row_key (long), text.
 
-    Near copies meet in buckets: always, if they are small, else but once in
-    300,000 times. Every link is checked on the whole sets. First each bucket's
-    nodes are compared with its leader, the smallest of them; then those that
-    are not yet in one component with each other. row_key should tell rows
-    with equal texts apart: of each set the text with the smallest is read.
+    First come the texts whose SimHash fingerprints are within RADIUS bits.
+    Resemblance at the bound moves more bits than any blocks can bear, so near
+    copies meet in buckets of their shingles, too: always, if they are small,
+    else but once in 300,000 times. Every link is checked on the whole sets.
+    Of a bucket, the nodes are compared with its leader, the smallest of
+    them; then those that are not yet in one component with each other.
+    row_key should tell rows with equal texts apart: of each set the text with
+    the smallest is read.
     """
     texts = rows.select("text")
     counted = texts.mapInArrow(_sampled_shingles, "hash long").groupBy("hash").count().where("count >= 4")
@@ -517,33 +574,34 @@ def near_copy_components(rows: DataFrame) -> DataFrame:
     ends = materialize(buckets.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("hash", "low"), "copies-ends")
     shared = materialize(buckets.join(ends, "hash"), "copies-shared")
     release(buckets, ends)
-    # of each set that shares a bucket: its mark, and its shingles, from one row
     keyed = with_set_keys(rows)
-    first = keyed.groupBy("node").agg(F.min("row_key").alias("row_key")).join(shared.select("node").distinct(), "node")
+    prints = materialize(with_fingerprints(keyed).select("node", "row_key", "fp0"), "copies-fingerprints")
+    close = _fingerprint_links(prints)
+    # of each set that shares a bucket or is close to another: its mark, and its shingles, from one row
+    some = shared.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    first = prints.groupBy("node").agg(F.min("row_key").alias("row_key")).join(some, "node")
     first = materialize(first, "copies-rows")
     wanted = F.broadcast(first) if first.count() <= SENT_ROWS else first
     chosen = keyed.join(wanted, ["node", "row_key"], "left_semi").dropDuplicates(["node", "row_key"]).select("node", "text")
     sets = materialize(chosen.mapInArrow(_sets, "node long, n long, mark binary, shingles binary"), "copies-sets")
-    release(first)
+    release(prints, first)
     marks = sets.select("node", "n", "mark")
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-
-    def checked(pairs: DataFrame, tag: str) -> DataFrame:
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_resembling, "src long, dst long"), tag)
-
-    stars = materialize(shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "copies-stars")
+    stars = materialize(shared.where("node != low").select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(close).distinct(), "copies-stars")
     marked = stars.join(marks.withColumnRenamed("node", "a"), "a").join(marks.toDF("b", "other_n", "other_mark"), "b")
     open_stars = materialize(marked.select("a", "b", "n", "mark", "other_n", "other_mark").mapInArrow(_open_links, "a long, b long"), "copies-open")
-    firsts = checked(open_stars, "copies-first")
-    release(stars, open_stars)
+    firsts = materialize(open_stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_resembling, "src long, dst long"), "copies-first")
+    release(close, stars, open_stars)
     found = components(firsts, "copies-joined")
     state = materialize(marks.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "copies-state")
     leaders = state.select(F.col("node").alias("low"), F.col("component").alias("leader"))
     placed = shared.join(state, "node").join(leaders, "low").select("hash", "node", "component", "leader", "n", "mark")
-    dealt = _dealt(placed, "copies-sizes").repartition(partitions(rows), "hash", "group").sortWithinPartitions("hash", "group", "side")
-    pairs = materialize(dealt.mapInArrow(_open_pairs, "a long, b long").distinct(), "copies-pairs")
-    seconds = checked(pairs, "copies-second")
-    release(shared, sets, state, pairs)
+    in_groups = lambda df: df.repartition(partitions(rows), "hash", "group").sortWithinPartitions("hash", "group", "side")
+    nodes = in_groups(_dealt(placed, "copies-sizes")).mapInArrow(_open_nodes, "hash long, group long, side long, node long, component long")
+    nodes = materialize(nodes, "copies-nodes-open")
+    whole = nodes.join(sets, "node").select("hash", "group", "side", "node", "component", "n", "mark", "shingles")
+    seconds = materialize(in_groups(whole).mapInArrow(_group_links, "src long, dst long"), "copies-second")
+    release(shared, sets, state, nodes)
     return components(firsts.unionByName(seconds), "copies-components")
 
 
