@@ -48,3 +48,12 @@ def test_corners_tell_most_contacts(monkeypatch):
 def test_profiles_join_no_cells(spark, name):
     found = plan(registry.queries()[name](spark, SMALL))
     assert "Join" in found and "Join" not in found[: found.index("MapInArrow")]
+
+
+def test_distances_come_with_the_neighbors(spark):
+    near = voronoi.neighbors(v.cells(spark, SMALL, with_neighbors=True), as_list=False)
+    joined = voronoi.neighbor_distance(v.trajectory(spark, SMALL), near)
+    found = registry.queries()["neighbor_distance"](spark, SMALL)
+    assert "Join" not in plan(found)
+    rounded = joined.withColumn("distance", F.round("distance", 6) + 0.0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rounded.collect()))
