@@ -57,3 +57,10 @@ def test_distances_come_with_the_neighbors(spark):
     assert "Join" not in plan(found)
     rounded = joined.withColumn("distance", F.round("distance", 6) + 0.0)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rounded.collect()))
+
+
+def test_roles_compute_the_cells_of_one_frame(spark, monkeypatch):
+    seen, cells = [], voronoi.individual_voronoi_polygons
+    monkeypatch.setattr(voronoi, "individual_voronoi_polygons", lambda track, *a, **k: seen.append(track) or cells(track, *a, **k))
+    assert registry.queries()["neighborhood_roles"](spark, SMALL).count() > 0
+    assert seen[0].data.select("frame").distinct().count() == 1
