@@ -64,3 +64,12 @@ def test_roles_compute_the_cells_of_one_frame(spark, monkeypatch):
     monkeypatch.setattr(voronoi, "individual_voronoi_polygons", lambda track, *a, **k: seen.append(track) or cells(track, *a, **k))
     assert registry.queries()["neighborhood_roles"](spark, SMALL).count() > 0
     assert seen[0].data.select("frame").distinct().count() == 1
+
+
+def test_cells_beyond_an_edge_are_not_clipped(spark):
+    area = MeasurementArea([(0, 0), (1, 0), (1, 1), (0, 1)])
+    square = lambda x, y: [[(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0)]]
+    cells = spark.createDataFrame([(0, square(0.5, 0.5)), (1, square(3.0, 0.0)), (2, square(-2.0, 5.0)), (3, square(1.0, 0.0))], f"id long, polygon {exprs.PIECES}")
+    found = cells.select("id", exprs.clip_pieces(F.col("polygon"), area).alias("part")).select("id", exprs.area(F.col("part")).alias("area"))
+    assert "forall" in plan(found).lower()
+    assert sorted(map(tuple, found.collect())) == [(0, 0.25), (1, 0.0), (2, 0.0), (3, 0.0)]
