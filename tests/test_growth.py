@@ -73,3 +73,11 @@ def test_cells_beyond_an_edge_are_not_clipped(spark):
     found = cells.select("id", exprs.clip_pieces(F.col("polygon"), area).alias("part")).select("id", exprs.area(F.col("part")).alias("area"))
     assert "forall" in plan(found).lower()
     assert sorted(map(tuple, found.collect())) == [(0, 0.25), (1, 0.0), (2, 0.0), (3, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["guards", "line_validation"])
+def test_checks_read_the_species_that_were_written(spark, monkeypatch, name):
+    read, valid = [], registry.line.is_species_valid
+    monkeypatch.setattr(registry.line, "is_species_valid", lambda kinds, *a: read.append(kinds) or valid(kinds, *a))
+    registry.queries()[name](spark, SMALL).collect()
+    assert len(read) == 2 and not any("Window" in plan(kinds) for kinds in read)
