@@ -72,19 +72,20 @@ class _Crossings(StatefulProcessor):
         self.held = handle.getValueState("held", _HELD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows), ignore_index=True).dropna(subset=["x", "y"]).drop_duplicates("frame")
-        if key[0] == MISSING or new.empty:
+        # arrays: a table's own operations cost more than all the rest of a pedestrian's few rows
+        parts = [[t[c].to_numpy(k) for c, k in (("frame", np.int64), ("x", float), ("y", float), ("off", bool))] for t in rows]
+        if key[0] == MISSING:
             return
-        kept = self.held.get() if self.held.exists() else ([], [], [], [], None, False, -1)
-        old_frames, xs, ys, offs, first, told, seen = kept
-        new = new[~new["frame"].isin(list(old_frames))]
-        frames = np.concatenate([np.array(old_frames, np.int64), new["frame"].to_numpy(np.int64)])
-        x = np.concatenate([np.array(xs, float), new["x"].to_numpy(float)])
-        y = np.concatenate([np.array(ys, float), new["y"].to_numpy(float)])
-        off = np.concatenate([np.array(offs, bool), new["off"].to_numpy(bool)])
-        fresh = np.arange(len(frames)) >= len(old_frames)
-        order = np.argsort(frames)
-        frames, x, y, off, fresh = frames[order], x[order], y[order], off[order], fresh[order]
+        frames, x, y, off = (np.concatenate(c) for c in zip(*parts, strict=True))
+        placed = ~(np.isnan(x) | np.isnan(y))
+        if not placed.any():
+            return
+        had = self.held.get()
+        old_frames, xs, ys, offs, first, told, seen = had or ([], [], [], [], None, False, -1)
+        frames, x, y, off = (np.concatenate([np.array(o, v.dtype), v[placed]]) for o, v in ((old_frames, frames), (xs, x), (ys, y), (offs, off)))
+        # of rows of one frame the first counts, and what is held comes before what is new
+        order = np.unique(frames, return_index=True)[1]
+        frames, x, y, off, fresh = frames[order], x[order], y[order], off[order], order >= len(old_frames)
         # three frames in a row, of which at least one has just come: the middle one is judged now and never again
         whole = (frames[1:-1] - frames[:-2] == 1) & (frames[2:] - frames[1:-1] == 1) & (fresh[:-2] | fresh[1:-1] | fresh[2:])
         met = whole & off[1:-1] & steps_meet(x[:-2], y[:-2], x[1:-1], y[1:-1], self.line)
@@ -95,28 +96,31 @@ class _Crossings(StatefulProcessor):
             first = int(found[0])
             self.handle.registerTimer(_millis(first + 1, self.frame_rate))
         newest = int(max(seen, frames[-1])) if len(frames) else seen
-        if newest > seen:
-            if seen >= 0:
-                self.handle.deleteTimer(_millis(seen + self.away_frames, self.frame_rate))
+        # one timer for each state: it puts itself off while the pedestrian is there
+        if had is None:
             self.handle.registerTimer(_millis(newest + self.away_frames, self.frame_rate))
         # rows behind the watermark are dropped before they come here: older ones have no neighbour to wait for
         closed = timerValues.getCurrentWatermarkInMs()
-        open_ = np.array([_millis(int(f) + 2, self.frame_rate) >= closed for f in frames], bool)
+        open_ = -(-(ORIGIN + ((frames + 2) * 1_000_000.0 / self.frame_rate).astype(np.int64)) // 1000) >= closed
         self.held.update((frames[open_].tolist(), x[open_].tolist(), y[open_].tolist(), off[open_].tolist(), first, told, newest))
-        if not self.first_only:
+        if not self.first_only and len(found):
             yield pd.DataFrame({"id": [int(key[0])] * len(found), "frame": found})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.held.exists():
+        had = self.held.get()
+        if had is None:
             return
-        *rest, first, told, seen = self.held.get()
+        *rest, first, told, seen = had
         at = expiredTimerInfo.getExpiryTimeInMs()
         if self.first_only and first is not None and not told and at >= _millis(first + 1, self.frame_rate):
             told = True
             self.held.update((*rest, first, told, seen))
             yield pd.DataFrame({"id": [int(key[0])], "frame": [first]})
-        if at >= _millis(seen + self.away_frames, self.frame_rate):
+        away = _millis(seen + self.away_frames, self.frame_rate)
+        if timerValues.getCurrentWatermarkInMs() >= away:
             self.held.clear()
+        else:
+            self.handle.registerTimer(away)
 
 
 def _crossings(positions: DataFrame, line: MeasurementLine, frame_rate: float, lateness: str, count_on_line: bool, first_only: bool, away_frames: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridewise.model import TrajectoryData
-from stridewise.shared import shared_dir
+from stridewise.shared import materialize, release, shared_dir
 
 #: Frames between the last position and the row that closes a replay.
 CLOSING_FRAMES = 100_000
@@ -24,7 +24,8 @@ def replay(traj_data: TrajectoryData, parts: int = 3) -> DataFrame:
     spark = traj_data.data.sparkSession
     files = spark.sparkContext.defaultParallelism
     path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    data = traj_data.data.select("id", "frame", "x", "y")
+    # the ends of the frames and each stretch read the positions
+    data = materialize(traj_data.data.select("id", "frame", "x", "y"), "replayed")
     low, high = data.agg(F.min("frame"), F.max("frame")).first()
     if low is None:
         low, high = 0, 0
@@ -34,6 +35,7 @@ def replay(traj_data: TrajectoryData, parts: int = 3) -> DataFrame:
     none = F.lit(None)
     closing = spark.range(1, numPartitions=1).select(none.cast("long").alias("id"), F.lit(high + CLOSING_FRAMES).cast("long").alias("frame"), none.cast("double").alias("x"), none.cast("double").alias("y"))
     closing.write.mode("append").parquet(path)
+    release(data)
     return spark.readStream.schema(data.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

@@ -81,3 +81,79 @@ def test_checks_read_the_species_that_were_written(spark, monkeypatch, name):
     monkeypatch.setattr(registry.line, "is_species_valid", lambda kinds, *a: read.append(kinds) or valid(kinds, *a))
     registry.queries()[name](spark, SMALL).collect()
     assert len(read) == 2 and not any("Window" in plan(kinds) for kinds in read)
+
+
+class Handle:
+    """A pedestrian's state and timers; counts the calls."""
+
+    def __init__(self):
+        self.state, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.state is not None
+
+    def get(self):
+        self.calls += 1
+        return self.state
+
+    def update(self, value):
+        self.calls += 1
+        self.state = value
+
+    def clear(self):
+        self.state = None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+class At:
+    def __init__(self, at, watermark):
+        self.at, self.watermark = at, watermark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+def test_live_crossings_ask_little_of_the_state():
+    handle = Handle()
+    processor = crossings._Crossings((0.0, 0.0, 0.0, 4.0), 10.0, False, 50)
+    processor.init(handle)
+    rows = lambda frames, x: pd.DataFrame({"frame": frames, "x": x, "y": [1.0] * len(frames), "off": [True] * len(frames)})
+    assert not list(processor.handleInputRows((7,), iter([rows([2, 1], [-0.6, -0.9])]), At(0, 0)))
+    assert not list(processor.handleInputRows((7,), iter([rows([4, 3, 3], [0.3, -0.3, 9.0]), rows([2], [5.0])]), At(0, 0)))
+    (found,) = processor.handleInputRows((7,), iter([rows([5], [0.6])]), At(0, 0))
+    assert found.values.tolist() == [[7, 4]]
+    # a timer, and three times a state read and written
+    assert handle.calls == 7
+    (at,) = handle.timers
+    assert not list(processor.handleExpiredTimer((7,), At(at, at), At(at, at))) and handle.state is not None
+    later = crossings._millis(55, 10.0)
+    assert later in handle.timers
+    assert not list(processor.handleExpiredTimer((7,), At(later, later), At(later, later))) and handle.state is None
+
+
+def test_a_replay_computes_its_positions_once(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counted.add(batch.num_rows)
+            yield batch
+
+    track = v.trajectory(spark, SMALL).data
+    n = track.count()
+    streaming.replay(TrajectoryData(track.mapInArrow(count, track.schema), v.FRAME_RATE))
+    assert counted.value == n
