@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -256,17 +258,19 @@ def _fold(words: list[str], labels: np.ndarray, weight: np.ndarray) -> Model:
     return Model(weights, bias)
 
 
-def _grams(bags: list[list[str]]) -> dict[str, set[str]]:
-    """The character 4- and 5-grams of each word."""
-    return {w: {w[i : i + n] for n in (4, 5) for i in range(len(w) - n + 1)} for bag in bags for w in bag}
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The character 4- and 5-grams of each word: its distinct ones by number, side by side, where each word's begin and end, and how many there are."""
+    known: dict[str, int] = {}
+    found, ends = array("i"), [0]
+    for w in words:
+        found.extend({known.setdefault(w[i : i + n], len(known)) for n in (4, 5) for i in range(len(w) - n + 1)})
+        ends.append(len(found))
+    return np.array(found, np.int32), np.array(ends), len(known)
 
 
-def _ratios(grams: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
-    """Log-likelihood ratio of each gram that toxic texts have much more often than clean ones, given each text's grams."""
-    counts = (Counter(), Counter())
-    for seen, label in zip(grams, toxic, strict=True):
-        counts[int(label)].update(seen)
-    n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+def _ratios(in_toxic: np.ndarray, in_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Log-likelihood ratio of each gram that toxic texts have much more often than clean ones, else 0, given the texts of either kind that have it."""
+    n_toxic, n_clean = max(1, n_toxic), max(1, n_clean)
     known: dict[tuple[int, int], float] = {}
 
     def ratio(a: int, b: int) -> float:
@@ -276,9 +280,9 @@ def _ratios(grams: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
         part = lambda k, n, x: (k * math.log(x) if k else 0) + ((n - k) * math.log(1 - x) if k < n else 0)
         return 2 * (part(a, n_toxic, p) + part(b, n_clean, q) - part(a, n_toxic, r) - part(b, n_clean, r))
 
-    out = {}
-    for gram, a in counts[1].items():
-        pair = (a, counts[0][gram])
+    out = np.zeros(len(in_toxic))
+    for gram in np.flatnonzero(in_toxic).tolist():
+        pair = (int(in_toxic[gram]), int(in_clean[gram]))
         if pair not in known:
             known[pair] = ratio(*pair)
         out[gram] = known[pair]
@@ -292,19 +296,39 @@ def _typical(bags: list[list[str]], toxic: np.ndarray, rng: np.random.Generator)
     of clean bags reaches against the other clean ones when CHANCE times some of
     them, as large a part as the toxic ones are of all, are called toxic: so it
     knows how many grams are tried, and that texts of one language share theirs.
+
+    Grams are numbers in flat arrays: as sets of texts, those of a sample would
+    take hundreds of megabytes of the driver.
     """
-    grams_of = _grams(bags)
-    grams = [set().union(*(grams_of[w] for w in bag)) for bag in bags]
-    known = _ratios(grams, toxic)
-    value = {w: max((known.get(g, 0.0) for g in gs), default=0.0) for w, gs in grams_of.items()}
-    clean = [g for g, t in zip(grams, toxic, strict=True) if not t]
+    place: dict[str, int] = {}
+    for bag in bags:
+        for w in bag:
+            place.setdefault(w, len(place))
+    grams, bounds, n_grams = _grams(list(place))
+    texts = []
+    for bag in bags:
+        own = [grams[bounds[i] : bounds[i + 1]] for i in map(place.__getitem__, bag)]
+        texts.append(np.unique(np.concatenate([np.zeros(0, np.int32), *own])))
+
+    def having(chosen: np.ndarray) -> np.ndarray:
+        """Of each gram, the chosen texts that have it."""
+        counts = np.zeros(n_grams, np.int64)
+        for i in np.flatnonzero(chosen).tolist():
+            counts[texts[i]] += 1
+        return counts
+
+    in_clean = having(~toxic)
+    value = np.append(_ratios(having(toxic), in_clean, int(toxic.sum()), int((~toxic).sum())), 0.0)
+    best_of = [float(value[grams[a:b]].max(initial=0.0)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    clean = np.flatnonzero(~toxic)
     called = round(len(clean) * float(toxic.mean()))
     best = []
     for _ in range(CHANCE if called else 0):
-        drawn = np.zeros(len(clean), bool)
-        drawn[rng.choice(len(clean), called, replace=False)] = True
-        best.append(max(_ratios(clean, drawn).values(), default=0.0))
-    return value, max(best, default=0.0)
+        drawn = np.zeros(len(bags), bool)
+        drawn[clean[rng.choice(len(clean), called, replace=False)]] = True
+        in_drawn = having(drawn)
+        best.append(float(_ratios(in_drawn, in_clean - in_drawn, called, len(clean) - called).max(initial=0.0)))
+    return dict(zip(place, best_of, strict=True)), max(best, default=0.0)
 
 
 def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7) -> Model:
@@ -317,7 +341,9 @@ def fit(bags: list[list[str]], toxic: np.ndarray, rounds: int = 2, seed: int = 7
     if not toxic.any() or toxic.all():
         return Model(np.zeros(_FEATURES + 1, np.float32), NOTHING)
     rng = np.random.default_rng(seed)
-    bags = [list(dict.fromkeys(c for word in bag for c in candidates(word))) for bag in bags]
+    strings = {word: [sys.intern(c) for c in candidates(word)] for bag in bags for word in bag}
+    bags = [list(dict.fromkeys(c for word in bag for c in strings[word])) for bag in bags]
+    del strings
     value, least = _typical(bags, toxic, rng)
     clean_words = sorted({w for bag, t in zip(bags, toxic, strict=True) if not t for w in bag})
     vocabulary = sorted({w for bag in bags for w in bag})
@@ -383,7 +409,14 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     drawn = base.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = drawn.select("toxic", "text").mapInArrow(_bags, "toxic int, words string").collect()
     rows.sort(key=lambda r: (r.toxic, zlib.crc32(r.words.encode()), r.words))
-    return fit([r.words.split("\n") if r.words else [] for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    toxic = np.array([r.toxic == 1 for r in rows], bool)
+    # a word of many texts is held once; the driver's memory is as bounded as the executors'
+    bags = [[*map(sys.intern, r.words.split("\n"))] if r.words else [] for r in rows]
+    del rows
+    model = fit(bags, toxic)
+    del bags
+    trim()
+    return model
 
 
 def _bags(batches):
